@@ -176,11 +176,11 @@ def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     )
     in_words = F.lower("last_word").isin(*_FUNCTION_WORDS.split())
     reason = (
-        F.when(F.col("kind") == "mark", "mark")
+        F.when(F.col("prefix") & (F.col("kind") != "sentence"), "prefix")
+        .when(F.col("kind") == "mark", "mark")
         .when((F.col("kind") == "ellipsis") & ~questions & F.col("formula").isNull(), "ellipsis")
         .when(F.col("kind") == "open", "open")
         .when((F.col("kind") == "line") & F.col("close").isin("list", "signature", "attested") & (F.col("broken") | in_words), "close")
-        .when(F.col("prefix") & (F.col("kind") != "sentence"), "prefix")
     )
     return marked.withColumn("reason", reason).where("reason is not null").select("id", source_col, "reason")
 

@@ -26,7 +26,7 @@ NICKNAMES = {
     "tim": "timothy", "tom": "thomas", "val": "valentine", "will": "william", "zach": "zachariah", "zack": "zachariah", "zeke": "ezekiel",
 }
 #: Words around a name that are no part of it. Fixed values.
-TITLES = frozenset("mr mrs ms miss madam hon gen dr rev col capt maj gov judge esq esquire ed editor eds papers the by sir lady s".split())
+TITLES = frozenset("mr mrs ms miss madam hon gen dr rev col capt maj gov judge esq esquire ed editor eds papers the by sir lady".split())
 #: Words of a transcript's label that name an office. Fixed values.
 OFFICES = frozenset("mr mrs ms miss madam hon justice chief j c cj counsel counselor for the petitioner petitioners respondent respondents appellant appellants appellee appellees associate judge esq unknown unidentified speaker audience voice on behalf of".split())
 JUNIOR = re.compile(r"\b(?:jr|junr|jun|junior|the younger)\b\.?")
@@ -81,7 +81,7 @@ class Person:
 @lru_cache(maxsize=100_000)
 def read_person(text: str) -> Person:
     low = text.lower().replace("’", "'")
-    low = re.sub(r"'s\b", " s", low)
+    low = re.sub(r"'s\b", "", low)
     junior = bool(JUNIOR.search(low))
     low = SENIOR.sub(" ", JUNIOR.sub(" ", low))
     words = LETTERS.findall(low)
@@ -148,6 +148,16 @@ def person_likelihood(spelling: str, canonical: str) -> float:
     return best if best > -11 else -math.inf
 
 
+def far_surname(spelling: str, canonical: str) -> str | None:
+    """The word of ``spelling`` taken for the surname, where it is more than one edit from it."""
+    surname = read_person(canonical).words[-1:]
+    words = [w for w in read_person(spelling).words if len(w) > 2]
+    if not surname or not words:
+        return None
+    d, word = min((distance(w, surname[0], 2), w) for w in words)
+    return word if d > 1 else None
+
+
 #: Words that join the parts of a body's name.
 JOINING = frozenset("of the for at and in".split())
 

@@ -50,15 +50,17 @@ CONFUSIONS = [
     ("w", "v"), ("v", "y"), ("y", "v"), ("g", "q"), ("q", "g"), ("a", "o"), ("o", "a"), ("e", "o"), ("o", "e"), ("li", "h"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("fi", "h"), ("k", "lc"), ("r", "i"), ("n", "ri"), ("n", "ii"), ("b", "lo"), ("a", "u"), ("ct", "d"), ("E", "F"), ("F", "E"), ("I", "T"),
 ]
 #: A misread word's true form is in at least so many times more texts.
-TIMES = 4
+TIMES = 12
 #: Frequent words handed to every task; others are joined.
 FREQUENT_WORDS = 50_000
 BROADCAST_ROWS = 300_000
 
 _EDGE = re.compile(r"^[^\w@&ſ]+|[^\w@&ſ]+$")
 _PLAIN = re.compile(r"^[a-z]+(?:['’-][a-z]+)*$")
-_ORDINAL = re.compile(r"^\d+(?:st|d|nd|rd|th|s|o|mo)?$")
-_ODD = re.compile(r"[@^~|\\•·¦ſ]|[A-Za-z][013568](?=[A-Za-z]|$)|(?:^|[a-z])[01](?=[A-Za-z]{2})|[a-z]&[a-z]?|&[a-z]{2}|[ﬁﬂ]")
+_ORDINAL = re.compile(r"^\d+(?:st|d|nd|rd|th|s|o|mo|vo|to)?$")
+_ROMAN = re.compile(r"^m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
+#: Damage on a word's face: stray marks, digits among letters, a full stop inside.
+_ODD = re.compile(r"[@^~|\\•·¦ſ]|[A-Za-z]\d|\d[A-Za-z]|[a-z]&|&[a-z]{2}|[ﬁﬂ]|[a-z]{2}\.[a-z]|[a-z]\.[a-z]{2}")
 _HYPHEN_END = re.compile(rf"(?:^|[\s(\"'“‘])([\w@&ſ'’-]*?[A-Za-zÀ-ÿſ@][{STRAYS!r}]?)[{BREAKS}]\s*$".replace(repr(STRAYS), re.escape(STRAYS)))
 _FIRST_WORD = re.compile(r"^\W*([\w@&ſ'’^~|\\•-]+)")
 _PAGE = r"(?:\d{1,4}|[ivxlc]{1,7})"
@@ -174,8 +176,8 @@ def header_key(core: str) -> str:
     return unshape(re.sub(r"[\W\d_]+", " ", core)).strip()
 
 
-def broken_words(lines: list[str], furniture: set[int]) -> Iterator[tuple[int, str, str]]:
-    """(line, first part, rest) of the words that a mark breaks at a line's end."""
+def broken_words(lines: list[str], furniture: set[int]) -> Iterator[tuple[int, int, str, str]]:
+    """(line, line of the rest, first part, rest) of the words that a mark breaks at a line's end."""
     for i, line in enumerate(lines):
         if i in furniture or line.rstrip()[-1:] not in BREAKS or not line.strip():
             continue
@@ -186,7 +188,7 @@ def broken_words(lines: list[str], furniture: set[int]) -> Iterator[tuple[int, s
         while j < len(lines) and (j in furniture or not lines[j].strip()):
             j += 1
         if j < len(lines) and (n := _FIRST_WORD.match(lines[j])):
-            yield i, m.group(1), n.group(1)
+            yield i, j, m.group(1), n.group(1)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,30 +227,31 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def turned_back(word: str) -> set[str]:
-    """What a word may have been before one or two confusions."""
-    once = set()
+    """What a word may have been before one kind of confusion, at one place or at all."""
+    found = set()
     for true, read in CONFUSIONS:
         true, read = true.lower(), read.lower()
         at = word.find(read)
+        if at >= 0:
+            found.add(word.replace(read, true))
         while at >= 0:
-            once.add(word[:at] + true + word[at + len(read) :])
+            found.add(word[:at] + true + word[at + len(read) :])
             at = word.find(read, at + 1)
-    once.discard(word)
-    return once
+    found.discard(word)
+    return found
 
 
 def _turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if len(word) < 2 or not _PLAIN.match(word):
-                continue
-            once = turned_back(word)
-            rows += [(word, n, w, 1) for w in once]
-            if len(word) >= 6:
-                rows += [(word, n, w, 2) for w in {x for o in once for x in turned_back(o)} - once - {word}]
-        cols = list(zip(*rows)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int32()))], ["word", "n", "was", "steps"])
+        rows = [
+            (word, n, was)
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            if len(word) > 1 and _PLAIN.match(word) and not _ROMAN.match(word)
+            for was in turned_back(word)
+            if not copyist(word, was)
+        ]
+        cols = list(zip(*rows)) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()))], ["word", "n", "was"])
 
 
 def copyist(word: str, was: str) -> bool:
@@ -268,13 +271,12 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def misread_words(vocab: DataFrame) -> DataFrame:
-    """word, was: words of the corpus that are confusions of much more frequent ones."""
-    turned = vocab.mapInArrow(_turned, "word string, n bigint, was string, steps int")
+def misread_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """word, was: those of ``words`` (word, n) that are confusions of much more frequent words of the corpus."""
+    turned = words.select("word", "n").mapInArrow(_turned, "word string, n bigint, was string")
     known = vocab.select(F.col("word").alias("was"), F.col("n").alias("was_n"))
-    hits = turned.join(known, "was").where(F.col("was_n") >= F.col("n") * F.when(F.col("steps") == 1, TIMES).otherwise(3 * TIMES))
-    w = Window.partitionBy("word").orderBy("steps", F.desc("was_n"), "was")
-    return hits.withColumn("r", F.row_number().over(w)).where("r = 1").select("word", "was")
+    w = Window.partitionBy("word").orderBy(F.desc("was_n"), "was")
+    return turned.join(known, "was").where(F.col("was_n") >= F.col("n") * TIMES).withColumn("r", F.row_number().over(w)).where("r = 1").select("word", "was")
 
 
 class Scans:
@@ -285,7 +287,7 @@ class Scans:
             F.col(id_col).cast("string").alias("id"), F.col(doc_col).cast("string").alias("doc"), F.col(title_col).cast("string").alias("title"), F.col(text_col).alias("text")
         ).where("id is not null and text is not null")
         self.vocab = keep(vocabulary(self.src.select("text")))
-        self.misreads = keep(misread_words(self.vocab))
+        self.misreads = keep(misread_words(self.vocab, self.vocab))
         # frequent words that were read right: what is not among them is looked up by a join
         ranked = self.vocab.join(self.misreads.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS)
         self.frequent = frozenset(r.word for r in ranked.select("word").collect())
@@ -296,9 +298,9 @@ class Scans:
         return self.src.join(small_side(self.headers, BROADCAST_ROWS), "doc", "left").select("id", "title", "text", "keys")
 
     def marks(self) -> DataFrame:
-        """id, line_no, kind, first, rest, word: lines with possible damage before the corpus is asked."""
+        """id, line_no, kind, first, rest, word, rest_no: lines with possible damage before the corpus is asked."""
         frequent = self.frequent
-        return self._with_headers().mapInArrow(lambda b: _marked(b, frequent), "id string, line_no int, kind string, first string, rest string, word string")
+        return self._with_headers().mapInArrow(lambda b: _marked(b, frequent), "id string, line_no int, kind string, first string, rest string, word string, rest_no int")
 
     def damage(self) -> DataFrame:
         """id, line_no, defect of each damaged line."""
@@ -306,7 +308,17 @@ class Scans:
         plain = marks.where("kind in ('furniture', 'misread')").select("id", "line_no", F.col("kind").alias("defect"))
         asked = marks.where("kind = 'ask'").join(self.misreads, "word").select("id", "line_no", F.lit("misread").alias("defect"))
         breaks = marks.where("kind = 'hyphen'").join(self.broken(marks), ["first", "rest"]).select("id", "line_no", F.lit("hyphen").alias("defect"))
-        return plain.unionByName(asked).unionByName(breaks).distinct()
+        across = self.misread_across(marks)
+        at = lambda line, side: across.where(side).select("id", F.col(line).alias("line_no"), F.lit("misread").alias("defect"))
+        return plain.unionByName(asked).unionByName(breaks).unionByName(at("line_no", "in_first")).unionByName(at("rest_no", "in_rest")).distinct()
+
+    def misread_across(self, marks: DataFrame) -> DataFrame:
+        """id, line_no, rest_no, in_first, in_rest of the broken words with a confusion, and the part that has it."""
+        hyphens = marks.where("kind = 'hyphen'").select("id", "line_no", "rest_no", "first", "rest", F.concat("first", "rest").alias("word"))
+        joined = hyphens.select("word").distinct().join(self.vocab, "word", "left").select("word", F.coalesce("n", F.lit(1)).alias("n"))
+        was = misread_words(joined, self.vocab)
+        first_right, rest_right = F.expr("startswith(was, first)"), F.expr("endswith(was, rest)")
+        return hyphens.join(was, "word").select("id", "line_no", "rest_no", (~first_right).alias("in_first"), (first_right | ~rest_right).alias("in_rest"))
 
     def broken(self, marks: DataFrame) -> DataFrame:
         """first, rest of the breaks whose hyphen is not the word's own."""
@@ -349,14 +361,11 @@ def _marked(batches: Iterator[pa.RecordBatch], frequent: frozenset[str]) -> Iter
                 continue
             lines = Lines(text, title)
             furniture = lines.furniture(dict.fromkeys(keys or (), 1)) if "\n" in text else set()
-            rows += [(i, n + 1, "furniture", None, None, None) for n in furniture]
+            rows += [(i, n + 1, "furniture", None, None, None, None) for n in furniture]
             ends: set[tuple[int, str]] = set()
-            for n, first, rest in broken_words(lines.lines, furniture):
-                rows.append((i, n + 1, "hyphen", _plain(first), _plain(rest), None))
-                ends.add((n, lines.lines[n].split()[-1]))
-                nxt = next((k for k in range(n + 1, len(lines.lines)) if k not in furniture and lines.lines[k].strip()), None)
-                if nxt is not None:
-                    ends.add((nxt, lines.lines[nxt].split()[0]))
+            for n, m, first, rest in broken_words(lines.lines, furniture):
+                rows.append((i, n + 1, "hyphen", _plain(first), _plain(rest), None, m + 1))
+                ends |= {(n, lines.lines[n].split()[-1]), (m, lines.lines[m].split()[0])}
             if bad:
                 for n, line in enumerate(lines.lines):
                     if n in furniture:
@@ -364,12 +373,12 @@ def _marked(batches: Iterator[pa.RecordBatch], frequent: frozenset[str]) -> Iter
                     for t in bad.intersection(line.split()):
                         word = known[t]
                         if word == "":
-                            rows.append((i, n + 1, "misread", None, None, None))
+                            rows.append((i, n + 1, "misread", None, None, None, None))
                         elif (n, t) not in ends:
-                            rows.append((i, n + 1, "ask", None, None, word))
-        cols = list(zip(*rows)) if rows else [()] * 6
-        types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "line_no", "kind", "first", "rest", "word"])
+                            rows.append((i, n + 1, "ask", None, None, word, None))
+        cols = list(zip(*rows)) if rows else [()] * 7
+        types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "line_no", "kind", "first", "rest", "word", "rest_no"])
 
 
 def _plain(part: str) -> str:

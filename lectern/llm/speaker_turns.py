@@ -43,10 +43,10 @@ INTRODUCTION = re.compile(
     rf"\[\s*(?P<bracket>(?i:{_OFFICE})\.?\s+[^\[\]:]{{2,40}}?)\s*\]:?"
     rf"|(?<![\w,])(?P<bench>[A-Za-z][\w'’-]+\s*,\s*(?i:c\.\s*)?[Jj]\.)\s*:(?=\s|$)"
     rf"|(?<![\w'-])(?P<title>(?i:{_OFFICE})\.?\s+[A-Za-z][\w'’-]+)\s*(?::(?=\s|$)|\.\s+--)"
-    rf"|(?:(?<=^)|(?<=[.?!\])}}>*]\s))(?P<capitals>[A-Z][A-Z'’-]{{2,}})\s*:(?=\s|$)"
+    rf"|(?:^\s*|(?<=[.?!\])}}>*]\s)|(?<=[.?!\])}}>*]\s\s))(?P<capitals>[A-Z][A-Z'’-]{{2,}})\s*:(?=\s|$)"
 )
 _TIME = re.compile(
-    r"(?:\d{1,2}:)?\d{1,2}:\d{2}(?:[.,]\d+)?\s*-->(?:\s*(?:\d{1,2}:)?\d{1,2}:\d{2}(?:[.,]\d+)?)?"
+    r"(?:(?:\d{1,2}:)?\d{1,2}:\d{2}(?:[.,]\d+)?\s*-->\s*)+(?:(?:\d{1,2}:)?\d{1,2}:\d{2}(?:[.,]\d+)?)?"
     r"|\b\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?\b"
 )
 _MARK = re.compile(r"\(\([^()]*\)?\)|\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}|<[^<>]*>|\*[^*\n]*\*|[♪♫♬]+|>>+")

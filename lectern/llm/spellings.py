@@ -6,7 +6,8 @@ spelling goes to the form with the largest posterior: the prior is how often the
 form is written out in the corpus, the likelihood is a product of typing errors
 (letters in, out, changed or swapped), initials, short forms, left-out parts,
 reordered parts and added titles. A frequent form outside the register that
-explains a spelling better takes it away from the register.
+explains a spelling better takes it away from the register, and so does a surname
+that is two edits off but made of the parts of the register's surnames.
 
 Everything runs over distinct spellings with their counts; candidates meet over
 deletion keys, so no spelling is compared with all forms, and spellings return to
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.names import body_likelihood, body_words, keys_of, person_likelihood, read_person
+from lectern.llm.names import body_likelihood, body_words, far_surname, keys_of, person_likelihood, read_person
 from lectern.runtime import keep, small_side
 
 #: A spelling written at least so often may be the form of somebody outside the register.
@@ -61,9 +62,35 @@ def likelihood(spelling: str, canonical: str, kind: str | None) -> float:
 def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         v, c, k = (batch.column(i).to_pylist() for i in range(3))
-        s = pa.array([likelihood(x, y, z) for x, y, z in zip(v, c, k)], pa.float64())
-        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), s], ["spelling", "form", "kind", "loglik"])
-        yield out.filter(pa.array([x > -math.inf for x in s.to_pylist()]))
+        s = [likelihood(x, y, z) for x, y, z in zip(v, c, k)]
+        far = [far_surname(x, y) if n > -math.inf and z != "body" else None for x, y, z, n in zip(v, c, k, s)]
+        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(s, pa.float64()), pa.array(far, pa.string())], ["spelling", "form", "kind", "loglik", "far"])
+        yield out.filter(pa.array([x > -math.inf for x in s]))
+
+
+def _name_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The two parts of each surname, cut at every place that leaves three letters and two."""
+    for batch in batches:
+        rows = [(w, w[:i], w[i:]) for w in batch.column(0).to_pylist() for i in range(3, len(w) - 1)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["word", "front", "back"])
+
+
+def _surnames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [p.words[-1] for p in map(read_person, batch.column(0).to_pylist()) if len(p.words) > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
+
+
+def names_of_their_own(words: DataFrame, forms: DataFrame) -> DataFrame:
+    """word: those made of the front of several surnames of the register and the back of several.
+
+    Somebody's name looks like that and a typing error seldom does, so a word two
+    edits from a surname that is such a name is not taken for a misspelling of it.
+    """
+    cut = "word string, front string, back string"
+    known = keep(forms.where("kind is null or kind = 'person'").select("form").mapInArrow(_surnames, "word string").distinct().mapInArrow(_name_parts, cut))
+    often = lambda part: known.groupBy(part).agg(F.count("*").alias("n")).where("n >= 2").select(part)
+    return words.distinct().mapInArrow(_name_parts, cut).join(often("front"), "front").join(often("back"), "back").select("word").distinct()
 
 
 def _candidates(spellings: DataFrame, forms: DataFrame) -> DataFrame:
@@ -71,7 +98,7 @@ def _candidates(spellings: DataFrame, forms: DataFrame) -> DataFrame:
     typed = spellings.select("spelling").mapInArrow(_keys, "spelling string, key string")
     meant = forms.select("form").mapInArrow(_keys, "form string, key string").join(forms.select("form", "kind"), "form")
     met = typed.join(meant, "key").where("spelling <> form").select("spelling", "form", "kind").distinct()
-    return met.mapInArrow(_scores, "spelling string, form string, kind string, loglik double")
+    return met.mapInArrow(_scores, "spelling string, form string, kind string, loglik double, far string")
 
 
 def attribute_spellings(spellings: DataFrame, register: DataFrame) -> DataFrame:
@@ -86,6 +113,8 @@ def attribute_spellings(spellings: DataFrame, register: DataFrame) -> DataFrame:
     unnamed = spellings.join(forms.select(F.col("form").alias("spelling")), "spelling", "left_anti")
 
     inside = keep(_candidates(unnamed, forms))
+    own = names_of_their_own(inside.where("far is not null").select(F.col("far").alias("word")), forms)
+    inside = keep(inside.join(own.withColumnRenamed("word", "far"), "far", "left_anti"))
     explained = inside.where(F.col("loglik") >= LEAST).select("spelling").distinct()
     outside_forms = (
         unnamed.where(F.col("n") >= FREQUENT).join(explained, "spelling", "left_anti").select(F.col("spelling").alias("form"), F.lit(None).cast("string").alias("kind"), "n")
