@@ -9,7 +9,8 @@ reordered parts and added titles. A frequent form outside the register that
 explains a spelling better takes it away from the register, and so does a surname
 that is two edits off but made of the parts of the register's surnames.
 
-Everything runs over distinct spellings with their counts; candidates meet over
+Everything runs over distinct spellings with their counts (kept by checkpoints in the
+shared folder, so that no plan contains the plans before it); candidates meet over
 deletion keys, so no spelling is compared with all forms, and spellings return to
 their records by an equi-join.
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.names import body_likelihood, body_words, far_surname, keys_of, person_likelihood, read_person
-from lectern.runtime import keep, small_side
+from lectern.runtime import cut, keep, small_side
 
 #: A spelling written at least so often may be the form of somebody outside the register.
 FREQUENT = 2
@@ -107,14 +108,14 @@ def attribute_spellings(spellings: DataFrame, register: DataFrame) -> DataFrame:
     ``spellings``: spelling, n (how often it is written). ``register``: entry_id,
     name, kind (person, body or null).
     """
-    spellings = keep(spellings.where("spelling is not null and trim(spelling) <> ''").groupBy("spelling").agg(F.sum("n").alias("n")))
+    spellings = cut(spellings.where("spelling is not null and trim(spelling) <> ''").groupBy("spelling").agg(F.sum("n").alias("n")))
     entries = register.where("entry_id is not null and name is not null").groupBy(F.col("name").alias("form")).agg(F.min("entry_id").alias("entry_id"), F.min("kind").alias("kind"))
-    forms = keep(entries.join(spellings.withColumnRenamed("spelling", "form"), "form", "left").select("form", "entry_id", "kind", F.coalesce("n", F.lit(0)).alias("n")))
-    unnamed = spellings.join(forms.select(F.col("form").alias("spelling")), "spelling", "left_anti")
+    forms = cut(entries.join(spellings.withColumnRenamed("spelling", "form"), "form", "left").select("form", "entry_id", "kind", F.coalesce("n", F.lit(0)).alias("n")))
+    unnamed = cut(spellings.join(forms.select(F.col("form").alias("spelling")), "spelling", "left_anti"))
 
-    inside = keep(_candidates(unnamed, forms))
+    inside = cut(_candidates(unnamed, forms))
     own = names_of_their_own(inside.where("far is not null").select(F.col("far").alias("word")), forms)
-    inside = keep(inside.join(own.withColumnRenamed("word", "far"), "far", "left_anti"))
+    inside = cut(inside.join(own.withColumnRenamed("word", "far"), "far", "left_anti"))
     explained = inside.where(F.col("loglik") >= LEAST).select("spelling").distinct()
     outside_forms = (
         unnamed.where(F.col("n") >= FREQUENT).join(explained, "spelling", "left_anti").select(F.col("spelling").alias("form"), F.lit(None).cast("string").alias("kind"), "n")
@@ -144,5 +145,5 @@ def attribute_records(records: DataFrame, register: DataFrame) -> DataFrame:
     """
     records = keep(records.where("record_id is not null and author is not null").distinct())
     spellings = records.groupBy(F.col("author").alias("spelling")).agg(F.count("*").alias("n"))
-    meant = keep(attribute_spellings(spellings, register).select("spelling", "entry_id"))
+    meant = cut(attribute_spellings(spellings, register).select("spelling", "entry_id"))
     return records.join(small_side(meant, BROADCAST_ROWS), F.col("author") == F.col("spelling")).select("record_kind", "record_id", "entry_id").distinct()
