@@ -47,12 +47,13 @@ _ENDS = rf"[.!?。]{_QUOTES}$"
 _FUNCTION_WORDS = "a an and as at be but by for from had has have he if in is it its my no nor not of on or our shall so that the their them then they this to under unless until upon was we were what when where whereas which while who whom will with would you der die das und ein eine zu von mit nicht ohne wenn le la les de des du un une et ne que qui pour par el los las del y en se si no su"
 
 
-def _last_line(tail: Column) -> Column:
-    return F.regexp_extract(tail, r"([^\n]*)$", 1)
+def _last_line(text: Column) -> Column:
+    return F.substring_index(text, "\n", -1)
 
 
-def _line_before(tail: Column) -> Column:
-    return F.regexp_extract(tail, r"([^\n]*)\n+[^\n]*$", 1)
+def _line_before(text: Column) -> Column:
+    head = F.substring(text, F.lit(1), F.length(text) - F.length(_last_line(text)))
+    return _last_line(F.rtrim(head, F.lit(" \t\r\n")))
 
 
 def endings(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
