@@ -118,7 +118,7 @@ def leading_year(date: Column) -> Column:
 
 
 def authors_of(author: Column) -> Column:
-    return F.filter(F.transform(F.split(author, "[,&;]"), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(author, "[,&;]"), lambda a: F.trim(a)), lambda a: a != "")
 
 
 def stable_id(prefix: str | Column, *parts: Column) -> Column:

@@ -33,15 +33,15 @@ def _matches(text: Column, pattern: str, groups: int) -> Column:
 
 
 def _rows(df: DataFrame, kind: str, text: str, pattern: str, groups: int) -> DataFrame:
-    found = df.select("id", F.lit(kind).alias("kind"), F.col(text).alias("text"), F.posexplode(_matches(F.col(text), pattern, groups)).alias("nth", "m"))
-    # where the n-th match of a wording stands: the matches before it are cut away
-    same = Window.partitionBy("id", "kind", "m.g0").orderBy("nth")
-    return found.withColumn("same", F.row_number().over(same))
+    """A row a match: m holds its groups, byte_offset where it stands in the lower-cased text.
 
-
-def _offset(text: Column, match: Column, nth: Column) -> Column:
-    before = F.substring_index(F.lower(text), F.lower(match), nth)
-    return F.octet_length(before)
+    The offset is the length of the pieces between the matches before it and of those matches.
+    """
+    both = df.select("id", F.lit(kind).alias("kind"), F.split(F.col(text), pattern, -1).alias("pieces"), _matches(F.col(text), pattern, groups).alias("found"))
+    rows = both.select("id", "kind", "pieces", "found", F.posexplode("found").alias("nth", "m"))
+    lengths = lambda parts: F.aggregate(parts, F.lit(0), lambda acc, p: acc + F.octet_length(F.lower(p)))
+    earlier = F.transform(F.slice("found", F.lit(1), F.col("nth")), lambda m: m["g0"])
+    return rows.withColumn("byte_offset", lengths(F.slice("pieces", F.lit(1), F.col("nth") + 1)) + lengths(earlier)).drop("pieces", "found")
 
 
 def extract(df: DataFrame, id_col: str, text_col: str, *, persons: Sequence[str] = PERSONS, series: Sequence[str] = SERIES) -> DataFrame:
@@ -64,7 +64,7 @@ def extract(df: DataFrame, id_col: str, text_col: str, *, persons: Sequence[str]
     k = numeral(F.col("m.g2"))
     essays = essay.where(k.between(1, ESSAYS)).withColumn("target", F.concat(F.lower("m.g1"), F.lit(":"), k.cast("string")))
     person = _rows(src, "person", "text", rf"(?i){_B}({'|'.join(persons)}){_E}", 1).withColumn("target", F.lower("m.g1"))
-    pick = lambda d: d.select("id", "kind", "target", _offset(F.col("text"), F.col("m.g0"), F.col("same")).alias("byte_offset"), F.col("m.g0").alias("matched_text"))
+    pick = lambda d: d.select("id", "kind", "target", "byte_offset", F.col("m.g0").alias("matched_text"))
     every = pick(clauses).unionByName(pick(amendments)).unionByName(pick(ordinals)).unionByName(pick(essays)).unionByName(pick(person))
     return every.select("id", "kind", "target", F.concat_ws(":", "kind", "target").alias("key"), "byte_offset", "matched_text")
 
