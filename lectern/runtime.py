@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,13 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables of one query, inside the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def keep(df: DataFrame) -> DataFrame:
     """``df`` kept in memory and on disk for reuse inside one query; lost parts are recomputed."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

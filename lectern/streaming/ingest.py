@@ -64,7 +64,7 @@ class Ingest:
 
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """window start, key, n, total of values, with a watermark for rows that come late."""
-    per = stream.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    per = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return per.select(F.col("window.start").alias("start"), key, "n", "total")
 
 
@@ -73,10 +73,14 @@ def running_mean(stream: DataFrame, key: str, value: Callable[[], object] | str)
     return stream.groupBy(key).agg(F.count("*").alias("n"), F.avg(value if isinstance(value, str) else value()).alias("mean"))
 
 
-def to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there into an in-memory table and read it."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over what is there, its result written to a folder after each batch, and read it."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(path)
 
 
 def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
