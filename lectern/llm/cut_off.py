@@ -39,6 +39,8 @@ FORMULA_SHARE, FORMULA_TEXTS = 0.02, 3
 BROADCAST_ROWS = 200_000
 
 _TAIL = 400
+#: White space at the end of a text. Fixed values.
+_WHITE = " \t\r\n\u000b\u000c\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _QUOTES = r"[\"'”’»)\]]*"
 _ELLIPSIS = r"(?:\.{3,}|…)"
 #: What is put after a cut, when a part of a sentence stands before it.
@@ -56,15 +58,15 @@ def _line_before(text: Column) -> Column:
     return _last_line(F.rtrim(head, F.lit(" \t\r\n")))
 
 
-def endings(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """id, the end of the text, its last line, the line before, the last word, and the kind of end.
+def endings(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """id, source, the end of the text, its last line, the line before, the last word, and the kind of end.
 
     Kinds: ``sentence`` (ends as a sentence ends), ``ellipsis``, ``mark`` (a mark of a
     cut), ``line`` (a line that may be the close of its kind), ``open`` (anything else).
     """
-    src = df.select(F.col(id_col).alias("id"), *(F.col(c) for c in more), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}]"))
-    tail = src.select("id", *more, F.regexp_replace(F.substring(F.col("text"), -_TAIL, _TAIL), r"[\s\p{Z}]+$", "").alias("tail"))
-    out = tail.select("id", *more, "tail", _last_line(F.col("tail")).alias("last_line"), _line_before(F.col("tail")).alias("line_before"))
+    src = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}]"))
+    tail = src.select("id", "source", F.substring(F.rtrim(F.col("text"), F.lit(_WHITE)), -_TAIL, _TAIL).alias("tail"))
+    out = tail.select("id", "source", "tail", _last_line(F.col("tail")).alias("last_line"), _line_before(F.col("tail")).alias("line_before"))
     ll, before = F.col("last_line"), F.col("line_before")
     whole_bracket = ll.rlike(r"^\s*[\[(].*[A-Za-z]{2}.*[\])]$") & ~ll.rlike(_CUT_MARK)
     names = ll.rlike(r"^(?:[A-Z][\w'.’-]*,?\s+){1,4}[A-Z][\w'’-]*\.?$")
@@ -127,7 +129,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def prefixes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id of the texts that are strict prefixes of longer texts of the table."""
-    body = F.regexp_replace(F.col(text_col), r"[\s\p{Z}]+$", "")
+    body = F.rtrim(F.col(text_col), F.lit(_WHITE))
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw")).where(F.col("id").isNotNull() & F.col("raw").isNotNull() & (F.length("raw") >= PREFIX))
     keyed = src.select("id", F.xxhash64(F.substring("raw", 1, PREFIX)).alias("key"), F.length("raw").alias("len"))
     shared = keyed.groupBy("key").agg(F.min("len").alias("shortest"), F.max("len").alias("longest")).where("shortest < longest").select("key")
@@ -183,12 +185,12 @@ def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
         .when(F.col("kind") == "open", "open")
         .when((F.col("kind") == "line") & F.col("close").isin("list", "signature", "attested") & (F.col("broken") | in_words), "close")
     )
-    return marked.withColumn("reason", reason).where("reason is not null").select("id", source_col, "reason")
+    return marked.withColumn("reason", reason).where("reason is not null").select("id", "source", "reason")
 
 
 def cut_shares(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """source, texts, cut, share: how often each source cuts its texts."""
     per = df.where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"[^\s\p{Z}]")).groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("texts"))
-    cut = cut_texts(df, id_col, text_col, source_col).groupBy(F.col(source_col).alias("s")).agg(F.count("*").alias("cut"))
+    cut = cut_texts(df, id_col, text_col, source_col).groupBy(F.col("source").alias("s")).agg(F.count("*").alias("cut"))
     joined = per.join(cut, F.col("source").eqNullSafe(F.col("s")), "left")
     return joined.select("source", "texts", F.coalesce("cut", F.lit(0)).alias("cut"), (F.coalesce("cut", F.lit(0)) / F.col("texts")).alias("share"))

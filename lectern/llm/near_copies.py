@@ -114,6 +114,16 @@ def superminhash(elements: np.ndarray, doc: np.ndarray, docs: int, slots: int) -
     return sig
 
 
+def signatures(elements: np.ndarray, doc: np.ndarray, docs: int, slots: int) -> np.ndarray:
+    """The same over any number of elements: parts of bounded size, the smaller offer of each slot kept. ``doc`` is sorted."""
+    sig = np.full((docs, slots), np.iinfo(np.uint64).max, _U64)
+    for at in range(0, len(elements), _ELEMENTS):
+        part = doc[at : at + _ELEMENTS]
+        low, high = int(part[0]), int(part[-1]) + 1
+        np.minimum(sig[low:high], superminhash(elements[at : at + _ELEMENTS], part - low, high - low, slots), out=sig[low:high])
+    return sig
+
+
 def _bands(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         acc = np.broadcast_to(np.arange(bands, dtype=_U64) * _GOLDEN, (len(sig), bands)).copy()
@@ -140,7 +150,7 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int
             if not sets:
                 continue
             doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            sig = superminhash(np.concatenate(sets), doc, len(sets), slots)
+            sig = signatures(np.concatenate(sets), doc, len(sets), slots)
             digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
             sketch = (mix(sig[:, :SKETCH]) & _U64(0xFF)).astype(np.uint8)
             flat = pa.array(_bands(sig, bands, rows).reshape(-1))

@@ -307,7 +307,7 @@ class Scans:
         marks = keep(self.marks())
         plain = marks.where("kind in ('furniture', 'misread')").select("id", "line_no", F.col("kind").alias("defect"))
         asked = marks.where("kind = 'ask'").join(self.misreads, "word").select("id", "line_no", F.lit("misread").alias("defect"))
-        breaks = marks.where("kind = 'hyphen'").join(self.broken(marks), ["first", "rest"]).select("id", "line_no", F.lit("hyphen").alias("defect"))
+        breaks = marks.where("kind = 'hyphen'").join(self.breaks(marks).where("not own"), ["first", "rest"]).select("id", "line_no", F.lit("hyphen").alias("defect"))
         across = self.misread_across(marks)
         at = lambda line, side: across.where(side).select("id", F.col(line).alias("line_no"), F.lit("misread").alias("defect"))
         return plain.unionByName(asked).unionByName(breaks).unionByName(at("line_no", "in_first")).unionByName(at("rest_no", "in_rest")).distinct()
@@ -320,8 +320,8 @@ class Scans:
         first_right, rest_right = F.expr("startswith(was, first)"), F.expr("endswith(was, rest)")
         return hyphens.join(was, "word").select("id", "line_no", "rest_no", (~first_right).alias("in_first"), (first_right | ~rest_right).alias("in_rest"))
 
-    def broken(self, marks: DataFrame) -> DataFrame:
-        """first, rest of the breaks whose hyphen is not the word's own."""
+    def breaks(self, marks: DataFrame) -> DataFrame:
+        """first, rest, own of the words broken at a line's end: whether the hyphen is the word's own."""
         pairs = marks.where("kind = 'hyphen'").select("first", "rest").distinct()
         v = self.vocab
         of = lambda name: v.select(F.col("word").alias(name), F.col("n").alias(f"{name}_n"))
@@ -331,15 +331,17 @@ class Scans:
             .join(of("joined"), "joined", "left")
             .join(of("compound"), "compound", "left")
         )
-        return asked.where("coalesce(joined_n, 0) >= coalesce(compound_n, 0)").select("first", "rest")
+        return asked.select("first", "rest", (F.coalesce("compound_n", F.lit(0)) > F.coalesce("joined_n", F.lit(0))).alias("own"))
 
     def repaired(self) -> DataFrame:
         """id, text: continuous paragraphs with whole words, furniture taken out and misread words put right."""
         marks = keep(self.marks())
+        fix = lambda kind, word, value: F.struct("line_no", kind.alias("kind"), word.alias("word"), value.alias("value")).alias("fix")
+        none = F.lit("")
         fixes = (
-            marks.where("kind = 'ask'").join(self.misreads, "word").select("id", F.struct("line_no", F.lit("misread").alias("kind"), "word", F.col("was").alias("value")).alias("fix"))
-            .unionByName(marks.where("kind = 'furniture'").select("id", F.struct("line_no", F.lit("furniture").alias("kind"), F.lit("").alias("word"), F.lit("").alias("value")).alias("fix")))
-            .unionByName(marks.where("kind = 'hyphen'").join(self.broken(marks), ["first", "rest"]).select("id", F.struct("line_no", F.lit("hyphen").alias("kind"), F.lit("").alias("word"), F.lit("").alias("value")).alias("fix")))
+            marks.where("kind = 'ask'").join(self.misreads, "word").select("id", fix(F.lit("misread"), F.col("word"), F.col("was")))
+            .unionByName(marks.where("kind = 'furniture'").select("id", fix(F.lit("furniture"), none, none)))
+            .unionByName(marks.where("kind = 'hyphen'").join(self.breaks(marks), ["first", "rest"]).select("id", fix(F.when(F.col("own"), "own").otherwise("hyphen"), none, none)))
         )
         per = fixes.distinct().groupBy("id").agg(F.collect_list("fix").alias("fixes"))
         joined = self.src.select("id", "text").dropDuplicates(["id"]).join(per, "id", "left")
@@ -387,14 +389,13 @@ def _plain(part: str) -> str:
 
 def _look(token: str, frequent: frozenset[str]) -> str | None:
     word = bare(token)
-    if not word or word == "&" or word in frequent:
+    if not word or word == "&" or _ORDINAL.match(word):
         return None
     inner = _EDGE.sub("", token)
-    if _ORDINAL.match(word) or inner.lower() in ("&c", "&c."):
-        return None
-    if _ODD.search(token.strip("\"'.,;:!?()[]“”‘’")) and re.search(r"[A-Za-z]", inner):
+    # damage on a word's face first: a damaged word may be frequent enough to be known
+    if _ODD.search(token.strip("\"'.,;:!?()[]“”‘’")) and re.search(r"[A-Za-z]", inner) and inner.lower() not in ("&c", "&c."):
         return ""
-    return word
+    return None if word in frequent else word
 
 
 def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +410,7 @@ def repair(text: str, fixes: list[tuple[int, str, str, str]]) -> str:
     """The text with its fixes made and the lines of each paragraph joined."""
     lines = text.split("\n")
     gone = {n - 1 for n, kind, *_ in fixes if kind == "furniture"}
-    joined = {n - 1 for n, kind, *_ in fixes if kind == "hyphen"}
+    joined, own = ({n - 1 for n, kind, *_ in fixes if kind == k} for k in ("hyphen", "own"))
     for n, kind, word, value in fixes:
         if kind == "misread" and word:
             lines[n - 1] = re.sub(rf"(?i)(?<![\w]){re.escape(word)}(?![\w])", lambda m: value.upper() if m.group().isupper() else value.capitalize() if m.group()[:1].isupper() else value, lines[n - 1])
@@ -425,11 +426,11 @@ def repair(text: str, fixes: list[tuple[int, str, str, str]]) -> str:
             if open_paragraph and not glue and not (near and paragraphs and not _ENDED.search(paragraphs[-1])):
                 open_paragraph = False
             continue
-        if n in joined:
-            s = s.rstrip(BREAKS + " ")
+        if n in joined or n in own:
+            s = s.rstrip(BREAKS + " ") + "-" * (n in own)
         if open_paragraph:
             paragraphs[-1] += s if glue else " " + s
         else:
             paragraphs.append(s)
-        open_paragraph, glue = True, n in joined
+        open_paragraph, glue = True, n in joined or n in own
     return "\n\n".join(paragraphs)
