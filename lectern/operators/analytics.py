@@ -13,13 +13,35 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.records import COVERAGE_LABELS
+from lectern.runtime import keep
 
 CLAUSES, ISSUES = "constitutional_clause_tags", "issue_tags"
 
 
-def once(df: DataFrame, key: str, *cols: str) -> DataFrame:
-    """The needed columns of a table whose rows may be delivered twice, one row a key."""
-    return df.select(key, *(c for c in cols if c != key)).where(F.col(key).isNotNull()).dropDuplicates([key])
+#: Keys delivered more than once that are looked up by a broadcast.
+REPEATED_KEYS = 1_000_000
+
+
+def once(df: DataFrame, key: str, *cols: str, delivered: str | None = None) -> DataFrame:
+    """The needed columns of a table whose rows may be delivered twice, one row a key.
+
+    With ``delivered`` (the time of delivery) no wide row is shuffled: keys and times
+    alone find the repeated keys, and of those only the first delivery passes the scan.
+    Where times are equal or missing, or very many keys repeat, rows are grouped by key.
+    """
+    wanted = [key, *(c for c in cols if c != key)]
+    rows = df.where(F.col(key).isNotNull())
+    if delivered is not None:
+        times = rows.groupBy(F.col(key), F.col(delivered).alias("__at")).agg(F.count("*").alias("n"))
+        again = times.groupBy(key).agg(F.min("__at").alias("__first"), F.sum("n").alias("rows"), F.max(F.when(F.col("__at").isNull(), 2).otherwise(F.col("n"))).alias("ties")).where("rows > 1")
+        again = keep(again)
+        found = again.agg(F.count("*").alias("keys"), F.coalesce(F.max("ties"), F.lit(0)).alias("ties")).first()
+        if found.ties <= 1 and found.keys <= REPEATED_KEYS:
+            if not found.keys:
+                return rows.select(*wanted)
+            firsts = F.broadcast(again.select(F.col(key).alias("__key"), "__first"))
+            return rows.join(firsts, F.col(key) == F.col("__key"), "left").where(F.col("__first").isNull() | (F.col(delivered) == F.col("__first"))).select(*wanted)
+    return rows.select(*wanted).dropDuplicates([key])
 
 
 def tags_of(c: str) -> Column:

@@ -19,7 +19,8 @@ CLAUSES, ISSUES = "constitutional_clause_tags", "issue_tags"
 
 
 def chunks(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    return once(read_table(spark, d, "chunks"), "chunk_id", *cols)
+    """Chunks with the columns needed; those with texts are not shuffled to count each once."""
+    return once(read_table(spark, d, "chunks"), "chunk_id", *cols, delivered="ingested_at" if "text" in cols else None)
 
 
 def joined(c: Column | str, by: str = "|") -> Column:

@@ -257,3 +257,15 @@ def test_kept_tables(spark):
     assert sorted(map(tuple, T.insert_ignore(old, new, ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "d")]
     assert sorted(map(tuple, T.difference(old, new).collect())) == [(1, "a", "left"), (2, "b", "left"), (2, "c", "right"), (3, "d", "right")]
     assert T.missing_fields(old, ["k", "z"]) == ["z"]
+
+
+@pytest.mark.parametrize("times", [(1, 2, 3), (1, 1, 3), (None, 2, 3), (None, None, None)])
+def test_each_key_once(spark, times):
+    df = spark.createDataFrame([("a", times[0], "x"), ("a", times[1], "x"), ("b", times[2], "y"), (None, 1, "z")], "k string, at int, text string")
+    for delivered in (None, "at"):
+        assert sorted(map(tuple, A.once(df, "k", "text", delivered=delivered).collect())) == [("a", "x"), ("b", "y")]
+
+
+def test_country_filter(spark):
+    df = spark.createDataFrame([("Europe", "France", "fr"), ("Asia", "Japan", "jp")], "region string, country string, country_id string")
+    assert df.where(FL.country_meta("Europe", "FRAN")).count() == 1 and df.where(FL.country_meta(None, "j")).count() == 1

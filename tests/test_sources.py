@@ -151,6 +151,13 @@ def test_newest_and_fetch_states(spark):
     assert {r.k: r.status for r in RD.landing(spark.createDataFrame([("1",), ("2",)], "k string"), spark.createDataFrame([("2",)], "k string"), "k").collect()} == {"1": "pending", "2": "cached"}
 
 
+def test_opinions_and_lists(spark):
+    df = spark.createDataFrame([(1, "", "<p>Cited &amp; so</p>", None), (2, "Plain", "x", "y"), (3, None, "", None)], "id int, plain_text string, html_with_citations string, html_lawbox string")
+    assert [tuple(r) for r in RD.opinions(df, 5).collect()] == [(1, "Cited & so"), (2, "Plain")]
+    world = spark.createDataFrame([("1", "Europe", "France", True, True, False, False), ("2", "Asia", "Japan", True, True, True, False)], "id string, region string, country string, public boolean, in_force boolean, is_draft boolean, is_historic boolean")
+    assert [r.id for r in RD.in_force(world).collect()] == ["1"]
+
+
 def test_writers(spark, corpus, tmp_path):
     df = RD.corpus_json(spark, corpus)
     SK.write_csv(SK.csv_rows(df), str(tmp_path / "csv"))
