@@ -121,7 +121,7 @@ class Lines:
         unsure: list[int] = []
         for i, line in enumerate(self.lines):
             s = line.strip()
-            if not s or len(s) > 90:
+            if not s or len(s) > 90 or running(s):
                 continue
             if _ONLY_NUMBER.match(s):
                 (unsure.append(i) if _BARE_SENTENCE_END.match(s) else found.add(i))
@@ -147,7 +147,7 @@ class Lines:
         skip = {i for i, line in enumerate(self.lines) if _ONLY_NUMBER.match(line)}
         for i, line in enumerate(self.lines):
             s = line.strip()
-            if not s or len(s) > 90 or i in skip or _HEADING.match(s):
+            if not s or len(s) > 90 or i in skip or running(s) or _HEADING.match(s):
                 continue
             core = header_core(s)
             letters = sum(c.isalpha() for c in core)
@@ -160,6 +160,17 @@ class Lines:
                 yield header_key(core)
 
 
+def running(s: str) -> bool:
+    """Whether a line is running text on its face: two words in small letters that are none of those around names."""
+    small = 0
+    for w in s.split():
+        if w[0].islower() and w not in _GLUE:
+            small += 1
+            if small > 1:
+                return True
+    return False
+
+
 def _titled(core: str) -> bool:
     return all(w[:1].isupper() or w.lower() in _GLUE for w in re.findall(r"[^\W\d_]+", core))
 
@@ -305,6 +316,7 @@ class Scans:
     def damage(self) -> DataFrame:
         """id, line_no, defect of each damaged line."""
         marks = keep(self.marks())
+        marks.count()  # once, before several stages ask for it at a time
         plain = marks.where("kind in ('furniture', 'misread')").select("id", "line_no", F.col("kind").alias("defect"))
         asked = marks.where("kind = 'ask'").join(self.misreads, "word").select("id", "line_no", F.lit("misread").alias("defect"))
         breaks = marks.where("kind = 'hyphen'").join(self.breaks(marks).where("not own"), ["first", "rest"]).select("id", "line_no", F.lit("hyphen").alias("defect"))
@@ -336,6 +348,7 @@ class Scans:
     def repaired(self) -> DataFrame:
         """id, text: continuous paragraphs with whole words, furniture taken out and misread words put right."""
         marks = keep(self.marks())
+        marks.count()
         fix = lambda kind, word, value: F.struct("line_no", kind.alias("kind"), word.alias("word"), value.alias("value")).alias("fix")
         none = F.lit("")
         fixes = (
