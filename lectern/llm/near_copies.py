@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import connected_components
-from lectern.runtime import keep, small_side
+from lectern.runtime import cut, keep, small_side
 
 WORD = re.compile(r"[^\W_]+")
 _U64 = np.uint64
@@ -48,6 +48,8 @@ _ELEMENTS = 24_000
 SKETCH = 128
 #: Candidates below this estimate are dropped; at a true 0.5 that is 4.5 standard deviations away.
 SKETCH_SLACK = 0.2
+#: Classes of one band that one task pairs; more are spread in blocks of this size.
+RUN = 2_000
 #: Rows up to which a side of a join is broadcast.
 BROADCAST_ROWS = 300_000
 
@@ -166,6 +168,66 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int
             )
 
 
+def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs a1 < b1 of classes in one band, from rows sorted by band and class.
+
+    A run of more than ``RUN`` classes is not paired here: it leaves as pairs of blocks
+    (arrays of classes), to be spread over tasks and paired there.
+    """
+    empty = np.empty(0, np.int64)
+    carried_band, carried = empty, empty
+
+    def emit(band: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
+        sizes = np.diff(np.append(starts, len(band)))
+        a, b, blocks = [], [], []
+        for size in np.unique(sizes):
+            if size < 2:
+                continue
+            at = starts[sizes == size]
+            if size <= RUN:
+                i, j = np.triu_indices(size, 1)
+                # as many rows at a time as keep the arrays small
+                for k in range(0, len(at), max(1, 2_000_000 // len(i))):
+                    runs = cls[at[k : k + max(1, 2_000_000 // len(i)), None] + np.arange(size)]
+                    a.append(runs[:, i].reshape(-1))
+                    b.append(runs[:, j].reshape(-1))
+            else:
+                for start in at:
+                    cut = [cls[k : min(k + RUN, start + size)] for k in range(start, start + size, RUN)]
+                    blocks += [(cut[x], cut[y]) for x in range(len(cut)) for y in range(x, len(cut))]
+        if a:
+            x, y = np.concatenate(a), np.concatenate(b)
+            differ = x != y
+            none = pa.nulls(int(differ.sum()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x[differ]), pa.array(y[differ]), none, none], _PAIR)
+        for x, y in blocks:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([x], pa.list_(pa.int64())), pa.array([y], pa.list_(pa.int64()))], _PAIR)
+
+    for batch in batches:
+        band = np.concatenate([carried_band, batch.column(0).to_numpy()])
+        cls = np.concatenate([carried, batch.column(1).to_numpy()])
+        if not len(band):
+            continue
+        # the last run may go on in the next batch
+        last = np.searchsorted(band, band[-1]) if band[0] != band[-1] else 0
+        yield from emit(band[:last], cls[:last]) if last else ()
+        carried_band, carried = band[last:], cls[last:]
+    if len(carried_band):
+        yield from emit(carried_band, carried)
+
+
+_PAIR = ["a1", "b1", "left", "right"]
+
+
+def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x, y in zip(batch.column(0), batch.column(1)):
+            x, y = x.values.to_numpy(), y.values.to_numpy()
+            a, b = np.repeat(x, len(y)), np.tile(y, len(x))
+            yield pa.RecordBatch.from_arrays([pa.array(a[a < b]), pa.array(b[a < b])], ["a1", "b1"])
+
+
 def _sketch_filter(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -202,15 +264,17 @@ class NearCopies:
         sig = keep(src.mapInArrow(lambda b: _signed(b, width, bands, rows), "id string, s1 bigint, s2 bigint, bands array<bigint>, sketch binary"))
         #: id, s1, s2: the class of each text.
         self.members = sig.select("id", "s1", "s2").distinct()
-        repeated = keep(sig.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-        repeated = small_side(repeated, BROADCAST_ROWS)
+        repeated = small_side(cut(sig.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").drop("n")), BROADCAST_ROWS)
         one = sig.join(repeated, ["s1", "s2"], "left_anti").select("s1", "s2", "id", "bands", "sketch")
         many = sig.join(repeated, ["s1", "s2"], "left_semi").select("s1", "s2", "id", "bands", "sketch").dropDuplicates(["s1", "s2"])
         reps = one.unionByName(many)
 
-        banded = reps.select(F.explode("bands").alias("band"), "s1")
-        left, right = banded.withColumnRenamed("s1", "a1"), banded.withColumnRenamed("s1", "b1")
-        candidates = left.join(right, "band").where("a1 < b1").select("a1", "b1").distinct()
+        # one shuffle of the bands, one sort, and pairs of neighbours in it; no side is joined
+        banded = reps.select(F.explode("bands").alias("band"), "s1").repartition("band").sortWithinPartitions("band", "s1")
+        met = banded.mapInArrow(_pairs_of_runs, "a1 bigint, b1 bigint, left array<bigint>, right array<bigint>")
+        met = keep(met)
+        blocks = met.where("left is not null").select("left", "right").repartition(F.xxhash64("left", "right")).mapInArrow(_pairs_of_blocks, "a1 bigint, b1 bigint")
+        candidates = met.where("left is null").select("a1", "b1").unionByName(blocks).distinct()
         sketches = reps.select("s1", "s2", "sketch")
         near = (
             candidates.join(sketches.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("sketch").alias("ka")), "a1")
@@ -218,10 +282,10 @@ class NearCopies:
             .select("a1", "a2", "b1", "b2", "ka", "kb")
             .mapInArrow(lambda b: _sketch_filter(b, threshold - SKETCH_SLACK), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
         )
-        near = keep(near)
+        near = cut(near)
 
         ends = near.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).union(near.select("b1", "b2")).distinct()
-        wanted = keep(reps.join(ends, ["s1", "s2"], "left_semi").select("id", "s1", "s2"))
+        wanted = cut(reps.join(ends, ["s1", "s2"], "left_semi").select("id", "s1", "s2"))
         sets = (
             src.join(small_side(wanted, BROADCAST_ROWS), "id")
             .select("s1", "s2", "text")
@@ -230,7 +294,7 @@ class NearCopies:
         )
         of = lambda x: sets.select(F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"), F.col("sh").alias(f"sh_{x}"))
         #: a1, a2, b1, b2, similarity: each link between two classes once.
-        self.links = keep(
+        self.links = cut(
             near.join(of("a"), ["a1", "a2"])
             .join(of("b"), ["b1", "b2"])
             .select("a1", "a2", "b1", "b2", "sh_a", "sh_b")

@@ -86,3 +86,24 @@ def test_components(spark):
     roots = {r.node: r.root for r in connected_components(edges).collect()}
     assert {roots[f"n{k:03}"] for k in range(121)} == {"n000"} and roots["y"] == "x" and "z" not in roots
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_pairs_of_sorted_runs(monkeypatch):
+    """Runs that span batches, and runs long enough to leave in blocks, give every pair once."""
+    import pyarrow as pa
+
+    from lectern.llm import near_copies as NC
+
+    monkeypatch.setattr(NC, "RUN", 4)
+    rng = random.Random(4)
+    rows = sorted({(rng.randrange(6), rng.randrange(60)) for _ in range(90)} | {(9, k) for k in range(11)} | {(-3, 1), (-3, 2)})
+    batches = [pa.RecordBatch.from_arrays([pa.array([b for b, _ in part], pa.int64()), pa.array([c for _, c in part], pa.int64())], ["band", "s1"]) for part in (rows[:0], rows[:7], rows[7:40], rows[40:])]
+    got, blocks = [], []
+    for out in NC._pairs_of_runs(iter(batches)):
+        for a, b, x, y in zip(*(c.to_pylist() for c in out.columns)):
+            (got.append((a, b)) if x is None else blocks.append((x, y)))
+    part = pa.RecordBatch.from_arrays([pa.array([x for x, _ in blocks], pa.list_(pa.int64())), pa.array([y for _, y in blocks], pa.list_(pa.int64()))], ["left", "right"])
+    for out in NC._pairs_of_blocks(iter([part])):
+        got += zip(*(c.to_pylist() for c in out.columns))
+    want = [(c, e) for b, c in rows for d, e in rows if b == d and c < e]
+    assert sorted(got) == sorted(want)
