@@ -19,7 +19,7 @@ CLAUSES, ISSUES = "constitutional_clause_tags", "issue_tags"
 
 
 #: Keys delivered more than once that are looked up by a broadcast.
-REPEATED_KEYS = 1_000_000
+REPEATED_KEYS = 300_000
 
 
 def once(df: DataFrame, key: str, *cols: str, delivered: str | None = None) -> DataFrame:
