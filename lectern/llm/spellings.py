@@ -83,15 +83,18 @@ def _surnames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def names_of_their_own(words: DataFrame, forms: DataFrame) -> DataFrame:
-    """word: those made of the front of several surnames of the register and the back of several.
+    """word: those made of a front and a back of the register's surnames.
 
-    Somebody's name looks like that and a typing error seldom does, so a word two
-    edits from a surname that is such a name is not taken for a misspelling of it.
+    A front counts where several letters follow it in the register, a back where several
+    letters stand before it: there a surname has a joint. Somebody's name looks like that
+    and a typing error seldom does, so a word two edits from a surname that is such a name
+    is not taken for a misspelling of it.
     """
     cut = "word string, front string, back string"
     known = keep(forms.where("kind is null or kind = 'person'").select("form").mapInArrow(_surnames, "word string").distinct().mapInArrow(_name_parts, cut))
-    often = lambda part: known.groupBy(part).agg(F.count("*").alias("n")).where("n >= 2").select(part)
-    return words.distinct().mapInArrow(_name_parts, cut).join(often("front"), "front").join(often("back"), "back").select("word").distinct()
+    joints = lambda part, letter: known.groupBy(part).agg(F.countDistinct(letter).alias("n")).where("n >= 2").select(part)
+    fronts, backs = joints("front", F.substring("back", 1, 1)), joints("back", F.substring("front", -1, 1))
+    return words.distinct().mapInArrow(_name_parts, cut).join(fronts, "front").join(backs, "back").select("word").distinct()
 
 
 def _candidates(spellings: DataFrame, forms: DataFrame) -> DataFrame:
