@@ -16,6 +16,7 @@ from lectern.llm.spellings import attribute_records
 from lectern.llm.split import split_long
 from lectern.llm.together import co_occurrence, significant_pairs
 from lectern.llm.tokens import encode, vocabulary
+from lectern.operators.analytics import once
 from lectern.runtime import read_table
 
 TAGS = ("issue_tags", "constitutional_clause_tags")
@@ -60,7 +61,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
-    return Scans(read_table(spark, d, "chunks")).repaired().withColumnRenamed("id", "chunk_id")
+    chunks = once(read_table(spark, d, "chunks"), "chunk_id", "document_id", "title", "text", delivered="ingested_at")
+    return Scans(chunks, unique=True).repaired().withColumnRenamed("id", "chunk_id")
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:

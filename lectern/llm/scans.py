@@ -293,7 +293,9 @@ def misread_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
 class Scans:
     """The scan damage of a table of chunks."""
 
-    def __init__(self, df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", doc_col: str = "document_id", title_col: str = "title"):
+    def __init__(self, df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", doc_col: str = "document_id", title_col: str = "title", *, unique: bool = False):
+        """``unique``: ids are known to occur once, so texts need not be shuffled to see to it."""
+        self.unique = unique
         self.src = df.select(
             F.col(id_col).cast("string").alias("id"), F.col(doc_col).cast("string").alias("doc"), F.col(title_col).cast("string").alias("title"), F.col(text_col).alias("text")
         ).where("id is not null and text is not null")
@@ -357,7 +359,8 @@ class Scans:
             .unionByName(marks.where("kind = 'hyphen'").join(self.breaks(marks), ["first", "rest"]).select("id", fix(F.when(F.col("own"), "own").otherwise("hyphen"), none, none)))
         )
         per = fixes.distinct().groupBy("id").agg(F.collect_list("fix").alias("fixes"))
-        joined = self.src.select("id", "text").dropDuplicates(["id"]).join(per, "id", "left")
+        texts = self.src.select("id", "text")
+        joined = (texts if self.unique else texts.dropDuplicates(["id"])).join(per, "id", "left")
         return joined.mapInArrow(_repaired, "id string, text string")
 
 
