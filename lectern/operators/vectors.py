@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.runtime import keep
+
 
 def dot(a: Column, b: Column) -> Column:
     """In double precision; vectors of different lengths give 0."""
@@ -123,6 +125,53 @@ def sparse_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "term").groupBy("id_a", "id_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")).where("score > 0")
 
 
+def _best_of_block(batches: Iterator[pa.RecordBatch], ids: list[str], postings: dict[str, tuple[np.ndarray, np.ndarray]], k: int, digits: int) -> Iterator[pa.RecordBatch]:
+    """The k best texts of a task, which come in order of id, for each query of a block; a text touches the postings of its own terms."""
+    best_score, best_id = np.empty((len(ids), 0)), np.empty((len(ids), 0), object)
+    for batch in batches:
+        scores = np.zeros((batch.num_rows, len(ids)))
+        for i, terms in enumerate(batch.column(1).to_pylist()):
+            for t in terms:
+                if (p := postings.get(t["term"])) is not None:
+                    scores[i, p[0]] += p[1] * t["weight"]
+        score = np.concatenate([best_score, np.round(scores, digits).T], axis=1)
+        own = np.concatenate([best_id, np.broadcast_to(np.array(batch.column(0).to_pylist(), object), (len(ids), batch.num_rows))], axis=1)
+        order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # rows come in order of id, so ties stay in it
+        best_score, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(own, order, 1)
+    n = best_score.shape[1]
+    out = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, object), n), pa.string()), pa.array(best_id.reshape(-1), pa.string()), pa.array(best_score.reshape(-1))], ["id_a", "id_b", "score"])
+    yield out.filter(pa.array(best_score.reshape(-1) > 0))
+
+
+def best_matches(queries: DataFrame, rows: DataFrame, k: int, *, block: int = 500, digits: int = 5) -> DataFrame:
+    """id_a, id_b, score, rank of the k most similar rows of each text of a stated query set; both are (id, term, weight).
+
+    Queries go to the tasks in blocks as small posting lists; every row meets them in one
+    pass, and a task sends k rows a query, where a join over terms would send a row for
+    every term that two texts share.
+    """
+    queries = keep(queries)
+    texts = rows.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("terms")).sortWithinPartitions("id")
+    ids = queries.select("id").distinct()
+    n, out = ids.count(), None
+    if n > block:
+        texts = keep(texts)  # read once for each block
+    ordered = ids.orderBy("id")
+    for at in range(0, n, block):
+        own = [r.id for r in ordered.offset(at).limit(block).collect()]
+        place = {i: p for p, i in enumerate(own)}
+        lists: dict[str, list[tuple[int, float]]] = {}
+        for r in queries.where(F.col("id").isin(own)).collect():  # a block's terms
+            lists.setdefault(r.term, []).append((place[r.id], r.weight))
+        postings = {t: (np.array([p for p, _ in v]), np.array([w for _, w in v])) for t, v in lists.items()}
+        part = texts.mapInArrow(lambda b, own=own, postings=postings: _best_of_block(b, own, postings, k, digits), "id_a string, id_b string, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return ids.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    w = Window.partitionBy("id_a").orderBy(F.desc("score"), "id_b")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def best_per_left(pairs: DataFrame, n: int, score: str = "score", digits: int = 6) -> DataFrame:
     """The n best of each left id, numbered from 1."""
     w = Window.partitionBy("id_a").orderBy(F.desc("score"), "id_b")

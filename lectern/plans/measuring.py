@@ -74,7 +74,7 @@ def cross(s: SparkSession, d: str) -> DataFrame:
     return V.sparse_similarity(vectors(s, d, _LEFT), vectors(s, d, _RIGHT)).withColumn("score", F.round("score", 5))
 
 
-R.add("tfidf_cross_top", lambda s, d: V.best_per_left(cross(s, d), 25, digits=5), _CROSS + " SELECT id_a, id_b, score, rank FROM (SELECT id_a, id_b, score, (row_number() OVER (PARTITION BY id_a ORDER BY score DESC, id_b))::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 25")
+R.add("tfidf_cross_top", lambda s, d: V.best_matches(vectors(s, d, _LEFT), vectors(s, d, _RIGHT), 25), _CROSS + " SELECT id_a, id_b, score, rank FROM (SELECT id_a, id_b, score, (row_number() OVER (PARTITION BY id_a ORDER BY score DESC, id_b))::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 25")
 
 
 def cross_diverse(s: SparkSession, d: str) -> DataFrame:

@@ -269,3 +269,15 @@ def test_each_key_once(spark, times):
 def test_country_filter(spark):
     df = spark.createDataFrame([("Europe", "France", "fr"), ("Asia", "Japan", "jp")], "region string, country string, country_id string")
     assert df.where(FL.country_meta("Europe", "FRAN")).count() == 1 and df.where(FL.country_meta(None, "j")).count() == 1
+
+
+def test_best_matches_equal_the_join(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = lambda p, n: [(f"{p}{i}", f"t{t}", round(rng.random(), 3)) for i in range(n) for t in rng.sample(range(30), 6)]
+    a, b = (spark.createDataFrame(rows(p, n), "id string, term string, weight double") for p, n in (("a", 13), ("b", 40)))
+    got = {(r.id_a, r.id_b, r.rank) for r in V.best_matches(a, b, 4, block=5).collect()}
+    want = {(r.id_a, r.id_b, r.rank) for r in V.best_per_left(V.sparse_similarity(a, b), 4, digits=5).collect()}
+    assert got == want
+    assert V.best_matches(a.limit(0), b, 4).count() == 0
