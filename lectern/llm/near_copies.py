@@ -94,30 +94,35 @@ def superminhash(elements: np.ndarray, doc: np.ndarray, docs: int, slots: int) -
     at the same step of its permutation.
     """
     sig = np.full((docs, slots), np.iinfo(np.uint64).max, _U64)
-    flat = sig.reshape(-1)
-    perm = np.tile(np.arange(slots, dtype=np.uint16), (len(elements), 1))
-    row = np.arange(len(elements))
+    flat, base, n = sig.reshape(-1), doc * slots, len(elements)
+    # one row a slot, so that the values of a step lie side by side
+    perm = np.repeat(np.arange(slots, dtype=np.uint16), n)
+    row = np.arange(n)
+    finished = 0
     for step in range(slots):
         with np.errstate(over="ignore"):
             rnd = mix(elements + _U64(step + 1) * _GOLDEN)
-        k = step + (((rnd & _U64(0xFFFFFFFF)) * _U64(slots - step)) >> _U64(32)).astype(np.int64)
-        taken = perm[row, k]
-        perm[row, k] = perm[row, step]
-        perm[row, step] = taken
-        np.minimum.at(flat, doc * slots + taken, _U64(step << 32) | (rnd >> _U64(32)))
+        at = ((((rnd & _U64(0xFFFFFFFF)) * _U64(slots - step)) >> _U64(32)).astype(np.int64) + step) * n + row
+        taken = perm[at]
+        # places up to this step are never looked at again, so a swap writes one of its two sides
+        perm[at] = perm[step * n + row]
+        np.minimum.at(flat, base + taken, _U64(step << 32) | (rnd >> _U64(32)))
         done = sig.max(axis=1) < _U64((step + 1) << 32)
-        if done.all():
+        now = int(done.sum())
+        if now == docs:
             break
-        left = ~done[doc[row]]
-        if np.count_nonzero(left) < 0.7 * len(row):
-            row_kept = np.flatnonzero(left)
-            elements, doc, perm = elements[row_kept], doc[row_kept], perm[row_kept]
-            row = np.arange(len(elements))
+        if now > finished:
+            finished = now
+            left = ~done[doc]
+            if np.count_nonzero(left) < 0.7 * len(row):
+                elements, doc, base, row = elements[left], doc[left], base[left], row[left]
     return sig
 
 
 def signatures(elements: np.ndarray, doc: np.ndarray, docs: int, slots: int) -> np.ndarray:
     """The same over any number of elements: parts of bounded size, the smaller offer of each slot kept. ``doc`` is sorted."""
+    if len(elements) <= 2 * _ELEMENTS:
+        return superminhash(elements, doc, docs, slots)
     sig = np.full((docs, slots), np.iinfo(np.uint64).max, _U64)
     for at in range(0, len(elements), _ELEMENTS):
         part = doc[at : at + _ELEMENTS]
