@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,25 +23,33 @@ CLAUSES, ISSUES = "constitutional_clause_tags", "issue_tags"
 REPEATED_KEYS = 300_000
 
 
+def _places(df: DataFrame) -> bool:
+    """Whether rows have a place in files."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
 def once(df: DataFrame, key: str, *cols: str, delivered: str | None = None) -> DataFrame:
     """The needed columns of a table whose rows may be delivered twice, one row a key.
 
-    With ``delivered`` (the time of delivery) no wide row is shuffled: keys and times
-    alone find the repeated keys, and of those only the first delivery passes the scan.
-    Where times are equal or missing, or very many keys repeat, rows are grouped by key.
+    With ``delivered`` (the time of delivery) rows of files are not shuffled: keys, times
+    and places alone find the repeated keys, and of those only the row of the first
+    delivery passes the scan (of equal times the first in its file). Other tables, and
+    those with very many repeated keys, are grouped by key.
     """
     wanted = [key, *(c for c in cols if c != key)]
     rows = df.where(F.col(key).isNotNull())
-    if delivered is not None:
-        times = rows.groupBy(F.col(key), F.col(delivered).alias("__at")).agg(F.count("*").alias("n"))
-        again = times.groupBy(key).agg(F.min("__at").alias("__first"), F.sum("n").alias("rows"), F.max(F.when(F.col("__at").isNull(), 2).otherwise(F.col("n"))).alias("ties")).where("rows > 1")
-        again = keep(again)
-        found = again.agg(F.count("*").alias("keys"), F.coalesce(F.max("ties"), F.lit(0)).alias("ties")).first()
-        if found.ties <= 1 and found.keys <= REPEATED_KEYS:
-            if not found.keys:
-                return rows.select(*wanted)
-            firsts = F.broadcast(again.select(F.col(key).alias("__key"), "__first"))
-            return rows.join(firsts, F.col(key) == F.col("__key"), "left").where(F.col("__first").isNull() | (F.col(delivered) == F.col("__first"))).select(*wanted)
+    if delivered is not None and _places(df):
+        at = rows.select(*wanted, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("__at"), F.col(delivered).alias("__when"))
+        again = keep(at.groupBy(key).agg(F.min(F.struct("__when", "__at"))["__at"].alias("__first"), F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("__key"), "__first"))
+        keys = again.count()
+        if not keys:
+            return rows.select(*wanted)
+        if keys <= REPEATED_KEYS:
+            return at.join(F.broadcast(again), F.col(key) == F.col("__key"), "left").where(F.col("__first").isNull() | (F.col("__at") == F.col("__first"))).select(*wanted)
     return rows.select(*wanted).dropDuplicates([key])
 
 
