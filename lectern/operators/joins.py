@@ -9,8 +9,9 @@ over keys: ids in arrays are exploded, prefixes are cut at their separators.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,67 @@ def alias_pattern(names: Sequence[str]) -> str:
     return r"(?i)\b(?:" + "|".join(re.escape(n) for n in names if n) + r")\b"
 
 
+def _automaton(register: Sequence[tuple[str, Sequence[str]]]):
+    """All names of a register in one automaton, or None where the library is missing."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return None
+    found: dict[str, list[tuple[str, int]]] = {}
+    for entry, names in register:
+        for order, name in enumerate(n for n in names if n):
+            found.setdefault(name.lower(), []).append((entry, order))
+    automaton = ahocorasick.Automaton()
+    for name, owners in found.items():
+        automaton.add_word(name, (len(name), owners))
+    automaton.make_automaton()
+    return automaton if len(automaton) else None
+
+
+_WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_")
+
+
+def count_names(text: str, automaton) -> dict[str, int]:
+    """How often each entry's names stand in a text as words, whatever their case; of names that overlap the earlier counts."""
+    low = text.lower()
+    n = len(low)
+    places: dict[str, list[tuple[int, int, int]]] = {}
+    for end, (length, owners) in automaton.iter(low):
+        a, b = end - length + 1, end + 1
+        if (a == 0 or (low[a - 1] in _WORD) != (low[a] in _WORD)) and (b == n or (low[b] in _WORD) != (low[end] in _WORD)):
+            for entry, order in owners:
+                places.setdefault(entry, []).append((a, order, b))
+    out = {}
+    for entry, spans in places.items():
+        upto = count = 0
+        for a, _, b in sorted(spans):
+            if a >= upto:
+                count, upto = count + 1, b
+        out[entry] = count
+    return out
+
+
+def names_in_texts(df: DataFrame, id_col: str, text: Column, register: Sequence[tuple[str, Sequence[str]]], *keep: str) -> DataFrame:
+    """The same as ``mentions`` in one pass over each text, whatever the length of the register."""
+    src = df.select(F.col(id_col).alias("id"), *keep, text.alias("__text"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in src.dtypes[:-1]) + ", entry string, n int"
+    register = [(e, [*names]) for e, names in register]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(register)
+        for batch in batches:
+            at, entries, counts = [], [], []
+            for i, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                for entry, n in count_names(t or "", automaton).items():
+                    at.append(i)
+                    entries.append(entry)
+                    counts.append(n)
+            rows = [batch.column(c).take(pa.array(at, pa.int64())) for c in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(entries, pa.string()), pa.array(counts, pa.int32())], [*batch.schema.names[:-1], "entry", "n"])
+
+    return src.mapInArrow(find, schema)
+
+
 def mentions(df: DataFrame, id_col: str, text: Column, register: Sequence[tuple[str, Sequence[str]]], *keep: str) -> DataFrame:
     """id, entry, n: how often each entry's names stand in each text, where they do."""
     out = None

@@ -135,7 +135,7 @@ R.add("manifest_metadata", lambda s, d: chunks(s, d, "document_id", "title").joi
 
 
 def names(s: SparkSession, d: str) -> list[tuple[str, str]]:
-    return [(r.id, r.name) for r in read_table(s, d, "delegates").select("id", "name").orderBy("id").limit(5000).collect()]  # a register is bounded
+    return [(r.id, r.name) for r in read_table(s, d, "delegates").select("id", "name").orderBy("id").collect()]  # the register of names, taken in blocks
 
 
 R.add("author_names", lambda s, d: J.author_holds_name(chunks(s, d, "author"), "chunk_id", "author", names(s, d)), f"WITH {C} SELECT chunk_id AS id, g.id AS entry FROM c JOIN delegates g ON contains(lower(author), lower(name)) AND len(name) > 4")
@@ -166,12 +166,12 @@ R.add("siblings", siblings, f"WITH {C}, o AS (SELECT min(chunk_id) AS own FROM c
 
 # kept tables
 R.add("latest_delivery", lambda s, d: T.latest(read_table(s, d, "documents"), ["id"], F.desc("ingested_at"), F.desc("doc_id")).select("id", "doc_id"), "SELECT id, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST, doc_id DESC) = 1")
-R.add("upserted", lambda s, d: T.upsert(read_table(s, d, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus"), read_table(s, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("N").alias("o_orderstatus")), ["o_orderkey"]), "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'N' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
-R.add("inserted", lambda s, d: T.insert_ignore(read_table(s, d, "supplier").where("s_suppkey < 5").select("s_suppkey", "s_name"), read_table(s, d, "supplier").select("s_suppkey", F.lit("new").alias("s_name")), ["s_suppkey"]), "SELECT s_suppkey, CASE WHEN s_suppkey < 5 THEN s_name ELSE 'new' END AS s_name FROM supplier")
+R.add("upserted", lambda s, d: T.upsert(read_table(s, d, "orders").select("o_orderkey", "o_orderstatus"), read_table(s, d, "orders").where("o_orderstatus = 'O'").select("o_orderkey", F.lit("N").alias("o_orderstatus")), ["o_orderkey"]), "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'N' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+R.add("inserted", lambda s, d: T.insert_ignore(read_table(s, d, "supplier").where("s_acctbal >= 0").select("s_suppkey", "s_name"), read_table(s, d, "supplier").select("s_suppkey", F.lit("new").alias("s_name")), ["s_suppkey"]), "SELECT s_suppkey, CASE WHEN s_acctbal >= 0 THEN s_name ELSE 'new' END AS s_name FROM supplier")
 R.add("recency_list", lambda s, d: T.recency(read_table(s, d, "events"), "user_id", "event_type", "ts", 3), "SELECT user_id, event_type, ts, rank FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type))::INTEGER AS rank FROM (SELECT user_id, event_type, max(ts) AS ts FROM events GROUP BY ALL)) WHERE rank <= 3")
 R.add("occurrences", lambda s, d: T.numbered(chunks(s, d, "document_id", "pos", "title"), ["document_id", "title"], F.col("pos"), F.col("chunk_id")).select("chunk_id", "occurrence"), f"WITH {C} SELECT chunk_id, (row_number() OVER (PARTITION BY document_id, title ORDER BY pos, chunk_id))::INTEGER AS occurrence FROM c")
 R.add("page_of_results", lambda s, d: T.page(chunks(s, d, "pos"), ["pos", "chunk_id"], 40, 20).select("chunk_id"), f"WITH {C} SELECT chunk_id FROM c ORDER BY pos, chunk_id OFFSET 40 LIMIT 20")
-R.add("snapshot_diff", lambda s, d: T.difference(read_table(s, d, "documents").select("id", "n_chars").where("doc_id % 7 <> 0"), read_table(s, d, "documents").select("id", "n_chars").where("doc_id % 5 <> 0")), "SELECT id, n_chars, 'left' AS side FROM (SELECT id, n_chars FROM documents WHERE doc_id % 7 <> 0 EXCEPT ALL SELECT id, n_chars FROM documents WHERE doc_id % 5 <> 0) UNION ALL SELECT id, n_chars, 'right' FROM (SELECT id, n_chars FROM documents WHERE doc_id % 5 <> 0 EXCEPT ALL SELECT id, n_chars FROM documents WHERE doc_id % 7 <> 0)")
+R.add("snapshot_diff", lambda s, d: T.difference(read_table(s, d, "documents").select("id", "n_chars"), T.latest(read_table(s, d, "documents"), ["id"], F.desc("ingested_at"), F.desc("doc_id")).select("id", "n_chars")), "WITH n AS (SELECT id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST, doc_id DESC) = 1) SELECT id, n_chars, 'left' AS side FROM (SELECT id, n_chars FROM documents EXCEPT ALL FROM n) UNION ALL SELECT id, n_chars, 'right' FROM (FROM n EXCEPT ALL SELECT id, n_chars FROM documents)")
 R.add("first_labels", lambda s, d: graph(s, d)[0].where("type = 'document'").select("id", "label"), f"WITH {C} SELECT 'document:' || coalesce(document_id, '') AS id, coalesce(arg_min(title, (pos, chunk_id)), '') AS label FROM c GROUP BY 1")
 R.add("transcripts_flat", lambda s, d: RD.flatten_speech(read_table(s, d, "casetranscripts")).select("transcript_id", F.md5("text").alias("digest"), F.length("text").alias("n")), """WITH r AS (SELECT DISTINCT ON (seg_id) * FROM casetranscripts WHERE text IS NOT NULL AND text <> ''), x AS (SELECT transcript_id, string_agg('[' || coalesce(speakername, 'Unknown') || ']: ' || text, chr(10) || chr(10) ORDER BY start, seg_id) AS text FROM r GROUP BY 1)
 SELECT transcript_id, md5(text) AS digest, len(text)::INTEGER AS n FROM x""")

@@ -120,13 +120,14 @@ SELECT a.document_id AS document_a, b.document_id AS document_b, sum(a.kind)::BI
 
 # delegates, coverage, validation
 def _register(s: SparkSession, d: str) -> list[tuple[str, list[str]]]:
-    rows = read_table(s, d, "delegates").where("kind = 'person' and name is not null").orderBy("id").limit(5000).collect()  # a register of persons is bounded
+    rows = read_table(s, d, "delegates").where("kind = 'person' and name is not null").orderBy("id").collect()  # the register of names, taken in blocks
     return [(r.id, [r.name, r.name.replace(" Jr.", "").split()[-1]]) for r in rows if not r.name.endswith("Jr.")]
 
 
 def delegate_mentions(s: SparkSession, d: str) -> DataFrame:
     text = F.concat_ws(" ", "title", "author", "text")
-    m = J.mentions(chunks(s, d, "title", "author", "text", "source_collection"), "chunk_id", text, _register(s, d), "source_collection")
+    find = J.names_in_texts if J._automaton([("x", ["x"])]) is not None else J.mentions
+    m = find(chunks(s, d, "title", "author", "text", "source_collection"), "chunk_id", text, _register(s, d), "source_collection")
     total = m.groupBy("entry").agg(F.count("*").alias("chunks"), F.sum("n").alias("mentions"))
     per = m.where("source_collection is not null").groupBy("entry", "source_collection").agg(F.sum("n").alias("n"))
     best = A.top_n(per, ["entry"], 5, F.desc("n"), F.col("source_collection"))

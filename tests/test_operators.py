@@ -260,10 +260,12 @@ def test_kept_tables(spark):
 
 
 @pytest.mark.parametrize("times", [(1, 2, 3), (1, 1, 3), (None, 2, 3), (None, None, None)])
-def test_each_key_once(spark, times):
+def test_each_key_once(spark, times, tmp_path):
     df = spark.createDataFrame([("a", times[0], "x"), ("a", times[1], "x"), ("b", times[2], "y"), (None, 1, "z")], "k string, at int, text string")
-    for delivered in (None, "at"):
-        assert sorted(map(tuple, A.once(df, "k", "text", delivered=delivered).collect())) == [("a", "x"), ("b", "y")]
+    df.write.mode("overwrite").parquet(str(tmp_path / "t"))
+    for table in (df, spark.read.parquet(str(tmp_path / "t"))):
+        for delivered in (None, "at"):
+            assert sorted(map(tuple, A.once(table, "k", "text", delivered=delivered).collect())) == [("a", "x"), ("b", "y")]
 
 
 def test_country_filter(spark):
@@ -281,3 +283,14 @@ def test_best_matches_equal_the_join(spark):
     want = {(r.id_a, r.id_b, r.rank) for r in V.best_per_left(V.sparse_similarity(a, b), 4, digits=5).collect()}
     assert got == want
     assert V.best_matches(a.limit(0), b, 4).count() == 0
+
+
+def test_names_in_one_pass_equal_patterns(spark):
+    from lectern.operators import joins as J
+
+    register = [("o", ["Ann B. Oak", "Oak"]), ("p", ["Pine"]), ("none", [])]
+    texts = ["Ann B. Oak and OAK, oaks; Oakley", "pine-oak pine_ Pine", None, "", "Ann B.Oak"]
+    df = spark.createDataFrame([(str(k), t, "z") for k, t in enumerate(texts)], "id string, t string, c string")
+    a = sorted(map(tuple, J.names_in_texts(df, "id", F.col("t"), register, "c").collect()))
+    b = sorted(map(tuple, J.mentions(df, "id", F.coalesce("t", F.lit("")), register, "c").collect()))
+    assert a == b == [("0", "z", "o", 2), ("1", "z", "o", 1), ("1", "z", "p", 2), ("4", "z", "o", 1)]
