@@ -68,14 +68,26 @@ class PostingIndex:
         Terms are taken in order; a near term that is already listed is skipped, an exact
         one that comes later is listed again.
         """
-        known = {r.term for r in self.postings.where(F.col("term").isin(*set(terms))).select("term").distinct().collect()} if terms else set()
+        near = self._near(list(dict.fromkeys(terms)), distance)
         out: list[tuple[str, float]] = []
         for t in terms:
-            if t in known:
+            if t in near.get(t, ()):
                 out.append((t, 1.0))
             elif distance > 0:
-                near = [r.term for r in fuzzy_terms(self.postings, t, distance, MOST_EXPANSIONS).collect()]
-                out += [(x, FUZZY_WEIGHT) for x in near if x not in {y for y, _ in out}]
+                out += [(x, FUZZY_WEIGHT) for x in near.get(t, ()) if x not in {y for y, _ in out}]
+        return out
+
+    def _near(self, terms: Sequence[str], distance: int) -> dict[str, list[str]]:
+        """The three nearest terms of the corpus to each of the query's, itself first, in one pass over the vocabulary."""
+        if not terms:
+            return {}
+        q = F.array(*(F.struct(F.lit(t).alias("asked"), F.lit(len(t)).alias("n")) for t in terms))
+        met = self.postings.select("term").distinct().select("term", F.explode(F.filter(q, lambda x: F.abs(F.length("term") - x["n"]) <= distance)).alias("x"))
+        far = met.select("term", "x.asked", F.expr(f"levenshtein(term, x.asked, {int(distance)})").alias("distance")).where("distance >= 0")
+        best = far.withColumn("r", F.row_number().over(Window.partitionBy("asked").orderBy("distance", "term"))).where(F.col("r") <= MOST_EXPANSIONS)
+        out: dict[str, list[str]] = {}
+        for r in best.orderBy("asked", "r").collect():  # three rows a term
+            out.setdefault(r.asked, []).append(r.term)
         return out
 
     def bm25_or(self, terms: Sequence[tuple[str, float]], allowed: DataFrame | None = None, min_score: float | None = None) -> DataFrame:
