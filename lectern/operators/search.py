@@ -134,9 +134,10 @@ def bm25_scan(df: DataFrame, id_col: str, tokens: Column, terms: Sequence[str],
     if not asked:
         return df.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     count = lambda t: F.size(F.filter("tokens", lambda x: x == t))
-    row = df.select(F.col(id_col).alias("id"), (F.lit(True) if where is None else where).alias("allowed"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens")).select(
-        "id", "allowed", F.size("tokens").cast("double").alias("dl"), *(count(t).cast("double").alias(f"tf{i}") for i, t in enumerate(asked))
-    )
+    tokenised = df.select(F.col(id_col).alias("id"), (F.lit(True) if where is None else where).alias("allowed"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
+    counted = F.struct(F.size("tokens").cast("double").alias("dl"), *(count(t).cast("double").alias(f"tf{i}") for i, t in enumerate(asked)))
+    # through a generator, for a filter on counts would otherwise be pushed down with the tokenizer inside it
+    row = tokenised.select("id", "allowed", F.explode(F.array(counted)).alias("x")).select("id", "allowed", "x.*")
     seen = row.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked)))).first()
     score = F.lit(0.0)
     for i, w in enumerate(asked.values()):
