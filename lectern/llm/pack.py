@@ -23,7 +23,6 @@ from __future__ import annotations
 
 from bisect import bisect_right, insort
 from collections import defaultdict
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
