@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -103,6 +104,9 @@ def co_occurrence(df: DataFrame, id_col: str, tag_cols: Sequence[str]) -> DataFr
 def significant_pairs(df: DataFrame, id_col: str, tag_cols: Sequence[str], *, least: int = 4, least_share: float = 0.001, least_lift: float = 2.0) -> DataFrame:
     """The pairs in at least ``least`` records and ``least_share`` of all, ``least_lift`` times as often as chance."""
     pairs = co_occurrence(df, id_col, tag_cols)
-    # whole numbers on the left: n_ab * N >= lift * n_a * n_b loses nothing to rounding
-    often = F.col("n_ab").cast("decimal(38,0)") * F.col("n_records") >= F.lit(least_lift) * F.col("n_a").cast("double") * F.col("n_b").cast("double")
-    return pairs.where((F.col("n_ab") >= least) & (F.col("n_ab").cast("double") >= F.col("n_records") * F.lit(least_share)) & often)
+    # decimals on both sides, so that no bound is missed by the rounding of a fraction
+    whole = lambda c: F.col(c).cast("decimal(18,0)")
+    bound = lambda x: F.lit(Decimal(str(x)))
+    shared = whole("n_ab") >= whole("n_records") * bound(least_share)
+    often = whole("n_ab") * whole("n_records") >= whole("n_a") * whole("n_b") * bound(least_lift)
+    return pairs.where((F.col("n_ab") >= least) & shared & often)

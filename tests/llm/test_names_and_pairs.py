@@ -89,3 +89,13 @@ def test_records(spark):
     assert got == {("1", "o"), ("2", "o"), ("3", "y1"), ("6", "a")}
     assert attribute_records(records.limit(0), register).count() == 0
     assert attribute_records(records, register.limit(0)).count() == 0
+
+
+def test_bounds_are_exact(spark):
+    """Of 3,000 records three are a thousandth, and twice as often as chance is enough."""
+    rows = [(f"c{k}", ["a", "b"] if k < 3 else ["a"] if k < 1500 else [], [], "", 0) for k in range(3000)]
+    df = spark.createDataFrame(rows, TAGGED)
+    cols = ("issue_tags", "constitutional_clause_tags")
+    assert significant_pairs(df, "chunk_id", cols, least=3).count() == 1
+    assert significant_pairs(df, "chunk_id", cols, least=3, least_share=0.00101).count() == 0
+    assert significant_pairs(df, "chunk_id", cols, least=3, least_lift=2.001).count() == 0
