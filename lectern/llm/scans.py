@@ -15,7 +15,10 @@ Three kinds of damage are found, line by line:
   a stray mark. Rare words of the corpus are turned back by the confusions of a scan
   (``rn`` for ``m``, ``c`` for ``e`` ...); one that then is a much more frequent word
   was misread. What a copyist does (letters left out, doubled, swapped) is no
-  confusion of shapes.
+  confusion of shapes. Words damaged on their face (digits or marks among letters, long
+  s) are misread as they stand; ``repaired`` asks the corpus for the word that is most
+  frequent once digits, marks and at most one kind of confusion are turned back. Where
+  it knows none, only long s, ligatures and stray marks go.
 
 Counting goes over all texts; the frequent words that nearly all tokens hit are
 handed to the tasks up to a fixed number, any other word goes through a join, so
@@ -31,13 +34,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.names import distance
-from lectern.runtime import keep, small_side
+from lectern.runtime import cut, keep, small_side
 
 #: Marks that break a word at the end of a line. Fixed values.
 BREAKS = "-‐‑­¬"
@@ -49,6 +53,12 @@ CONFUSIONS = [
     ("w", "vv"), ("u", "ii"), ("i", "j"), ("j", "i"), ("t", "f"), ("f", "t"), ("i", "l"), ("l", "i"), ("l", "t"), ("t", "l"), ("s", "f"), ("f", "s"), ("o", "c"), ("c", "o"),
     ("w", "v"), ("v", "y"), ("y", "v"), ("g", "q"), ("q", "g"), ("a", "o"), ("o", "a"), ("e", "o"), ("o", "e"), ("li", "h"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("fi", "h"), ("k", "lc"), ("r", "i"), ("n", "ri"), ("n", "ii"), ("b", "lo"), ("a", "u"), ("ct", "d"), ("E", "F"), ("F", "E"), ("I", "T"),
 ]
+#: What digits, marks and old letters among letters are read for. Fixed values.
+FACES = {"0": ("o",), "1": ("l", "i"), "5": ("s",), "6": ("b",), "8": ("b",), "9": ("g",), "@": ("a", ""), "&": ("c",), "ſ": ("s",), "ﬁ": ("fi",), "ﬂ": ("fl",), ".": ("",)} | dict.fromkeys("^~|\\•·¦", ("",))
+#: Those of them that are never anything else. Fixed values.
+_UNDRESS = str.maketrans({"ſ": "s", "ﬁ": "fi", "ﬂ": "fl"} | dict.fromkeys("^~|\\•·¦", ""))
+#: Places with a choice that are tried one by one; beyond, the first choice stands at all.
+_CHOICES = 6
 #: A misread word's true form is in at least so many times more texts.
 TIMES = 12
 #: Frequent words handed to every task; others are joined.
@@ -61,6 +71,7 @@ _ORDINAL = re.compile(r"^\d+(?:st|d|nd|rd|th|s|o|mo|vo|to)?$")
 _ROMAN = re.compile(r"^m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 #: Damage on a word's face: stray marks, digits among letters, a full stop inside.
 _ODD = re.compile(r"[@^~|\\•·¦ſ]|[A-Za-z]\d|\d[A-Za-z]|[a-z]&|&[a-z]{2}|[ﬁﬂ]|[a-z]{2}\.[a-z]|[a-z]\.[a-z]{2}")
+_WORD_PARTS = re.compile(r"[\w@&'’.^~|\\•·¦]+")
 _HYPHEN_END = re.compile(rf"(?:^|[\s(\"'“‘])([\w@&ſ'’-]*?[A-Za-zÀ-ÿſ@][{STRAYS!r}]?)[{BREAKS}]\s*$".replace(repr(STRAYS), re.escape(STRAYS)))
 _FIRST_WORD = re.compile(r"^\W*([\w@&ſ'’^~|\\•-]+)")
 _PAGE = r"(?:\d{1,4}|[ivxlc]{1,7})"
@@ -265,6 +276,27 @@ def _turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()))], ["word", "n", "was"])
 
 
+def face_parts(token: str) -> list[str]:
+    """The words of a token that are damaged on their face."""
+    parts = (p.strip(".'’") for p in _WORD_PARTS.findall(token))
+    return [p for p in parts if _ODD.search(p) and re.search(r"[A-Za-z]", p)]
+
+
+def faced(word: str) -> set[str]:
+    """What a word may be with digits, marks and old letters turned into letters."""
+    options = [FACES.get(c, (c,)) for c in word.lower()]
+    if sum(len(o) > 1 for o in options) > _CHOICES:
+        options = [o[:1] for o in options]
+    return {"".join(c) for c in product(*options)} - {""}
+
+
+def _faced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(word, c, word.translate(_UNDRESS).lower()) for word in batch.column(0).to_pylist() for c in faced(word)]
+        cols = list(zip(*rows)) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["word", "c", "undressed"])
+
+
 def copyist(word: str, was: str) -> bool:
     """Whether one letter left out, doubled or swapped makes the word."""
     if len(word) == len(was) - 1:
@@ -347,16 +379,36 @@ class Scans:
         )
         return asked.select("first", "rest", (F.coalesce("compound_n", F.lit(0)) > F.coalesce("joined_n", F.lit(0))).alias("own"))
 
+    def true_words(self, words: DataFrame) -> DataFrame:
+        """word, value of misread words (word): the most frequent word of the corpus that each may be."""
+        may = cut(words.mapInArrow(_faced, "word string, c string, undressed string"))
+        known = self.vocab.select(F.col("word").alias("c"), F.col("n").alias("c_n"))
+        asked = cut(may.select("c").distinct().join(known, "c", "left"))
+        was = misread_words(asked.select(F.col("c").alias("word"), F.coalesce("c_n", F.lit(1)).alias("n")), self.vocab).withColumnRenamed("word", "c")
+        value = asked.join(was, "c", "left").select("c", F.coalesce("was", F.when(F.col("c_n").isNotNull(), F.col("c"))).alias("value")).where("value is not null")
+        counted = value.join(self.vocab.select(F.col("word").alias("value"), F.col("n").alias("value_n")), "value")
+        w = Window.partitionBy("word").orderBy(F.desc_nulls_last("value_n"), "value")
+        best = may.join(counted, "c", "left").withColumn("r", F.row_number().over(w)).where("r = 1")
+        return best.select("word", F.coalesce("value", "undressed").alias("value")).where("value <> lower(word)")
+
     def repaired(self) -> DataFrame:
         """id, text: continuous paragraphs with whole words, furniture taken out and misread words put right."""
-        marks = keep(self.marks())
-        marks.count()
+        marks = cut(self.marks())  # once, and out of the plans of the several stages that ask for it
         fix = lambda kind, word, value: F.struct("line_no", kind.alias("kind"), word.alias("word"), value.alias("value")).alias("fix")
         none = F.lit("")
+        breaks = self.breaks(marks)
+        faces = marks.where("kind = 'misread' and word is not null").select("id", "line_no", "word")
+        across = marks.where("kind = 'hyphen'").join(breaks.where("not own"), ["first", "rest"]).select("id", "line_no", "rest_no", F.substring_index("word", "\n", 1).alias("head"), F.substring_index("word", "\n", -1).alias("tail"))
+        across = across.withColumn("word", F.concat("head", "tail"))
+        true = cut(self.true_words(faces.select("word").union(across.select("word")).distinct()))
+        across = cut(across.join(true, "word").withColumn("cut", F.length("value") - F.least(F.length("tail"), F.length("value") - 1)).where("length(value) > 1"))
         fixes = (
             marks.where("kind = 'ask'").join(self.misreads, "word").select("id", fix(F.lit("misread"), F.col("word"), F.col("was")))
             .unionByName(marks.where("kind = 'furniture'").select("id", fix(F.lit("furniture"), none, none)))
-            .unionByName(marks.where("kind = 'hyphen'").join(self.breaks(marks), ["first", "rest"]).select("id", fix(F.when(F.col("own"), "own").otherwise("hyphen"), none, none)))
+            .unionByName(marks.where("kind = 'hyphen'").join(breaks, ["first", "rest"]).select("id", fix(F.when(F.col("own"), "own").otherwise("hyphen"), none, none)))
+            .unionByName(faces.join(true, "word").select("id", fix(F.lit("face"), F.col("word"), F.col("value"))))
+            .unionByName(across.select("id", fix(F.lit("head"), F.col("head"), F.expr("left(value, cut)"))))
+            .unionByName(across.select("id", F.col("rest_no").alias("line_no"), "tail", F.expr("substring(value, cut + 1)").alias("end")).select("id", fix(F.lit("tail"), F.col("tail"), F.col("end"))))
         )
         per = fixes.distinct().groupBy("id").agg(F.collect_list("fix").alias("fixes"))
         texts = self.src.select("id", "text")
@@ -382,7 +434,7 @@ def _marked(batches: Iterator[pa.RecordBatch], frequent: frozenset[str]) -> Iter
             rows += [(i, n + 1, "furniture", None, None, None, None) for n in furniture]
             ends: set[tuple[int, str]] = set()
             for n, m, first, rest in broken_words(lines.lines, furniture):
-                rows.append((i, n + 1, "hyphen", _plain(first), _plain(rest), None, m + 1))
+                rows.append((i, n + 1, "hyphen", _plain(first), _plain(rest), f"{first}\n{_EDGE.sub('', rest)}", m + 1))
                 ends |= {(n, lines.lines[n].split()[-1]), (m, lines.lines[m].split()[0])}
             if bad:
                 for n, line in enumerate(lines.lines):
@@ -391,7 +443,8 @@ def _marked(batches: Iterator[pa.RecordBatch], frequent: frozenset[str]) -> Iter
                     for t in bad.intersection(line.split()):
                         word = known[t]
                         if word == "":
-                            rows.append((i, n + 1, "misread", None, None, None, None))
+                            parts = [] if (n, t) in ends else face_parts(t)
+                            rows += [(i, n + 1, "misread", None, None, part, None) for part in parts or [None]]
                         elif (n, t) not in ends:
                             rows.append((i, n + 1, "ask", None, None, word, None))
         cols = list(zip(*rows)) if rows else [()] * 7
@@ -422,14 +475,35 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["id", "text"])
 
 
+#: Broken words are put right before words that stand whole.
+_FIX_ORDER = {"head": 0, "tail": 0, "face": 1}
+
+
+def _cased(read: str, value: str, before: str) -> str:
+    """``value`` in the letter case of what was read; a first letter that was not read as one is a capital after a sentence's end."""
+    letters = [c for c in read if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return value.upper()
+    first = read.lstrip("^~|\\•·¦")[:1]
+    capital = first.isupper() or (not first.isalpha() and (not before or re.search(r"[.!?][\"'”’)\]]*$", before) is not None))
+    return value[:1].upper() + value[1:] if capital else value
+
+
 def repair(text: str, fixes: list[tuple[int, str, str, str]]) -> str:
     """The text with its fixes made and the lines of each paragraph joined."""
     lines = text.split("\n")
     gone = {n - 1 for n, kind, *_ in fixes if kind == "furniture"}
     joined, own = ({n - 1 for n, kind, *_ in fixes if kind == k} for k in ("hyphen", "own"))
-    for n, kind, word, value in fixes:
+    for n, kind, word, value in sorted(fixes, key=lambda f: (_FIX_ORDER.get(f[1], 2), -len(f[2]))):  # the longer word first, so none is taken for a part of another
         if kind == "misread" and word:
             lines[n - 1] = re.sub(rf"(?i)(?<![\w]){re.escape(word)}(?![\w])", lambda m: value.upper() if m.group().isupper() else value.capitalize() if m.group()[:1].isupper() else value, lines[n - 1])
+        elif kind == "face":
+            before = next((x for x in reversed(lines[: n - 1]) if x.strip()), "") if n > 1 else ""
+            lines[n - 1] = re.sub(rf"(?<![\w@&^~|\\•·¦]){re.escape(word)}(?![\w@&^~|\\•·¦])", lambda m: _cased(m.group(), value, m.string[: m.start()].strip() or before), lines[n - 1])
+        elif kind == "head":
+            lines[n - 1] = re.sub(rf"{re.escape(word)}(?=[{BREAKS}]\s*$)", lambda m: _cased(m.group(), value, m.string[: m.start()].strip()), lines[n - 1])
+        elif kind == "tail":
+            lines[n - 1] = re.sub(rf"^(\W*){re.escape(word)}", lambda m: m[1] + (value.upper() if word.isupper() and len(word) > 1 else value), lines[n - 1])
     paragraphs: list[str] = []
     open_paragraph, glue = False, False
     for n, line in enumerate(lines):

@@ -73,3 +73,21 @@ def test_special_rows(spark):
 
 def test_long_line(spark):
     assert found(spark, "the price of flour " * 20_000) == set()
+
+
+def test_repair_of_faces(spark):
+    page = "The gent1eman frorn Wendiſton moved th@t\nthe c0mmi|ttee report upon the pr0perty. 5tatute\nand 0f flour—pr1ce, tbe\nC0NSTANT tidc-water of Fenn~wick A1."
+    df = corpus(spark, page, *["The statute of that price."] * 20)
+    text = {r.id: r.text for r in S.Scans(df).repaired().collect()}["p0"]
+    assert text == "The gentleman from Wendiston moved that the committee report upon the property. Statute and of flour—price, the CONSTANT tide-water of Fennwick A1."
+
+
+def test_repair_of_broken_words(spark):
+    page = "The com-\nmittce report upon the property, the eom-\nmittee and GENTLE-\nM@N of the con¬\nst@nt pr0p-\nerty."
+    text = {r.id: r.text for r in S.Scans(corpus(spark, page)).repaired().collect()}["p0"]
+    assert text == "The committee report upon the property, the committee and GENTLEMAN of the constant property."
+
+
+def test_repair_keeps_headers_and_own_hyphens(spark):
+    text = {r.id: r.text for r in S.Scans(corpus(spark, PAGE)).repaired().collect()}["p0"]
+    assert text.endswith("the tide-water of the northern counties under the constant property.")
