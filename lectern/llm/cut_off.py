@@ -59,14 +59,15 @@ def _line_before(text: Column) -> Column:
 
 
 def endings(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """id, source, the end of the text, its last line, the line before, the last word, and the kind of end.
+    """id, source, a hash of the text, the end of the text, its last line, the line before, the last word, and the kind of end.
 
     Kinds: ``sentence`` (ends as a sentence ends), ``ellipsis``, ``mark`` (a mark of a
     cut), ``line`` (a line that may be the close of its kind), ``open`` (anything else).
     """
     src = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}]"))
-    tail = src.select("id", "source", F.substring(F.rtrim(F.col("text"), F.lit(_WHITE)), -_TAIL, _TAIL).alias("tail"))
-    out = tail.select("id", "source", "tail", _last_line(F.col("tail")).alias("last_line"), _line_before(F.col("tail")).alias("line_before"))
+    whole = F.rtrim(F.col("text"), F.lit(_WHITE))
+    tail = src.select("id", "source", F.xxhash64(whole).alias("digest"), F.substring(whole, -_TAIL, _TAIL).alias("tail"))
+    out = tail.select("id", "source", "digest", "tail", _last_line(F.col("tail")).alias("last_line"), _line_before(F.col("tail")).alias("line_before"))
     ll, before = F.col("last_line"), F.col("line_before")
     whole_bracket = ll.rlike(r"^\s*[\[(].*[A-Za-z]{2}.*[\])]$") & ~ll.rlike(_CUT_MARK)
     names = ll.rlike(r"^(?:[A-Z][\w'.’-]*,?\s+){1,4}[A-Z][\w'’-]*\.?$")
@@ -92,8 +93,8 @@ def endings(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
 
 
 def _broken_words(closing: DataFrame) -> DataFrame:
-    """last_word for the closing words that are fronts of longer ones: a self-join on prefixes."""
-    words = keep(closing.where("last_word <> ''").groupBy(F.col("last_word").alias("word")).agg(F.count("*").alias("n")))
+    """last_word for the closing words that are fronts of longer ones: a self-join on prefixes; copies of a text count once."""
+    words = keep(closing.where("last_word <> ''").groupBy(F.col("last_word").alias("word")).agg(F.countDistinct("digest").alias("n")))
     fronts = (
         words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("word"))
         .where("word <> ''")
@@ -156,13 +157,13 @@ def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     ends = keep(endings(df, id_col, text_col, source_col))
     begun = prefixes(df, id_col, text_col).withColumn("prefix", F.lit(True))
 
-    # an ellipsis is a close where the same short sentence ends many texts with it
+    # an ellipsis is a close where the same short sentence ends many different texts with it
     trailing = ends.where("kind = 'ellipsis'").withColumn("sentence", _sentence_of_ellipsis(F.col("last_line")))
-    n_trailing = trailing.count()
+    n_trailing = trailing.select("digest").distinct().count()
     formulas = (
         trailing.where("sentence <> ''")
         .groupBy("sentence")
-        .agg(F.count("*").alias("n"))
+        .agg(F.countDistinct("digest").alias("n"))
         .where((F.col("n") >= FORMULA_TEXTS) & (F.col("n") >= F.lit(FORMULA_SHARE * n_trailing)))
         .where(~F.lower(F.regexp_extract("sentence", r"(\S+)$", 1)).isin(*_FUNCTION_WORDS.split()))
         .select("sentence", F.lit(True).alias("formula"))

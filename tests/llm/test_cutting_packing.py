@@ -154,6 +154,14 @@ def test_formulas_and_broken_closes(spark):
     assert {(r.id, r.reason) for r in cut_texts(docs(spark, signed)).collect()} == {(20, "close")}
 
 
+def test_copies_make_no_formula(spark):
+    copied = ["The clerk rose. The ship sailed for Elvholm..."] * 5
+    assert {r.id for r in cut_texts(docs(spark, copied)).collect()} == set(range(5))
+    signed = [f"It was {k}.\nWith respect,\nRichard Pemcombe" for k in range(20)] + ["It was so.\nWith respect,\nRichard Pemc"] * 9
+    assert {(r.id, r.reason) for r in cut_texts(docs(spark, signed)).collect()} == {(k, "close") for k in range(20, 29)}
+    assert {r.source: r.cut for r in cut_shares(docs(spark, copied)).collect()} == {"s0": 3, "s1": 2}
+
+
 def test_prefixes(spark):
     long = "This opening of the text is shared by many of the copies that were sent, " + "and more follows here " * 5
     texts = [long, long[:60], long[:60], long, long[:90] + "x", "short", "short one"] + [long + f"{k:02}" for k in range(30)]
