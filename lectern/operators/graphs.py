@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +88,7 @@ def ego(edges: DataFrame, centre: str, depth: int = 2, most_nodes: int = 100) ->
     return nodes, graph.join(done, "source").where("source < target").select("source", "target")
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, most_steps: int = 12) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
     """step, node of a shortest path; of several the one that is first in order of its names; no rows if there is none.
 
     Breadth first: each round extends the reached nodes by one step and keeps the
@@ -98,7 +100,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, most_steps: int = 12)
     graph = cut(both_ways(edges))
     reached = spark.createDataFrame([(start, None, 0)], "node string, parent string, step int")
     frontier = reached
-    for step in range(1, most_steps + 1):
+    for step in count(1):
         found = graph.join(frontier.select(F.col("node").alias("source")), "source").groupBy(F.col("target").alias("node")).agg(F.min("source").alias("parent"))
         frontier = cut(found.join(reached.select("node"), "node", "left_anti").select("node", "parent", F.lit(step).alias("step")))
         reached = cut(reached.unionByName(frontier))
@@ -109,8 +111,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, most_steps: int = 12)
                 path.append(at)
             return spark.createDataFrame([*enumerate(reversed(path))], "step int, node string")
         if not frontier.limit(1).count():
-            break
-    return spark.createDataFrame([], "step int, node string")
+            return spark.createDataFrame([], "step int, node string")
 
 
 def strongest(edges: DataFrame, node: str, n: int) -> DataFrame:

@@ -199,6 +199,12 @@ def test_paths(spark):
     assert walk("a", "d") == ["a", "b", "d"] and walk("a", "x") == [] and walk("a", "a") == ["a"]
 
 
+def test_long_paths(spark):
+    names = [f"n{k:02}" for k in range(15)]
+    found = G.shortest_path(edges(spark, *zip(names, names[1:])), names[0], names[-1])
+    assert [r.node for r in found.orderBy("step").collect()] == names
+
+
 def test_ego(spark):
     e = edges(spark, ("a", "b"), ("b", "c"), ("c", "d"))
     nodes, found = G.ego(e, "a", 2)
