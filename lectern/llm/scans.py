@@ -59,7 +59,7 @@ FACES = {"0": ("o",), "1": ("l", "i"), "5": ("s",), "6": ("b",), "8": ("b",), "9
 _UNDRESS = str.maketrans({"ſ": "s", "ﬁ": "fi", "ﬂ": "fl"} | dict.fromkeys("^~|\\•·¦", ""))
 #: Places with a choice that are tried one by one; beyond, the first choice stands at all.
 _CHOICES = 6
-#: A misread word's true form is in at least so many times more texts.
+#: A misread word's true form is in at least so many times more texts, or more different texts.
 TIMES = 12
 #: Frequent words handed to every task; others are joined.
 FREQUENT_WORDS = 50_000
@@ -214,25 +214,32 @@ def broken_words(lines: list[str], furniture: set[int]) -> Iterator[tuple[int, i
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and keys of edge lines with the number of texts that hold them."""
+    """Words with the number of texts that hold them, and of those that are no copy of another."""
     raw: Counter = Counter()
+    copies: Counter = Counter()
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            raw.update(set(text.split()))
+        for text, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            tokens = set(text.split())
+            raw.update(tokens)
+            if not first:
+                copies.update(tokens)
         if len(raw) > 300_000:
-            yield _counted(raw)
+            yield _counted(raw, copies)
     if raw:
-        yield _counted(raw)
+        yield _counted(raw, copies)
 
 
-def _counted(raw: Counter) -> pa.RecordBatch:
-    words: Counter = Counter()
+def _counted(raw: Counter, copies: Counter) -> pa.RecordBatch:
+    words, distinct = Counter(), Counter()
     for token, n in raw.items():
         if token[-1] not in BREAKS:
-            words[bare(token)] += n
+            word = bare(token)
+            words[word] += n
+            distinct[word] += n - copies[token]
     raw.clear()
+    copies.clear()
     words.pop("", None)
-    return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64()), pa.array([distinct[w] for w in words], pa.int64())], ["word", "n", "d"])
 
 
 def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,14 +273,14 @@ def turned_back(word: str) -> set[str]:
 def _turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [
-            (word, n, was)
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            (word, n, d, was)
+            for word, n, d in zip(*(batch.column(c).to_pylist() for c in range(3)))
             if len(word) > 1 and _PLAIN.match(word) and not _ROMAN.match(word)
             for was in turned_back(word)
             if not copyist(word, was)
         ]
-        cols = list(zip(*rows)) if rows else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()))], ["word", "n", "was"])
+        cols = list(zip(*rows)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["word", "n", "d", "was"])
 
 
 def face_parts(token: str) -> list[str]:
@@ -310,16 +317,17 @@ def copyist(word: str, was: str) -> bool:
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """word, n: the words of all texts and the number of texts that hold them."""
-    return texts.mapInArrow(_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    """word, n, d: the words of all texts (text, first), the number of texts that hold them, and of different texts."""
+    return texts.mapInArrow(_counts, "word string, n bigint, d bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def misread_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """word, was: those of ``words`` (word, n) that are confusions of much more frequent words of the corpus."""
-    turned = words.select("word", "n").mapInArrow(_turned, "word string, n bigint, was string")
-    known = vocab.select(F.col("word").alias("was"), F.col("n").alias("was_n"))
+    """word, was: those of ``words`` (word, n, d) that are confusions of much more frequent words of the corpus, over all texts or over different ones."""
+    turned = words.select("word", "n", "d").mapInArrow(_turned, "word string, n bigint, d bigint, was string")
+    known = vocab.select(F.col("word").alias("was"), F.col("n").alias("was_n"), F.col("d").alias("was_d"))
+    often = (F.col("was_n") >= F.col("n") * TIMES) | (F.col("was_d") >= F.col("d") * TIMES)
     w = Window.partitionBy("word").orderBy(F.desc("was_n"), "was")
-    return turned.join(known, "was").where(F.col("was_n") >= F.col("n") * TIMES).withColumn("r", F.row_number().over(w)).where("r = 1").select("word", "was")
+    return turned.join(known, "was").where(often).withColumn("r", F.row_number().over(w)).where("r = 1").select("word", "was")
 
 
 class Scans:
@@ -331,7 +339,7 @@ class Scans:
         self.src = df.select(
             F.col(id_col).cast("string").alias("id"), F.col(doc_col).cast("string").alias("doc"), F.col(title_col).cast("string").alias("title"), F.col(text_col).alias("text")
         ).where("id is not null and text is not null")
-        self.vocab = keep(vocabulary(self.src.select("text")))
+        self.vocab = keep(vocabulary(self._firsts()))
         self.misreads = keep(misread_words(self.vocab, self.vocab))
         # frequent words that were read right: what is not among them is looked up by a join
         ranked = self.vocab.join(self.misreads.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS)
@@ -339,6 +347,13 @@ class Scans:
         edges = self.src.where("contains(text, '\n')").mapInArrow(_headers, "id string, doc string, key string")
         self.headers = keep(edges.groupBy("doc", "key").agg(F.countDistinct("id").alias("n")).where("n >= 3").groupBy("doc").agg(F.collect_set("key").alias("keys")))
 
+    def _firsts(self) -> DataFrame:
+        """text, first of each chunk: one of the chunks with the same text is the first, so copies do not outweigh what else was read."""
+        src = self.src.select("id", "text")
+        rows = (src if self.unique else src.dropDuplicates(["id"])).withColumn("h", F.struct(F.xxhash64("text"), F.length("text")))
+        repeated = keep(rows.groupBy("h").agg(F.min("id").alias("kept"), F.count("*").alias("copies")).where("copies > 1").select("h", "kept"))
+        return rows.join(small_side(repeated, BROADCAST_ROWS), "h", "left").select("text", F.expr("kept is null or id = kept").alias("first"))
+
     def _with_headers(self) -> DataFrame:
         return self.src.join(small_side(self.headers, BROADCAST_ROWS), "doc", "left").select("id", "title", "text", "keys")
 
@@ -361,7 +376,7 @@ class Scans:
     def misread_across(self, marks: DataFrame) -> DataFrame:
         """id, line_no, rest_no, in_first, in_rest of the broken words with a confusion, and the part that has it."""
         hyphens = marks.where("kind = 'hyphen'").select("id", "line_no", "rest_no", "first", "rest", F.concat("first", "rest").alias("word"))
-        joined = hyphens.select("word").distinct().join(self.vocab, "word", "left").select("word", F.coalesce("n", F.lit(1)).alias("n"))
+        joined = hyphens.select("word").distinct().join(self.vocab, "word", "left").select("word", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("d", F.lit(1)).alias("d"))
         was = misread_words(joined, self.vocab)
         first_right, rest_right = F.expr("startswith(was, first)"), F.expr("endswith(was, rest)")
         return hyphens.join(was, "word").select("id", "line_no", "rest_no", (~first_right).alias("in_first"), (first_right | ~rest_right).alias("in_rest"))
@@ -382,9 +397,9 @@ class Scans:
     def true_words(self, words: DataFrame) -> DataFrame:
         """word, value of misread words (word): the most frequent word of the corpus that each may be."""
         may = cut(words.mapInArrow(_faced, "word string, c string, undressed string"))
-        known = self.vocab.select(F.col("word").alias("c"), F.col("n").alias("c_n"))
+        known = self.vocab.select(F.col("word").alias("c"), F.col("n").alias("c_n"), "d")
         asked = cut(may.select("c").distinct().join(known, "c", "left"))
-        was = misread_words(asked.select(F.col("c").alias("word"), F.coalesce("c_n", F.lit(1)).alias("n")), self.vocab).withColumnRenamed("word", "c")
+        was = misread_words(asked.select(F.col("c").alias("word"), F.coalesce("c_n", F.lit(1)).alias("n"), F.coalesce("d", F.lit(1)).alias("d")), self.vocab).withColumnRenamed("word", "c")
         value = asked.join(was, "c", "left").select("c", F.coalesce("was", F.when(F.col("c_n").isNotNull(), F.col("c"))).alias("value")).where("value is not null")
         counted = value.join(self.vocab.select(F.col("word").alias("value"), F.col("n").alias("value_n")), "value")
         w = Window.partitionBy("word").orderBy(F.desc_nulls_last("value_n"), "value")

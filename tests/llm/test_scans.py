@@ -91,3 +91,12 @@ def test_repair_of_broken_words(spark):
 def test_repair_keeps_headers_and_own_hyphens(spark):
     text = {r.id: r.text for r in S.Scans(corpus(spark, PAGE)).repaired().collect()}["p0"]
     assert text.endswith("the tide-water of the northern counties under the constant property.")
+
+
+def test_copies_do_not_hide_misreadings(spark):
+    copied = "The gentleman reported upon\ntbe price of flour."
+    whole = [f"In the {k}th year the price of flour rose." for k in range(20, 50)]
+    df = corpus(spark, *[copied] * 60, *whole)
+    scans = S.Scans(df)
+    assert {(r.id, r.line_no) for r in scans.damage().where("defect = 'misread'").collect()} == {(f"p{k}", 2) for k in range(60)}
+    assert {r.text for r in scans.repaired().where("id in ('p0', 'p59')").collect()} == {"The gentleman reported upon the price of flour."}
