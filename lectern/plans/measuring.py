@@ -66,6 +66,7 @@ def vectors(s: SparkSession, d: str, where: str = "true", top: int | None = None
 
 
 R.add("tfidf_vectors", lambda s, d: vectors(s, d, top=20).select("id", "term", F.round("weight", 5).alias("weight")), _VOC + ", r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(w, 12) DESC, term) AS r FROM w), k AS (SELECT * FROM r WHERE r <= 20) SELECT id, term, round(round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 8), 5) AS weight FROM k")
+R.add("tfidf_vectors_192", lambda s, d: vectors(s, d, top=192).select("id", "term", F.round("weight", 5).alias("weight")), _VOC + ", r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(w, 12) DESC, term) AS r FROM w), k AS (SELECT * FROM r WHERE r <= 192) SELECT id, term, round(round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 8), 5) AS weight FROM k")
 _LEFT, _RIGHT = "source_collection = 'court_records'", "source_collection = 'correspondence'"
 _CROSS = _VOC + f", x AS (SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 8) AS w FROM w WHERE {_LEFT}), y AS (SELECT id, document_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 8) AS w FROM w WHERE {_RIGHT}), s AS (SELECT x.id AS id_a, y.id AS id_b, y.document_id, round(sum(x.w * y.w), 5) AS score FROM x JOIN y USING (term) GROUP BY ALL)"
 
