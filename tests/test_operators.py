@@ -300,3 +300,13 @@ def test_names_in_one_pass_equal_patterns(spark):
     a = sorted(map(tuple, J.names_in_texts(df, "id", F.col("t"), register, "c").collect()))
     b = sorted(map(tuple, J.mentions(df, "id", F.coalesce("t", F.lit("")), register, "c").collect()))
     assert a == b == [("0", "z", "o", 2), ("1", "z", "o", 1), ("1", "z", "p", 2), ("4", "z", "o", 1)]
+
+
+def test_register_of_mentions_is_whole(spark, data):
+    from lectern.plans.reporting import _whole_register
+    from lectern.runtime import read_table
+
+    register = dict(_whole_register(spark, data))
+    assert len(register) == read_table(spark, data, "delegates").where("kind = 'person' and name is not null").count()
+    juniors = [names for names in register.values() if names[0].endswith(" Jr")]
+    assert juniors and all(sur in full and sur != "Jr" for full, sur in juniors)
