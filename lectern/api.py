@@ -42,7 +42,8 @@ class Archive:
     @staticmethod
     def of(chunks: DataFrame, events: DataFrame | None = None, edges: DataFrame | None = None, vectors: DataFrame | None = None) -> Archive:
         """An archive of chunks; a chunk delivered twice counts once. The index and the citations are derived."""
-        once = keep(A.once(chunks, "chunk_id", *(c for c in chunks.columns if c in schemas.CHUNK_FIELDS)))
+        columns = [c for c in chunks.columns if c in schemas.CHUNK_FIELDS]
+        once = keep(A.once(chunks, "chunk_id", *columns, delivered="ingested_at" if "ingested_at" in chunks.columns else None))
         index = S.PostingIndex.build(once, "chunk_id", X.tokens_archive(F.col("text")))
         return Archive(once, S.PostingIndex(keep(index.postings), keep(index.stats)), keep(CI.extract(once, "chunk_id", "text")), events, edges, vectors)
 

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.records import COVERAGE_LABELS
-from lectern.runtime import keep
+from lectern.runtime import cut
 
 CLAUSES, ISSUES = "constitutional_clause_tags", "issue_tags"
 
 
-#: Keys delivered more than once that are looked up by a broadcast.
-REPEATED_KEYS = 300_000
+#: Neighbouring rows of a file whose later deliveries are listed together, and how many later deliveries one broadcast lists.
+PIECE, LISTED = 4096, 10_000_000
 
 
 def _places(df: DataFrame) -> bool:
@@ -32,25 +32,40 @@ def _places(df: DataFrame) -> bool:
     return True
 
 
-def once(df: DataFrame, key: str, *cols: str, delivered: str | None = None) -> DataFrame:
-    """The needed columns of a table whose rows may be delivered twice, one row a key.
+def once(df: DataFrame, key: str, *cols: str, delivered: str | None = None, listed: int = LISTED) -> DataFrame:
+    """The needed columns of a table whose rows may be delivered twice, one row a key: that of the first delivery.
 
-    With ``delivered`` (the time of delivery) rows of files are not shuffled: keys, times
-    and places alone find the repeated keys, and of those only the row of the first
-    delivery passes the scan (of equal times the first in its file). Other tables, and
-    those with very many repeated keys, are grouped by key.
+    With ``delivered`` (the time of delivery) rows of files are never shuffled, however many
+    keys are repeated: keys, times and places alone find the later deliveries (of equal
+    times the first in its file stays). These are listed as numbers of rows by file and
+    drop out in the scan. One broadcast lists at most about ``listed`` of them (two bytes
+    each); where there are more, the files are read in several scans, each file in one of
+    them and with the list of its own files. Tables that are no files are grouped by key.
     """
     wanted = [key, *(c for c in cols if c != key)]
     rows = df.where(F.col(key).isNotNull())
-    if delivered is not None and _places(df):
-        at = rows.select(*wanted, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("__at"), F.col(delivered).alias("__when"))
-        again = keep(at.groupBy(key).agg(F.min(F.struct("__when", "__at"))["__at"].alias("__first"), F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("__key"), "__first"))
-        keys = again.count()
-        if not keys:
-            return rows.select(*wanted)
-        if keys <= REPEATED_KEYS:
-            return at.join(F.broadcast(again), F.col(key) == F.col("__key"), "left").where(F.col("__first").isNull() | (F.col("__at") == F.col("__first"))).select(*wanted)
-    return rows.select(*wanted).dropDuplicates([key])
+    if delivered is None:
+        return rows.select(*wanted).dropDuplicates([key])
+    if not _places(df):
+        firsts = rows.groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct(*wanted), F.struct(delivered)).alias("__row"))
+        return firsts.select("__row.*")
+    file, row = F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")
+    at = rows.select(F.col(key).alias("key"), F.struct(F.col(delivered).alias("when"), file.alias("file"), row.alias("row")).alias("at"))
+    first = at.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    later = cut(at.join(first, "key").where("at.file <> first.file or at.row <> first.row").select("at.file", "at.row"))
+    scans = -(-later.count() // listed)
+    if not scans:
+        return rows.select(*wanted)
+    pieces = later.groupBy(F.col("file").alias("__file"), F.expr(f"row div {PIECE}").alias("__piece")).agg(F.collect_list((F.col("row") % PIECE).cast("smallint")).alias("__later"))
+    out = None
+    for k in range(scans):
+        of = lambda c: F.pmod(c, F.lit(scans)) == k if scans > 1 else F.lit(True)
+        own = rows.where(of(file)).select(*wanted, file.alias("__in"), F.expr(f"_metadata.row_index div {PIECE}").alias("__of"), (row % PIECE).cast("smallint").alias("__no"))
+        drop = F.broadcast(pieces.where(of(F.col("__file"))))
+        met = own.join(drop, (F.col("__in") == F.col("__file")) & (F.col("__of") == F.col("__piece")), "left")
+        part = met.where(F.col("__later").isNull() | ~F.array_contains("__later", F.col("__no"))).select(*wanted)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def tags_of(c: str) -> Column:

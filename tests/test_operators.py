@@ -1,6 +1,7 @@
 """Golden cases of the operators."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -274,6 +275,18 @@ def test_each_key_once(spark, times, tmp_path):
             assert sorted(map(tuple, A.once(table, "k", "text", delivered=delivered).collect())) == [("a", "x"), ("b", "y")]
 
 
+@pytest.mark.parametrize("listed", [75, 10_000])
+def test_first_delivery_is_kept_and_no_text_moves(spark, listed, tmp_path):
+    rows = [(f"k{i % 70}", i, f"text {i}" * 3) for i in range(200)] + [("hot", 1000 - i, f"hot {i}") for i in range(90)]
+    spark.createDataFrame(rows, "k string, at int, text string").repartition(5).write.parquet(str(tmp_path / "t"))
+    out = A.once(spark.read.parquet(str(tmp_path / "t")), "k", "text", delivered="at", listed=listed)
+    want = {(f"k{i}", f"text {i}" * 3) for i in range(70)} | {("hot", "hot 89")}
+    assert out.count() == len(want) and set(map(tuple, out.collect())) == want
+    plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+    moved = re.findall(r"\(\d+\) (\w*Exchange)\nInput \[\d+\]: (.*)", plan)
+    assert moved and not any("text#" in columns for _, columns in moved)
+
+
 def test_country_filter(spark):
     df = spark.createDataFrame([("Europe", "France", "fr"), ("Asia", "Japan", "jp")], "region string, country string, country_id string")
     assert df.where(FL.country_meta("Europe", "FRAN")).count() == 1 and df.where(FL.country_meta(None, "j")).count() == 1
