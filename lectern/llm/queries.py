@@ -56,13 +56,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return attribute_records(chunks.unionByName(documents), register).withColumnRenamed("entry_id", "delegate_id")
 
 
+def _scans(spark: SparkSession, d: str) -> Scans:
+    return Scans(once(read_table(spark, d, "chunks"), "chunk_id", "document_id", "title", "text", delivered="ingested_at"), unique=True)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return Scans(read_table(spark, d, "chunks")).damage().withColumnRenamed("id", "chunk_id")
+    return _scans(spark, d).damage().withColumnRenamed("id", "chunk_id")
 
 
 def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
-    chunks = once(read_table(spark, d, "chunks"), "chunk_id", "document_id", "title", "text", delivered="ingested_at")
-    return Scans(chunks, unique=True).repaired().withColumnRenamed("id", "chunk_id")
+    return _scans(spark, d).repaired().withColumnRenamed("id", "chunk_id")
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -2,12 +2,18 @@
 
 Three kinds of damage are found, line by line:
 
-* ``furniture``: running headers and page numbers. A line is stripped of page
-  numbers at its ends; what is left is a header if it is the work's title in one of
-  its short forms (words compared with the confusions of a scan allowed), or if
-  nearly the same line is repeated in other chunks of the work at page edges, where
-  it carries a number or stands inside a sentence. Headings of the text (chapter,
-  section, article ...) repeat too, but never break into a sentence.
+* ``furniture``: running headers, footers and page numbers. Short lines of capitals or
+  capitalised words and lines of a page number alone are what may stand at a page's
+  edge. Of headers, lines of one work are brought together by their words (letters of
+  like shape made one, glue words and numbers left out) with one word or one half of
+  the only word free to differ; of page numbers, lines of the corpus by their dress
+  with the number masked. A line repeated so at two different places, one of which is a
+  page's edge on its face (it breaks into a sentence, or carries or adjoins a number), is
+  furniture. Numbers are also tested for being a run: another number of the text that
+  is as far off in value as it is in pages. Only where a line is repeated nowhere do
+  other signs decide: a line at a page's edge made of the words of the work's title, a
+  number that says "page" or breaks into a sentence. Headings of the text (chapter,
+  section, article ...) repeat too, but are none.
 * ``hyphen``: a word broken at the line's end. Whether the hyphen is the word's own
   is asked of the corpus: the compound with the hyphen against the joined word, by
   the number of texts that hold them elsewhere.
@@ -34,9 +40,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import product
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +69,10 @@ _UNDRESS = str.maketrans({"ſ": "s", "ﬁ": "fi", "ﬂ": "fl"} | dict.fromkeys("
 _CHOICES = 6
 #: A misread word's true form is in at least so many times more texts, or more different texts.
 TIMES = 12
+#: Places at which a line has to be repeated to be furniture.
+PLACES = 2
+#: Pages that a number may be off from the next one for each number between them (pages without a number are skipped).
+SKIPPED = 3
 #: Frequent words handed to every task; others are joined.
 FREQUENT_WORDS = 50_000
 BROADCAST_ROWS = 300_000
@@ -89,6 +101,12 @@ _SHAPES = str.maketrans({"0": "o", "1": "l", "5": "s", "6": "b", "8": "b", "f":
 _GLUE = frozenset("of the concerning convention at in and".split())
 
 
+_GLUE_END = re.compile(r"\b(?:of|the|concerning|convention|at|in|and)\W*$")
+_SAYS_PAGE = re.compile(r"(?i)\b(?:p|pp|pg|page)\b|^\[.*\]$|^\(.*\)$|^[-–—].*[-–—]$")
+_PAGE_ANY = re.compile(r"\d{1,4}|(?<![a-z])[ivxlc]{1,7}(?![a-z])")
+_ROMAN_VALUES = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
+
+
 def bare(token: str) -> str:
     return _EDGE.sub("", token).lower()
 
@@ -99,13 +117,30 @@ def unshape(word: str) -> str:
     return w.replace("rn", "m").replace("ln", "m").replace("ll", "n").replace("el", "d").replace("yy", "w")
 
 
+_GLUE_SHAPES = frozenset(unshape(w) for w in _GLUE)
+
+
+@dataclass
+class Edge:
+    """A line that may be furniture."""
+
+    keys: list[str]
+    #: Whether it is a page number alone, which is compared over the corpus and not within its work.
+    number: bool
+    #: Hash of the lines around it.
+    place: int
+    #: Whether it stands at a page's edge on its face.
+    sign: bool
+    #: What makes it furniture if it is repeated nowhere: run, number, title or nothing.
+    alone: str | None
+
+
 class Lines:
-    """The lines of a chunk, with what is furniture in them."""
+    """The lines of a chunk, and which of them may be furniture."""
 
     def __init__(self, text: str, title: str | None):
         self.lines = text.split("\n")
         self.title_words = [unshape(w) for w in re.findall(r"[^\W\d_]+", title or "") if w.lower() not in _GLUE]
-        self.glue = {unshape(w) for w in _GLUE}
 
     def neighbour(self, i: int, step: int, skip: set[int]) -> str | None:
         i += step
@@ -119,56 +154,94 @@ class Lines:
         """Whether all words are words of the title or what stands around it, one of the title's at least."""
         hit = False
         for w in words:
-            if w in self.glue:
+            if w in _GLUE_SHAPES:
                 continue
             if any(w == t or (len(t) > 3 and distance(w, t, 2) <= (1 if len(t) < 9 else 2)) for t in self.title_words):
                 hit = True
-            elif not any(len(w) > 4 and distance(w, g, 1) <= 1 for g in self.glue):
+            elif not any(len(w) > 4 and distance(w, g, 1) <= 1 for g in _GLUE_SHAPES):
                 return False
         return hit
 
-    def furniture(self, repeated: dict[str, int] | None = None) -> set[int]:
-        found: set[int] = set()
-        unsure: list[int] = []
+    def edges(self) -> dict[int, Edge]:
+        """The lines that may stand at a page's edge."""
+        numbers, heads, unsure, values = set(), {}, [], {}
         for i, line in enumerate(self.lines):
             s = line.strip()
             if not s or len(s) > 90 or running(s):
                 continue
             if _ONLY_NUMBER.match(s):
-                (unsure.append(i) if _BARE_SENTENCE_END.match(s) else found.add(i))
+                (unsure.append(i) if _BARE_SENTENCE_END.match(s) else numbers.add(i))
+                values[i] = page_value(s)
                 continue
             core = header_core(s)
             words = [unshape(w) for w in re.findall(r"[^\W_]+", _YEAR.sub(" ", core)) if not w.isdigit()]
-            if not words or len(words) > 9:
-                continue
-            if self.of_title(words) and (core.isupper() or core != s or _titled(core)):
-                found.add(i)
-            elif repeated and repeated.get(header_key(core), 0) and not _HEADING.match(core):
-                found.add(i)
+            if words and len(words) <= 9 and sum(c.isalpha() for c in core) > 3 and (core.isupper() or (_titled(core) and (len(words) > 1 or core != s) and not _GLUE_END.search(core))):
+                title = self.of_title(words)
+                if title or not _HEADING.match(core):
+                    heads[i] = (core != s, words, title)
+                    if core != s:
+                        values[i] = page_value(s.replace(core, " ", 1))
         for i in unsure:  # a number and a full stop: the end of a sentence, or a page
             above = self.lines[i - 1] if i else ""
-            below = self.neighbour(i, 1, found)
+            below = self.neighbour(i, 1, numbers | heads.keys())
             inside = below is not None and below.lstrip()[:1].islower()
-            if not above.strip() or (i - 1) in found or _ENDED.search(above) or inside:
-                found.add(i)
-        return found
-
-    def edge_lines(self) -> Iterator[str]:
-        """Keys of short lines at page edges that may be headers: with a page number, or inside a sentence."""
-        skip = {i for i, line in enumerate(self.lines) if _ONLY_NUMBER.match(line)}
-        for i, line in enumerate(self.lines):
-            s = line.strip()
-            if not s or len(s) > 90 or i in skip or running(s) or _HEADING.match(s):
-                continue
-            core = header_core(s)
-            letters = sum(c.isalpha() for c in core)
-            if letters < 4 or not (core.isupper() or (core != s and _titled(core))):
-                continue
+            if not above.strip() or (i - 1) in numbers or (i - 1) in heads or _ENDED.search(above) or inside:
+                numbers.add(i)
+        if not numbers and not heads:
+            return {}
+        skip = numbers | heads.keys()
+        run = in_runs([values.get(i) for i in sorted(skip)])
+        out = {}
+        for at, i in enumerate(sorted(skip)):
             above, below = self.neighbour(i, -1, skip), self.neighbour(i, 1, skip)
-            if above is None or below is None:
-                continue
-            if core != s or (not _ENDED.search(above) and below.lstrip()[:1].islower()) or (i - 1) in skip or (i + 1) in skip:
-                yield header_key(core)
+            breaks = above is not None and below is not None and not _ENDED.search(above) and below.lstrip()[:1].islower()
+            place = xxhash.xxh3_64_intdigest(f"{above}\n{below}") - (1 << 63)
+            if i in numbers:
+                s = self.lines[i].strip()
+                beside = any(not 0 <= k < len(self.lines) or not self.lines[k].strip() or k in heads for k in (i - 1, i + 1))
+                alone = "run" if run[at] else "number" if breaks or _SAYS_PAGE.search(s) else None
+                out[i] = Edge([_PAGE_ANY.sub("#", re.sub(r"\s+", "", s.lower()))], True, place, breaks or beside, alone)
+            else:
+                carries, words, title = heads[i]
+                capitals = self.lines[i].strip().isupper()
+                by_number = any(k in numbers for k in (i - 2, i - 1, i + 1, i + 2))
+                sign = breaks or carries or (by_number and capitals)
+                apart = all(not 0 <= k < len(self.lines) or not self.lines[k].strip() for k in (i - 1, i + 1))
+                out[i] = Edge(header_keys(words), False, place, sign, "title" if title and (sign or apart or by_number or capitals) else None)
+        return out
+
+
+def page_value(s: str) -> int | None:
+    """The number in a page number's dress, arabic or roman."""
+    if m := re.search(r"\d{1,4}", s):
+        return int(m.group())
+    m = re.search(r"(?<![a-z])[ivxlc]{1,7}(?![a-z])", s.lower())
+    if not m or not _ROMAN.match(m.group()):
+        return None
+    v = [_ROMAN_VALUES[c] for c in m.group()]
+    return sum(-x if x < y else x for x, y in zip(v, [*v[1:], 0]))
+
+
+def in_runs(values: list[int | None]) -> list[bool]:
+    """Whether each number has another that is as far from it in value as pages lie between them, in either direction."""
+    out = [False] * len(values)
+    known = [(i, v) for i, v in enumerate(values) if v is not None]
+    for (i, v), (j, w) in zip(known, known[1:]):
+        if 0 < abs(w - v) <= SKIPPED * (j - i):
+            out[i] = out[j] = True
+    return out
+
+
+def header_keys(words: list[str]) -> list[str]:
+    """Under what a header meets its like: its words, with one of them free to differ, or one half of an only word."""
+    kept = [w for w in words if w not in _GLUE_SHAPES] or words
+    keys = {" ".join(kept)}
+    if len(kept) == 1:
+        w = kept[0]
+        keys |= {f"{w} *"} | ({f"{w[: len(w) // 2]}~", f"~{w[len(w) // 2 :]}"} if len(w) > 5 else set())
+    else:
+        keys |= {" ".join("*" if k == i else w for k, w in enumerate(kept)) for i in range(len(kept))}
+    return sorted(keys)
 
 
 def running(s: str) -> bool:
@@ -183,7 +256,7 @@ def running(s: str) -> bool:
 
 
 def _titled(core: str) -> bool:
-    return all(w[:1].isupper() or w.lower() in _GLUE for w in re.findall(r"[^\W\d_]+", core))
+    return not any(w[0].islower() and w not in _GLUE for w in re.findall(r"[^\W_]+", core))
 
 
 def header_core(s: str) -> str:
@@ -194,65 +267,54 @@ def header_core(s: str) -> str:
     return cut.strip()
 
 
-def header_key(core: str) -> str:
-    return unshape(re.sub(r"[\W\d_]+", " ", core)).strip()
-
-
-def broken_words(lines: list[str], furniture: set[int]) -> Iterator[tuple[int, int, str, str]]:
-    """(line, line of the rest, first part, rest) of the words that a mark breaks at a line's end."""
+def broken_words(lines: list[str], edges: set[int]) -> Iterator[tuple[int, str, list[tuple[int, str]]]]:
+    """(line, first part, where the word may go on) of the words that a mark breaks at a line's end: behind each line that may be furniture, and on the first that is none."""
     for i, line in enumerate(lines):
-        if i in furniture or line.rstrip()[-1:] not in BREAKS or not line.strip():
+        if line.rstrip()[-1:] not in BREAKS or not line.strip():
             continue
         m = _HYPHEN_END.search(line)
         if not m or line.rstrip()[-2:-1] in "-" + BREAKS:
             continue
-        j = i + 1
-        while j < len(lines) and (j in furniture or not lines[j].strip()):
-            j += 1
-        if j < len(lines) and (n := _FIRST_WORD.match(lines[j])):
-            yield i, j, m.group(1), n.group(1)
+        rests = []
+        for j in range(i + 1, len(lines)):
+            if not lines[j].strip():
+                continue
+            if n := _FIRST_WORD.match(lines[j]):
+                rests.append((j, n.group(1)))
+            if j not in edges:
+                break
+        if rests:
+            yield i, m.group(1), rests
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words with the number of texts that hold them, and of those that are no copy of another."""
-    raw: Counter = Counter()
+    seen: Counter = Counter()
     copies: Counter = Counter()
+    bared: dict[str, str] = {}
     for batch in batches:
         for text, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             tokens = set(text.split())
-            raw.update(tokens)
+            if len(bared) > 500_000:
+                bared.clear()
+            for t in tokens.difference(bared):
+                bared[t] = "" if t[-1] in BREAKS else bare(t)
+            words = set(map(bared.__getitem__, tokens))
+            seen.update(words)
             if not first:
-                copies.update(tokens)
-        if len(raw) > 300_000:
-            yield _counted(raw, copies)
-    if raw:
-        yield _counted(raw, copies)
-
-
-def _counted(raw: Counter, copies: Counter) -> pa.RecordBatch:
-    words, distinct = Counter(), Counter()
-    for token, n in raw.items():
-        if token[-1] not in BREAKS:
-            word = bare(token)
-            words[word] += n
-            distinct[word] += n - copies[token]
-    raw.clear()
-    copies.clear()
-    words.pop("", None)
-    return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64()), pa.array([distinct[w] for w in words], pa.int64())], ["word", "n", "d"])
+                copies.update(words)
+        if len(seen) > 300_000:
+            yield _counted(seen, copies)
+    if seen:
+        yield _counted(seen, copies)
 
 
-def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [
-            (i, doc, key)
-            for i, doc, title, text in zip(*(batch.column(c).to_pylist() for c in range(4)))
-            if "\n" in text
-            for key in set(Lines(text, title).edge_lines())
-            if key
-        ]
-        cols = list(zip(*rows)) if rows else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["id", "doc", "key"])
+def _counted(seen: Counter, copies: Counter) -> pa.RecordBatch:
+    seen.pop("", None)
+    columns = [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([n - copies[w] for w, n in seen.items()], pa.int64())]
+    seen.clear()
+    copies.clear()
+    return pa.RecordBatch.from_arrays(columns, ["word", "n", "d"])
 
 
 def turned_back(word: str) -> set[str]:
@@ -344,8 +406,6 @@ class Scans:
         # frequent words that were read right: what is not among them is looked up by a join
         ranked = self.vocab.join(self.misreads.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS)
         self.frequent = frozenset(r.word for r in ranked.select("word").collect())
-        edges = self.src.where("contains(text, '\n')").mapInArrow(_headers, "id string, doc string, key string")
-        self.headers = keep(edges.groupBy("doc", "key").agg(F.countDistinct("id").alias("n")).where("n >= 3").groupBy("doc").agg(F.collect_set("key").alias("keys")))
 
     def _firsts(self) -> DataFrame:
         """text, first of each chunk: one of the chunks with the same text is the first, so copies do not outweigh what else was read."""
@@ -354,36 +414,66 @@ class Scans:
         repeated = keep(rows.groupBy("h").agg(F.min("id").alias("kept"), F.count("*").alias("copies")).where("copies > 1").select("h", "kept"))
         return rows.join(small_side(repeated, BROADCAST_ROWS), "h", "left").select("text", F.expr("kept is null or id = kept").alias("first"))
 
-    def _with_headers(self) -> DataFrame:
-        return self.src.join(small_side(self.headers, BROADCAST_ROWS), "doc", "left").select("id", "title", "text", "keys")
-
     def marks(self) -> DataFrame:
-        """id, line_no, kind, first, rest, word, rest_no: lines with possible damage before the corpus is asked."""
+        """Lines with possible damage, before the corpus is asked.
+
+        kind ``edge``: a line that may be furniture, with what it is compared by; ``hyphen``: a
+        broken word, once for each line it may go on in; ``misread``: damage on a word's face;
+        ``ask``: a word that is not among the frequent ones. ``unsure``: the row holds only
+        if a line turns out to be furniture or not.
+        """
         frequent = self.frequent
-        return self._with_headers().mapInArrow(lambda b: _marked(b, frequent), "id string, line_no int, kind string, first string, rest string, word string, rest_no int")
+        return self.src.select("id", "doc", "title", "text").mapInArrow(lambda b: _marked(b, frequent), _MARKS)
+
+    def furniture(self, marks: DataFrame) -> DataFrame:
+        """id, line_no, why of each line that is furniture: a number of a run, repeated (within the work, or as a number's dress over the corpus), number or title."""
+        edges = marks.where("kind = 'edge'").select("id", "line_no", "scope", "keys", "place", "sign", "alone")
+        keyed = edges.select("id", "line_no", "scope", "place", "sign", F.explode("keys").alias("key"))
+        again = keyed.groupBy("scope", "key").agg(F.countDistinct("place").alias("n"), F.max("sign").alias("at_edge")).where((F.col("n") >= PLACES) & F.col("at_edge"))
+        repeated = keyed.join(again, keyed["scope"].eqNullSafe(again["scope"]) & (keyed["key"] == again["key"])).select("id", "line_no").distinct().withColumn("repeated", F.lit(True))
+        why = F.when(F.col("alone") == "run", "run").when(F.col("repeated"), "repeated").otherwise(F.col("alone"))
+        return edges.select("id", "line_no", "alone").join(repeated, ["id", "line_no"], "left").select("id", "line_no", why.alias("why")).where("why is not null").distinct()
+
+    @staticmethod
+    def _settled(rows: DataFrame, furniture: DataFrame) -> DataFrame:
+        """Rows of marks that stand in no furniture."""
+        at = furniture.select("id", "line_no")
+        return rows.where("not unsure").unionByName(rows.where("unsure").join(at, ["id", "line_no"], "left_anti"))
+
+    def hyphens(self, marks: DataFrame, furniture: DataFrame) -> DataFrame:
+        """id, line_no, first, rest, word, rest_no of each broken word, that goes on in the next line that is no furniture."""
+        rows = marks.where("kind = 'hyphen'").select("id", "line_no", "first", "rest", "word", "rest_no", "unsure")
+        may = rows.where("unsure")
+        for line in ("line_no", "rest_no"):
+            may = may.join(furniture.select("id", F.col("line_no").alias(line)), ["id", line], "left_anti")
+        told = may.groupBy("id", "line_no").agg(F.min_by(F.struct("first", "rest", "word", "rest_no"), "rest_no").alias("x")).select("id", "line_no", "x.*")
+        return rows.where("not unsure").drop("unsure").unionByName(told)
 
     def damage(self) -> DataFrame:
         """id, line_no, defect of each damaged line."""
         marks = keep(self.marks())
         marks.count()  # once, before several stages ask for it at a time
-        plain = marks.where("kind in ('furniture', 'misread')").select("id", "line_no", F.col("kind").alias("defect"))
-        asked = marks.where("kind = 'ask'").join(self.misreads, "word").select("id", "line_no", F.lit("misread").alias("defect"))
-        breaks = marks.where("kind = 'hyphen'").join(self.breaks(marks).where("not own"), ["first", "rest"]).select("id", "line_no", F.lit("hyphen").alias("defect"))
-        across = self.misread_across(marks)
+        furniture = cut(self.furniture(marks))
+        hyphens = self.hyphens(marks, furniture)
+        plain = self._settled(marks.where("kind = 'misread'"), furniture).select("id", "line_no", F.lit("misread").alias("defect"))
+        asked = self._settled(marks.where("kind = 'ask'"), furniture).join(self.misreads, "word").select("id", "line_no", F.lit("misread").alias("defect"))
+        breaks = hyphens.join(self.breaks(hyphens).where("not own"), ["first", "rest"]).select("id", "line_no", F.lit("hyphen").alias("defect"))
+        across = self.misread_across(hyphens)
         at = lambda line, side: across.where(side).select("id", F.col(line).alias("line_no"), F.lit("misread").alias("defect"))
-        return plain.unionByName(asked).unionByName(breaks).unionByName(at("line_no", "in_first")).unionByName(at("rest_no", "in_rest")).distinct()
+        found = furniture.select("id", "line_no", F.lit("furniture").alias("defect")).unionByName(plain).unionByName(asked).unionByName(breaks)
+        return found.unionByName(at("line_no", "in_first")).unionByName(at("rest_no", "in_rest")).distinct()
 
-    def misread_across(self, marks: DataFrame) -> DataFrame:
+    def misread_across(self, hyphens: DataFrame) -> DataFrame:
         """id, line_no, rest_no, in_first, in_rest of the broken words with a confusion, and the part that has it."""
-        hyphens = marks.where("kind = 'hyphen'").select("id", "line_no", "rest_no", "first", "rest", F.concat("first", "rest").alias("word"))
+        hyphens = hyphens.select("id", "line_no", "rest_no", "first", "rest", F.concat("first", "rest").alias("word"))
         joined = hyphens.select("word").distinct().join(self.vocab, "word", "left").select("word", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("d", F.lit(1)).alias("d"))
         was = misread_words(joined, self.vocab)
         first_right, rest_right = F.expr("startswith(was, first)"), F.expr("endswith(was, rest)")
         return hyphens.join(was, "word").select("id", "line_no", "rest_no", (~first_right).alias("in_first"), (first_right | ~rest_right).alias("in_rest"))
 
-    def breaks(self, marks: DataFrame) -> DataFrame:
+    def breaks(self, hyphens: DataFrame) -> DataFrame:
         """first, rest, own of the words broken at a line's end: whether the hyphen is the word's own."""
-        pairs = marks.where("kind = 'hyphen'").select("first", "rest").distinct()
+        pairs = hyphens.select("first", "rest").distinct()
         v = self.vocab
         of = lambda name: v.select(F.col("word").alias(name), F.col("n").alias(f"{name}_n"))
         asked = (
@@ -411,16 +501,18 @@ class Scans:
         marks = cut(self.marks())  # once, and out of the plans of the several stages that ask for it
         fix = lambda kind, word, value: F.struct("line_no", kind.alias("kind"), word.alias("word"), value.alias("value")).alias("fix")
         none = F.lit("")
-        breaks = self.breaks(marks)
-        faces = marks.where("kind = 'misread' and word is not null").select("id", "line_no", "word")
-        across = marks.where("kind = 'hyphen'").join(breaks.where("not own"), ["first", "rest"]).select("id", "line_no", "rest_no", F.substring_index("word", "\n", 1).alias("head"), F.substring_index("word", "\n", -1).alias("tail"))
+        furniture = cut(self.furniture(marks))
+        hyphens = cut(self.hyphens(marks, furniture))
+        breaks = self.breaks(hyphens)
+        faces = self._settled(marks.where("kind = 'misread' and word is not null"), furniture).select("id", "line_no", "word")
+        across = hyphens.join(breaks.where("not own"), ["first", "rest"]).select("id", "line_no", "rest_no", F.substring_index("word", "\n", 1).alias("head"), F.substring_index("word", "\n", -1).alias("tail"))
         across = across.withColumn("word", F.concat("head", "tail"))
         true = cut(self.true_words(faces.select("word").union(across.select("word")).distinct()))
         across = cut(across.join(true, "word").withColumn("cut", F.length("value") - F.least(F.length("tail"), F.length("value") - 1)).where("length(value) > 1"))
         fixes = (
-            marks.where("kind = 'ask'").join(self.misreads, "word").select("id", fix(F.lit("misread"), F.col("word"), F.col("was")))
-            .unionByName(marks.where("kind = 'furniture'").select("id", fix(F.lit("furniture"), none, none)))
-            .unionByName(marks.where("kind = 'hyphen'").join(breaks, ["first", "rest"]).select("id", fix(F.when(F.col("own"), "own").otherwise("hyphen"), none, none)))
+            self._settled(marks.where("kind = 'ask'"), furniture).join(self.misreads, "word").select("id", fix(F.lit("misread"), F.col("word"), F.col("was")))
+            .unionByName(furniture.select("id", fix(F.lit("furniture"), none, none)))
+            .unionByName(hyphens.join(breaks, ["first", "rest"]).select("id", fix(F.when(F.col("own"), "own").otherwise("hyphen"), none, none)))
             .unionByName(faces.join(true, "word").select("id", fix(F.lit("face"), F.col("word"), F.col("value"))))
             .unionByName(across.select("id", fix(F.lit("head"), F.col("head"), F.expr("left(value, cut)"))))
             .unionByName(across.select("id", F.col("rest_no").alias("line_no"), "tail", F.expr("substring(value, cut + 1)").alias("end")).select("id", fix(F.lit("tail"), F.col("tail"), F.col("end"))))
@@ -431,11 +523,19 @@ class Scans:
         return joined.mapInArrow(_repaired, "id string, text string")
 
 
+_MARKS = "id string, line_no int, kind string, first string, rest string, word string, rest_no int, unsure boolean, scope string, keys array<string>, place bigint, sign boolean, alone string"
+_MARK_TYPES = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.bool_(), pa.string())
+_NONE = (None,) * 5
+#: The scope of page numbers, which are compared over the corpus.
+_CORPUS = "\u0000"
+
+
 def _marked(batches: Iterator[pa.RecordBatch], frequent: frozenset[str]) -> Iterator[pa.RecordBatch]:
     known: dict[str, str | None] = {}  # token -> None if all right, '' if damaged on its face, else the word to ask for
+    names = [c.split()[0] for c in _MARKS.split(", ")]
     for batch in batches:
         rows: list[tuple] = []
-        for i, title, text, keys in zip(*(batch.column(c).to_pylist() for c in range(4))):
+        for i, doc, title, text in zip(*(batch.column(c).to_pylist() for c in range(4))):
             if len(known) > 500_000:
                 known.clear()
             tokens = set(text.split())
@@ -445,26 +545,26 @@ def _marked(batches: Iterator[pa.RecordBatch], frequent: frozenset[str]) -> Iter
             if not bad and "\n" not in text:
                 continue
             lines = Lines(text, title)
-            furniture = lines.furniture(dict.fromkeys(keys or (), 1)) if "\n" in text else set()
-            rows += [(i, n + 1, "furniture", None, None, None, None) for n in furniture]
+            edges = lines.edges() if "\n" in text else {}
+            for n, e in edges.items():
+                rows.append((i, n + 1, "edge", None, None, None, None, True, _CORPUS if e.number else doc, e.keys, e.place, e.sign, e.alone))
             ends: set[tuple[int, str]] = set()
-            for n, m, first, rest in broken_words(lines.lines, furniture):
-                rows.append((i, n + 1, "hyphen", _plain(first), _plain(rest), f"{first}\n{_EDGE.sub('', rest)}", m + 1))
-                ends |= {(n, lines.lines[n].split()[-1]), (m, lines.lines[m].split()[0])}
+            for n, first, rests in broken_words(lines.lines, edges.keys()):
+                for m, rest in rests:
+                    rows.append((i, n + 1, "hyphen", _plain(first), _plain(rest), f"{first}\n{_EDGE.sub('', rest)}", m + 1, n in edges or m in edges or len(rests) > 1, *_NONE))
+                    ends |= {(n, lines.lines[n].split()[-1]), (m, lines.lines[m].split()[0])}
             if bad:
                 for n, line in enumerate(lines.lines):
-                    if n in furniture:
-                        continue
+                    unsure = n in edges
                     for t in bad.intersection(line.split()):
                         word = known[t]
                         if word == "":
                             parts = [] if (n, t) in ends else face_parts(t)
-                            rows += [(i, n + 1, "misread", None, None, part, None) for part in parts or [None]]
+                            rows += [(i, n + 1, "misread", None, None, part, None, unsure, *_NONE) for part in parts or [None]]
                         elif (n, t) not in ends:
-                            rows.append((i, n + 1, "ask", None, None, word, None))
-        cols = list(zip(*rows)) if rows else [()] * 7
-        types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "line_no", "kind", "first", "rest", "word", "rest_no"])
+                            rows.append((i, n + 1, "ask", None, None, word, None, unsure, *_NONE))
+        cols = list(zip(*rows)) if rows else [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _MARK_TYPES)], names)
 
 
 def _plain(part: str) -> str:

@@ -50,6 +50,55 @@ def test_headings_are_text(spark):
     assert found(spark, "CHAPTER IV\n\nThe committee report.", "CHAPTER V\n\nThe property.", "CHAPTER IX\n\nThe price.") == set()
 
 
+def furniture(spark, *pages, title="Sundry"):
+    df = spark.createDataFrame([(f"p{i}", "d1", title, t) for i, t in enumerate(pages)], "chunk_id string, document_id string, title string, text string")
+    scans = S.Scans(df)
+    return {(r.id, r.line_no, r.why) for r in scans.furniture(scans.marks()).collect()}
+
+
+def test_headers_by_repetition_alone(spark):
+    """No title says what the header is; it is misread in one place and carries no number in another."""
+    pages = ["The price of\n\nHISTORY OF THE NORTH 12\n\nflour rose.", "The clerk\n\nHlSTORY OF TBE N0RTH\n\nreported. And", "The end.\n\nHISTORY OF THE NORTH\n\nThe committee.", "The end.\n\nOF THE JUDGES\n\nThe committee."]
+    assert furniture(spark, *pages) == {(f"p{i}", 3, "repeated") for i in range(3)}
+    # the same place delivered in several chunks is one place
+    assert furniture(spark, *[pages[0]] * 3) == set()
+
+
+def test_one_word_headers_and_variants(spark):
+    pages = ["The price of\nDEBATES [1781\nflour rose.", "The clerk was\nTHE DEBATES OF ELVHOLM\nheard and", "It was\nDEBATES OF ELVHOLM. 44\nmoved."]
+    assert furniture(spark, *pages) == {(f"p{i}", 2, "repeated") for i in range(3)}
+
+
+def test_page_numbers_are_runs(spark):
+    page = "The price of\n17\nflour and\n\nxviii\n\nThe\n[ 20 ]\nend"
+    assert furniture(spark, page) == {("p0", 2, "run"), ("p0", 5, "run"), ("p0", 8, "run")}
+    assert S.in_runs([5, None, 9, 400, None]) == [True, False, True, False, False] and S.in_runs([]) == []
+    assert [S.page_value(x) for x in ("- 12 -", "[p. xiv]", "IX", "Pg. 7", "iiii", "")] == [12, 14, 9, 7, None, None]
+
+
+def test_words_that_end_paragraphs_are_text(spark):
+    tails = ["The price was settled at\nElvholm.\n\n[12]\n\nThe clerk.", "It was struck out at\nElvholm in 1804.\n\nThe clerk.", "It ended at\nElvholm in 1790.\n\nThe price."]
+    assert {(i, n) for i, n, _ in furniture(spark, *tails, title="Records of Elvholm")} == {("p0", 4)}
+
+
+def test_title_decides_where_nothing_is_repeated(spark):
+    assert furniture(spark, "The price of\n\nESSAYS OF DORAVALE\n\nflour.", title="Essays concerning Doravale") == {("p0", 3, "title")}
+    assert furniture(spark, "The price of\n\nESSAYS OF DORAVALE\n\nflour.") == set()
+
+
+def test_words_broken_over_pages(spark):
+    page = "The com-\n\nESSAYS OF DORAVALE\n12\n\nmittee moved the prop-\nOF THE JUDGES\nerty."
+    df = corpus(spark).union(spark.createDataFrame([("p0", "d1", "Essays of Doravale", page, "x", 1, "y")], SCHEMA))
+    scans = S.Scans(df)
+    marks = scans.marks()
+    assert {(r.line_no, r.first, r.rest, r.rest_no) for r in scans.hyphens(marks, scans.furniture(marks)).collect()} == {(1, "com", "mittee", 6), (6, "prop", "of", 7)}
+
+
+def test_vocabulary_counts_texts(spark):
+    rows = [("Flour, flour. FLOUR", True), ("flour-", True), ("(flour)", False), ("the", True)]
+    assert {tuple(r) for r in S.vocabulary(spark.createDataFrame(rows, "text string, first boolean")).collect()} == {("flour", 2, 1), ("the", 1, 1)}
+
+
 def test_broken_word_with_confusion(spark):
     assert ("p0", 2, "misread") in found(spark, "the com-\nmittce report")
     assert ("p0", 1, "misread") in found(spark, "the eom-\nmittee report")
@@ -58,7 +107,7 @@ def test_broken_word_with_confusion(spark):
 def test_repair(spark):
     text = {r.id: r.text for r in S.Scans(corpus(spark, PAGE)).repaired().collect()}["p0"]
     assert text.startswith("The gentleman from Wendiston moved that the committee be instructed to report upon the price of flour and the tide-water of")
-    assert "Page" not in text and "ELVHOLM" not in text and "the constant pr0perty." in text
+    assert "Page" not in text and "ELVHOLM" not in text and "the constant property." in text
 
 
 def test_special_rows(spark):
