@@ -1,11 +1,17 @@
 r"""Transcripts into clean, ordered speaker turns.
 
-A finite-state parser goes through each row's text line by line. Its states are
-the layouts it knows: a caption's time line (``00:01:02,500 -->`` with or without
-an end), a line or sentence that opens with a name (``JUSTICE X:``, ``X, J.:``,
-``[Mr. X]``, ``Justice X. --``), and speech. Times, sounds and marks in brackets of
-any kind, and standalone hesitations are taken out; what is left is speech of the
-name in force.
+A finite-state parser goes through each row's text line by line. A line is of one
+kind (``blank``, ``header`` of a caption file, cue ``number``, ``time``, ``question``
+or ``answer`` of an examination, ``speech``), and ``TRANSITIONS`` says for each state
+and kind what is done with it and which state follows. States: ``start`` of a cue or
+paragraph, ``header``, ``numbered`` (a number alone, which is a cue's if a time comes
+next and else was spoken), ``speech``, ``examined`` (speech after a question, where A. is a
+label and no initial). Inside speech, layouts that open with a name (``JUSTICE X:``,
+``X, J.:``, ``[Mr. X]``, ``Justice X. --``, ``John X:`` at a line's start, ``<v John X>``)
+change the name in force. Times, sounds and marks in brackets of any kind, and
+standalone hesitations are taken out; what is left is speech of the name in force.
+Round brackets are only taken out around times and sounds, and times of the day stay
+where they are spoken (``at 10:30:15``).
 
 Labels and names met in texts are resolved against the register of speakers over
 deletion keys of the surname (typing errors, initials, offices, reordered parts);
@@ -36,68 +42,177 @@ from lectern.runtime import keep, small_side
 
 BROADCAST_ROWS = 200_000
 
-_NAME = r"[A-Z][\w'’-]+"
 _OFFICE = r"(?:chief\s+justice|associate\s+justice|justice|judge|mr|mrs|ms|miss|dr|counsel)"
-#: Layouts in which a text says who speaks from here on. Group n holds the name.
+#: Layouts in which a text says who speaks from here on. The group holds the name.
 INTRODUCTION = re.compile(
     rf"\[\s*(?P<bracket>(?i:{_OFFICE})\.?\s+[^\[\]:]{{2,40}}?)\s*\]:?"
+    rf"|<v(?:\.[\w.]+)?\s+(?P<voice>[^<>]+)>"
     rf"|(?<![\w,])(?P<bench>[A-Za-z][\w'’-]+\s*,\s*(?i:c\.\s*)?[Jj]\.)\s*:(?=\s|$)"
     rf"|(?<![\w'-])(?P<title>(?i:{_OFFICE})\.?\s+[A-Za-z][\w'’-]+)\s*(?::(?=\s|$)|\.\s+--)"
     rf"|(?:^\s*|(?<=[.?!\])}}>*]\s)|(?<=[.?!\])}}>*]\s\s))(?P<capitals>[A-Z][A-Z'’-]{{2,}})\s*:(?=\s|$)"
+    rf"|^\s*(?:>>\s*|[-–—]\s+)?(?P<full>[A-Z][\w'’-]*\.?(?:\s+[A-Z][\w'’-]*\.?){{1,3}})\s*:(?=\s|$)"
 )
+#: What every introduction has one of.
+_MAY_INTRODUCE = re.compile(r"[:\[<]|--")
+_CLOCK = r"(?:\d{1,2}:)?\d{1,2}:\d{2}(?:[.,]\d+)?"
 _TIME = re.compile(
-    r"(?:(?:\d{1,2}:)?\d{1,2}:\d{2}(?:[.,]\d+)?\s*-->\s*)+(?:(?:\d{1,2}:)?\d{1,2}:\d{2}(?:[.,]\d+)?)?"
-    r"|\b\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?\b"
+    rf"(?:{_CLOCK}\s*-->\s*)+(?:{_CLOCK}(?:[ \t]+(?:align|line|position|size|vertical):\S+)*)?"
+    r"|\b0\d:\d{2}:\d{2}(?:[.,]\d+)?\b"
+    r"|(?<!\bat )(?<!\bby )(?<!\buntil )(?<!\btill )(?<!\bbefore )(?<!\bafter )(?<!\babout )(?<!\baround )(?<!\bsince )\b\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?\b"
 )
-_MARK = re.compile(r"\(\([^()]*\)?\)|\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}|<[^<>]*>|\*[^*\n]*\*|[♪♫♬]+|>>+")
+#: Words of notes on what is heard and not said. Fixed values.
+SOUNDS = frozenset(
+    "laughter laughs laugh laughing applause applauds inaudible unintelligible indiscernible crosstalk overlap overlapping pause pauses pausing silence noise noises "
+    "cough coughs coughing sneeze sneezes sigh sighs sighing music bell bells rings ringing door doors closes opens slams gavel bang bangs chuckle chuckles chuckling murmurs "
+    "murmuring whispers whispering shouting gasps crying sobbing recess interruption interposing microphone mic feedback static audio tape nods nodding indicating clears "
+    "clearing throat knocking footsteps rustling shuffling thunder unclear garbled beep beeps buzzer gibberish foreign".split()
+)
+_AROUND = frozenset("in the of a an from and off on to his her their voice voices courtroom court audience paper papers no response phone telephone head shakes language short brief long".split())
+_MARK = re.compile(r"\(\([^()]*\)?\)|\[[^\[\]]*\]|\((?P<round>[^()]*)\)|\{[^{}]*\}|<[^<>]*>|\*[^*\n]*\*|[♪♫♬]+|>>+")
+_MAY_MARK = re.compile(r"[\[({<*♪♫♬>]")
+_MAY_HESITATE = re.compile(r"(?i)(?<![\w'-])(?:[ueahmo][uehmr]|huh)")
 _HESITATION = re.compile(r"(?i)(?:--\s*)?(?<![\w'-])(?:u+h+m*|u+m+|e+r+m?|e+h+|a+h+|h+m+|m+h*m+|o+h+|mm+|huh)(?![\w'-])(?:\.\.\.|,|\s*--)?")
-_ASIDE = re.compile(r"(?i)(?<![\w'-])(?:i mean|you know|sort of|kind of),")
+#: Fillers, but not where the words before make them speech (what kind of, as you know).
+_ASIDE = re.compile(r"(?i)(?<![\w'-])(?<!\bwhat )(?<!\bwhich )(?<!\bthis )(?<!\bany )(?:sort of|kind of),|(?<![\w'-])(?<!\bdo )(?<!\bdid )(?<!\bif )(?<!\bas )you know,|(?<![\w'-])i mean,")
+_MAY_ASIDE = re.compile(r"(?i)mean,|know,|of,")
 _STUTTER = re.compile(r"(?i)\b([\w']+)\s+--\s+\1\b")
 _WORD = re.compile(r"\w")
+_FIRST_WORDS = re.compile(r"[^\W\d_]{4,}")
+
+
+def _unmarked(m: re.Match) -> str:
+    """What stays of a mark: round brackets around anything but a time or a sound are speech."""
+    inside = m.group("round")
+    if inside is None:
+        return " "
+    words = LETTERS.findall(inside.lower())
+    sound = not words or (any(w in SOUNDS for w in words) and all(w in SOUNDS or w in _AROUND for w in words))
+    return " " if sound or re.fullmatch(r"[\d:.,\s]*|\d+m\d+s?", inside) else m.group()
+
+
+def _plainer(text: str) -> str:
+    if ":" in text:
+        text = _TIME.sub(" ", text)
+    return _MARK.sub(_unmarked, text) if _MAY_MARK.search(text) else text
 
 
 def clean(text: str) -> str:
     """Speech without times, marks and hesitations, in single spaces."""
-    text = _MARK.sub(" ", _TIME.sub(" ", text))
-    text = _ASIDE.sub(" ", _HESITATION.sub(" ", text))
-    text = _STUTTER.sub(r"\1", text)
+    text = _plainer(text)
+    if _MAY_HESITATE.search(text):
+        text = _HESITATION.sub(" ", text)
+    if _MAY_ASIDE.search(text):
+        text = _ASIDE.sub(" ", text)
+    if "--" in text:
+        text = _STUTTER.sub(r"\1", text)
     text = re.sub(r"\s+", " ", text)
     return re.sub(r"\s+([,.?!;])", r"\1", text).strip(" ,-")
 
 
-def parse(label: str | None, text: str | None) -> list[tuple[int, str | None, str]]:
-    """(part, name in force or None, clean speech) for the parts of a row that hold speech.
+def spoken(text: str) -> bool:
+    """Whether ``clean`` leaves a word, without cleaning where that is plain."""
+    text = _plainer(text)
+    for m in _FIRST_WORDS.finditer(text):
+        if not _HESITATION.fullmatch(m.group()) and m.group().lower() not in ("mean", "know", "sort", "kind"):
+            return True
+    return _WORD.search(clean(text)) is not None
+
+
+_HEADER = re.compile(r"\s*(?:WEBVTT|NOTE|STYLE|REGION|X-TIMESTAMP-MAP)(?![\w'’])(?!\s*:)")
+_TIME_LINE = re.compile(rf"\s*{_CLOCK}\s*-->\s*(?:{_CLOCK}(?:[ \t]+[a-z]+:\S+)*)?\s*")
+_EXAMINED = re.compile(r"\s*([QA])\s*[.:]\s+(?=\S)")
+
+#: (state, kind of line) -> (what is done, next state). ``say``: the line is speech; ``drop``: it
+#: is none; ``hold``: a number that waits for the next line; ``cue``: the held number was a cue's;
+#: ``release``: it was spoken, and the line is looked at again; ``ask``: speech behind Q. or A.
+TRANSITIONS = {
+    ("start", "blank"): ("drop", "start"), ("start", "header"): ("drop", "header"), ("start", "number"): ("hold", "numbered"), ("start", "time"): ("drop", "speech"),
+    ("start", "question"): ("ask", "examined"), ("start", "answer"): ("say", "speech"), ("start", "speech"): ("say", "speech"),
+    ("header", "blank"): ("drop", "start"), ("header", "time"): ("drop", "speech"), ("header", "header"): ("drop", "header"), ("header", "number"): ("drop", "header"),
+    ("header", "question"): ("drop", "header"), ("header", "answer"): ("drop", "header"), ("header", "speech"): ("drop", "header"),
+    ("numbered", "time"): ("cue", "speech"), ("numbered", "blank"): ("release", "speech"), ("numbered", "header"): ("release", "speech"), ("numbered", "number"): ("release", "speech"),
+    ("numbered", "question"): ("release", "speech"), ("numbered", "answer"): ("release", "speech"), ("numbered", "speech"): ("release", "speech"),
+    ("speech", "blank"): ("drop", "start"), ("speech", "number"): ("hold", "numbered"), ("speech", "time"): ("drop", "speech"), ("speech", "header"): ("say", "speech"),
+    ("speech", "question"): ("ask", "examined"), ("speech", "answer"): ("say", "speech"), ("speech", "speech"): ("say", "speech"),
+    ("examined", "blank"): ("drop", "examined"), ("examined", "number"): ("say", "examined"), ("examined", "time"): ("drop", "examined"), ("examined", "header"): ("say", "examined"),
+    ("examined", "question"): ("ask", "examined"), ("examined", "answer"): ("ask", "examined"), ("examined", "speech"): ("say", "examined"),
+}
+
+
+def line_kind(line: str) -> str:
+    s = line.strip()
+    if not s:
+        return "blank"
+    if s.isdecimal():
+        return "number"
+    if "-->" in s and _TIME_LINE.fullmatch(line):
+        return "time"
+    if s[0] in "QA" and (m := _EXAMINED.match(line)):
+        return "question" if m.group(1) == "Q" else "answer"
+    return "header" if s[0] in "WNSRX" and _HEADER.match(line) else "speech"
+
+
+def parse(label: str | None, text: str | None, with_text: bool = True) -> list[tuple[int, str | None, str]]:
+    """(part, name in force or None, clean speech) for the parts of a row that hold speech; without the speech if it is not wanted.
 
     The name of part 0 is the label, unless the text opens with a name.
     """
     if not text:
         return []
-    out: list[tuple[int, str | None, list[str]]] = []
-    part, name, speech = 0, label, []
+    out: list[tuple[int, str | None, str]] = []
+    part, name, speech, held, state = 0, label, [], None, "start"
 
     def close() -> None:
-        if words := clean(" ".join(speech)):
-            if _WORD.search(words):
+        said = " ".join(speech)
+        if with_text:
+            if (words := clean(said)) and _WORD.search(words):
                 out.append((part, name, words))
+        elif spoken(said):
+            out.append((part, name, ""))
 
-    for line in text.split("\n"):
+    def turn(to: str) -> None:
+        nonlocal part, name, speech
+        close()
+        part, name, speech = part + 1, to, []
+
+    def say(line: str) -> None:
         at = 0
-        for m in INTRODUCTION.finditer(line):
-            speech.append(line[at : m.start()])
-            close()
-            part, name, speech = part + 1, m.group(m.lastgroup), []
-            at = m.end()
+        if _MAY_INTRODUCE.search(line):
+            for m in INTRODUCTION.finditer(line):
+                speech.append(line[at : m.start()])
+                turn(m.group(m.lastgroup))
+                at = m.end()
         speech.append(line[at:])
+
+    for line in text.split("\n"):
+        kind = line_kind(line)
+        act, state = TRANSITIONS[state, kind]
+        if act == "release":
+            say(held)
+            held = None
+            act, state = TRANSITIONS[state, kind]
+        if act == "say":
+            say(line)
+        elif act == "ask":
+            m = _EXAMINED.match(line)
+            turn(m.group(1))
+            say(line[m.end() :])
+        elif act == "hold":
+            held = line
+        elif act == "cue":
+            held = None
+    if held is not None:
+        say(held)
     close()
     return out
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [
             (t, i, s, part, name, words)
             for t, i, s, label, text in zip(*(batch.column(c).to_pylist() for c in range(5)))
-            for part, name, words in parse(label, text)
+            for part, name, words in parse(label, text, with_text)
         ]
         cols = list(zip(*rows)) if rows else [()] * 6
         types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
@@ -173,7 +288,7 @@ def speaker_turns(rows: DataFrame, speakers: DataFrame, *, block_seconds: float
     src = rows.select(F.col("transcript_id").cast("bigint"), F.col("seg_id").cast("bigint"), F.col("start").cast("double"), F.col("speakername"), F.col("text")).where(
         "transcript_id is not null and seg_id is not null and text is not null"
     )
-    parts = src.mapInArrow(_parsed, "transcript_id bigint, seg_id bigint, start double, part int, name string, speech string")
+    parts = src.mapInArrow(lambda b: _parsed(b, with_text), "transcript_id bigint, seg_id bigint, start double, part int, name string, speech string")
     if not with_text:
         parts = parts.drop("speech")
     parts = keep(parts)

@@ -19,11 +19,34 @@ SPEAKERS = [(1, "Margaret Crimmore", "Justice", "Chief Justice"), (2, "Oliver Lo
         ("A", "Said before. [Justice Lornforde] Said after.", [(0, "A", "Said before."), (1, "Justice Lornforde", "Said after.")]),
         ("A", "Justice Lornforde. -- The state may -- may act.", [(1, "Justice Lornforde", "The state may act.")]),
         ("A", "  OSKMORE:  {17.2}  Suppose  it.", [(1, "OSKMORE", "Suppose it.")]),
+        ("A", "12\n00:00:01,000 --> 00:00:04,000\nThe case begins.\n\n13\n00:00:04,000 --> 00:00:06,000\nIt goes on.", [(0, "A", "The case begins. It goes on.")]),
+        ("A", "WEBVTT\nKind: captions\n\n1\n00:01.000 --> 00:02.000 align:start\n<v John Smith>Hello there.", [(1, "John Smith", "Hello there.")]),
+        ("A", "Q. Did you go?\nA. Yes.\nQ. When?", [(1, "Q", "Did you go?"), (2, "A", "Yes."), (3, "Q", "When?")]),
+        ("A", "A. B. Carter said so.", [(0, "A", "A. B. Carter said so.")]),
+        ("A", "John Smith: May it please.\n>> Mary Jones: It does.", [(1, "John Smith", "May it please."), (2, "Mary Jones", "It does.")]),
+        ("A", "It fell at 10:30:15 (see Exhibit A), (Laughter.) not at 00:10:15 noon.", [(0, "A", "It fell at 10:30:15 (see Exhibit A), not at noon.")]),
+        ("A", "What kind of, thing, as you know, you know, was it?", [(0, "A", "What kind of, thing, as you know, was it?")]),
+        ("A", "The number was\n12\nand no more.\n63", [(0, "A", "The number was 12 and no more. 63")]),
+        ("A", "NOTE made by hand\nand kept\n\nThe speech. WEBVTT", [(0, "A", "The speech. WEBVTT")]),
         ("A", "((door closes)) ♪ [bell] ♪ <cough> *applause*", []),
     ],
 )
 def test_parser(label, text, parts):
     assert T.parse(label, text) == parts
+    assert [p[:2] for p in T.parse(label, text, with_text=False)] == [p[:2] for p in parts]
+
+
+def test_every_state_knows_every_line():
+    states, kinds = {s for s, _ in T.TRANSITIONS}, {k for _, k in T.TRANSITIONS}
+    assert {(s, k) for s in states for k in kinds} == set(T.TRANSITIONS) and {to for _, to in T.TRANSITIONS.values()} == states
+
+
+def test_spoken_agrees_with_clean(data):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{data}/casetranscripts.parquet", columns=["text"]).column(0).drop_null().to_pylist()
+    for t in [*texts, "uh, um", "You know, I mean,", "I", "er 7", "[x] -- mm", "Uhm... ah", ""]:
+        assert T.spoken(t) == (T._WORD.search(T.clean(t)) is not None), t
 
 
 @pytest.mark.parametrize("label,who", [("Crimmore, C.J.", 1), ("The Chief Justice", 1), ("Hon. O. Lronforde", 2), ("lornforde", 2), ("VENDINGTON:", 3), ("Wexridge (for the petitioner)", 4), ("Unknown", None), ("AUDIENCE", None), ("[Speaker]", None), ("Somebody Else", None)])
