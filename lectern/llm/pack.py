@@ -1,14 +1,17 @@
 """Filling containers of fixed capacity, with the sources mixed in fixed proportions.
 
 Documents are measured in tokens; one that alone exceeds the capacity is cut into
-pieces of exactly the capacity and a rest, any other stays whole. Items are spread
-over shards of a bounded number of tokens by a hash of their id, so a source with a
-third of all rows is in every shard in its proportion.
+pieces of exactly the capacity and a rest, any other stays whole. Items are put in
+order of source and size by a range shuffle (ids and sizes, no texts), and each run of
+that order is dealt out in turn to shards of a bounded number of tokens. So every shard
+holds every source in its proportion and in all sizes, also one with a third of all rows.
 
 Inside a shard each source is a queue with a deficit. Every container (window) adds
 capacity times the source's share of all tokens to its deficit; the source with the
 largest deficit gives the largest of its items that fits, and what it gives is taken
-off. Once little room is left, the item that fits best is taken whatever its source,
+off. Pieces of exactly the capacity are items like any other: they are charged to
+their source and come when it is its turn. ``mixture`` reports how far the sources of
+each run of windows are from their shares. Once little room is left, the item that fits best is taken whatever its source,
 and the overdraft is carried to the next windows. Containers that stay below
 ``close_at`` are not closed: their items and the shard's deficits are carried to a
 second round, in which the leftovers of many shards are packed together.
@@ -25,12 +28,14 @@ from bisect import bisect_right, insort
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.tokens import count_tokens
 from lectern.runtime import keep, small_side
 
+#: Tokens of a container.
+CAPACITY = 2048
 #: Tokens in a shard, where each item counts as ITEM_WEIGHT more (so empty items are bounded too).
 SHARD_TOKENS = 4_000_000
 ITEM_WEIGHT = 64
@@ -112,9 +117,6 @@ def _pack(pdf: pd.DataFrame, capacity: int, close_at: float, last: bool) -> pd.D
     for k, (s, n) in enumerate(zip(sources, sizes)):
         if n == 0:
             rows.append((k, base))
-        elif n == capacity:
-            rows.append((k, base + number))
-            number += 1
         else:
             q.add(s, n, k)
     rest = []
@@ -139,7 +141,7 @@ def _pack(pdf: pd.DataFrame, capacity: int, close_at: float, last: bool) -> pd.D
 _SCHEMA = "kind string, id bigint, piece_no bigint, source string, n_tokens bigint, share double, container_no bigint, shard bigint, deficit double"
 
 
-def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, capacity: int = 2048, close_at: float = 0.98, fan_in: int = 256) -> DataFrame:
+def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, capacity: int = CAPACITY, close_at: float = 0.98, fan_in: int = 256) -> DataFrame:
     """id, piece_no, source, n_tokens, container_no of every piece of every document."""
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("src")).where("id is not null")
     # a null source gets a name that no feed has
@@ -153,7 +155,11 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     shares = per_source.select("source", (F.col("tokens") / F.lit(float(max(tokens, 1)))).alias("share"))
     first = (
         counted.join(small_side(shares, BROADCAST_ROWS), "source")
-        .withColumn("shard", F.pmod(F.xxhash64("id", "piece_no"), F.lit(shards)))
+        .repartitionByRange("source", "n_tokens", "id", "piece_no")
+        .sortWithinPartitions("source", "n_tokens", "id", "piece_no")
+        .withColumn("at", F.monotonically_increasing_id())
+        # the number in the partition, from a start of the partition's own
+        .withColumn("shard", F.pmod(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + F.pmod(F.xxhash64(F.shiftright("at", 33)), F.lit(shards)), F.lit(shards)))
         .select(F.lit("item").alias("kind"), "id", "piece_no", "source", "n_tokens", "share", F.lit(-1).cast("bigint").alias("container_no"), F.col("shard").cast("bigint"), F.lit(0.0).alias("deficit"))
     )
     packed = keep(first.groupBy("shard").applyInPandas(lambda pdf: _pack(pdf, capacity, close_at, False), _SCHEMA))
@@ -161,3 +167,17 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     second = carried.groupBy("shard").applyInPandas(lambda pdf: _pack(pdf, capacity, close_at, True), _SCHEMA)
     done = packed.where("kind = 'item' and container_no >= 0").unionByName(second.where("kind = 'item'"))
     return done.select("id", F.col("piece_no").cast("int"), F.when(F.col("source") != "\u0000", F.col("source")).alias("source"), F.col("n_tokens").cast("int"), "container_no")
+
+
+def mixture(packed: DataFrame, every: int = 150, capacity: int = CAPACITY) -> DataFrame:
+    """shard, block, containers, fill, l1 of each ``every`` windows of a shard: the part of the room in use, and the sum over sources of the distance between share of the block and share of all tokens."""
+    used = packed.where("n_tokens > 0").select(F.coalesce("source", F.lit("\u0000")).alias("source"), "n_tokens", "container_no")
+    placed = used.withColumn("shard", F.expr(f"container_no div {SPAN}")).withColumn("block", F.expr(f"(container_no % {SPAN} - 1) div {every}"))
+    per = placed.groupBy("shard", "block", "source").agg(F.sum("n_tokens").alias("given"))
+    blocks = placed.groupBy("shard", "block").agg(F.countDistinct("container_no").alias("containers"), F.sum("n_tokens").alias("tokens"))
+    total = F.sum("tokens").over(Window.partitionBy())  # one row a source
+    shares = per.groupBy("source").agg(F.sum("given").alias("tokens")).select("source", (F.col("tokens") / total).alias("share"))
+    # a source that gives nothing to a block is as far off as its share: 1 less the shares of those that give
+    met = per.join(shares, "source").join(blocks, ["shard", "block"])
+    far = met.groupBy("shard", "block", "containers", "tokens").agg(F.sum(F.abs(F.col("given") / F.col("tokens") - F.col("share"))).alias("off"), F.sum("share").alias("met"))
+    return far.select("shard", "block", "containers", (F.col("tokens") / (F.col("containers") * F.lit(capacity))).alias("fill"), (F.col("off") + 1 - F.col("met")).alias("l1"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.cut_off import cut_shares, cut_texts
 from lectern.llm.near_copies import NearCopies
-from lectern.llm.pack import pack_documents
+from lectern.llm.pack import mixture, pack_documents
 from lectern.llm.scans import Scans
 from lectern.llm.speaker_turns import speaker_turns
 from lectern.llm.spellings import attribute_records
@@ -88,6 +88,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(read_table(spark, d, "documents"), vocabulary("byte_bpe_50k")).withColumnRenamed("id", "doc_id")
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    report = mixture(pack_documents(read_table(spark, d, "documents"), vocabulary("byte_bpe_50k")))
+    return report.select("shard", "block", "containers", F.round("fill", 4).alias("fill"), F.round("l1", 4).alias("l1"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return cut_texts(read_table(spark, d, "documents")).select(F.col("id").alias("doc_id"))
 
@@ -102,7 +107,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_turns, p3_found, p3_pairs, p4_found, p5_found, p5_repaired, p6_found, p6_pieces, p7_ids, p7_offsets, p8_containers, p9_found, p9_reasons, p9_shares)
+    for f in (p1_found, p1_groups, p2_found, p2_turns, p3_found, p3_pairs, p4_found, p5_found, p5_repaired, p6_found, p6_pieces, p7_ids, p7_offsets, p8_containers, p8_mixture, p9_found, p9_reasons, p9_shares)
 }
 
 _ITEMS = r"""

@@ -8,7 +8,7 @@ import pytest
 from lectern.llm import split as SP
 from lectern.llm import tokens as TK
 from lectern.llm.cut_off import cut_shares, cut_texts, prefixes
-from lectern.llm.pack import pack_documents
+from lectern.llm.pack import SPAN, mixture, pack_documents
 from lectern.runtime import read_table
 
 PATH = TK.vocabulary("byte_bpe_50k")
@@ -119,6 +119,20 @@ def test_packing(spark, data):
     assert sum(used) / 2048 / len(used) > 0.97
 
 
+@needs_vocabulary
+def test_sources_keep_their_shares(spark, data):
+    df = read_table(spark, data.replace("sf0.001", "sf0.1"), "documents")
+    blocks = mixture(pack_documents(df, PATH)).orderBy("block").collect()
+    full = [b for b in blocks if b.containers == 150]
+    assert len(full) >= 9 and all(b.l1 < 0.1 and b.fill >= 0.99 for b in full)
+
+
+def test_mixture_counts(spark):
+    rows = [(1, "a", 1024, 1), (2, "b", 1024, 1), (3, "a", 2048, 2), (4, None, 0, 0), (5, "b", 2048, SPAN + 1)]
+    got = mixture(spark.createDataFrame(rows, "id long, source string, n_tokens int, container_no long"), every=1).orderBy("shard", "block").collect()
+    assert [(b.shard, b.block, b.containers, b.fill, b.l1) for b in got] == [(0, 0, 1, 1.0, 0.0), (0, 1, 1, 1.0, 1.0), (1, 0, 1, 1.0, 1.0)]
+
+
 @needs_vocabulary
 def test_packing_special_rows(spark):
     rows = [(1, None, "a", 0), (2, "", None, 0), (3, "word " * 5000, "b", 0), (4, "short", None, 0), (None, "x", "a", 0)]
