@@ -15,15 +15,24 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import combinations
 
-#: Short forms that are no beginnings of the name. Fixed values.
+#: English short forms that are no beginnings of the name. Fixed values.
 NICKNAMES = {
-    "abe": "abraham", "archie": "archibald", "ben": "benjamin", "betsy": "elizabeth", "betty": "elizabeth", "bill": "william",
-    "bob": "robert", "charley": "charles", "charlie": "charles", "dick": "richard", "dolly": "dorothea", "dora": "dorothea isidora",
-    "ezra": "ezekiel", "fred": "frederick", "gil": "gilbert", "hez": "hezekiah", "issy": "isidora", "jack": "john jonathan",
-    "jon": "jonathan", "kate": "katherine", "kitty": "katherine", "len": "leonard", "lizzy": "elizabeth", "maggie": "margaret",
-    "matt": "matthias", "nat": "nathaniel", "ned": "edward", "noll": "oliver", "obie": "obadiah", "peggy": "margaret",
-    "pippa": "philippa", "rob": "robert", "sam": "samuel", "sukey": "susannah", "susan": "susannah", "ted": "edward",
-    "tim": "timothy", "tom": "thomas", "val": "valentine", "will": "william", "zach": "zachariah", "zack": "zachariah", "zeke": "ezekiel",
+    "abby": "abigail", "abe": "abraham abel", "aggie": "agnes agatha", "alec": "alexander", "archie": "archibald", "barney": "barnabas bernard", "becky": "rebecca", "bell": "isabella arabella", "bess": "elizabeth",
+    "bessy": "elizabeth", "beth": "elizabeth", "betsey": "elizabeth", "betsy": "elizabeth", "betty": "elizabeth", "biddy": "bridget", "bill": "william", "billy": "william",
+    "bob": "robert", "bobby": "robert", "carrie": "caroline", "charley": "charles", "charlie": "charles", "chuck": "charles", "cissy": "cecilia", "cy": "cyrus",
+    "dick": "richard", "dickon": "richard", "dodie": "dorothy dorothea", "dolly": "dorothy dorothea", "dora": "dorothea theodora isidora", "dot": "dorothy dorothea", "eddy": "edward edmund", "effie": "euphemia",
+    "essie": "esther", "etta": "henrietta", "fanny": "frances", "frank": "francis", "gerry": "gerald", "ginny": "virginia", "greta": "margaret", "gus": "augustus",
+    "hal": "henry harold", "hank": "henry", "harry": "henry harold", "hattie": "harriet", "hetty": "henrietta hester", "hitty": "mehitable", "ike": "isaac", "issy": "isabella isidora",
+    "izzy": "isabella isidore isidora", "jack": "john jonathan", "jamie": "james", "jem": "james jeremiah", "jemmy": "james jeremiah", "jenny": "jane janet jennifer", "jerry": "jeremiah gerald", "jim": "james",
+    "jimmy": "james", "jock": "john", "johnny": "john jonathan", "kate": "katherine catherine", "kathy": "katherine catherine", "katie": "katherine catherine", "kit": "christopher katherine", "kitty": "katherine catherine",
+    "larry": "lawrence", "lettie": "letitia", "lenny": "leonard", "libby": "elizabeth", "lina": "caroline", "lizzie": "elizabeth", "lizzy": "elizabeth", "lotty": "charlotte",
+    "madge": "margaret", "maggie": "margaret", "maggy": "margaret", "mamie": "mary", "matty": "martha matilda matthew", "maud": "matilda", "meg": "margaret", "minnie": "wilhelmina", "moll": "mary",
+    "molly": "mary", "nabby": "abigail", "nan": "ann anne", "nancy": "ann anne", "nate": "nathan nathaniel", "natty": "nathaniel", "ned": "edward edmund", "nell": "eleanor helen",
+    "nelly": "eleanor helen", "nick": "nicholas", "noll": "oliver", "nolly": "oliver", "nora": "eleanor honora", "obie": "obadiah", "patsy": "martha patience", "patty": "martha patricia",
+    "peg": "margaret", "peggy": "margaret", "phemie": "euphemia", "pippa": "philippa", "polly": "mary", "rick": "richard", "rob": "robert", "robin": "robert",
+    "sadie": "sarah", "sal": "sarah", "sally": "sarah", "sandy": "alexander", "sukey": "susan susannah", "suky": "susan susannah", "susie": "susan susannah", "susy": "susan susannah",
+    "tad": "thaddeus", "ted": "edward theodore", "teddy": "edward theodore", "tilly": "matilda", "toby": "tobias", "tom": "thomas", "tommy": "thomas", "tony": "anthony",
+    "trudy": "gertrude", "vinny": "vincent", "wat": "walter", "winnie": "winifred", "zack": "zachariah zachary", "zeke": "ezekiel",
 }
 #: Words around a name that are no part of it. Fixed values.
 TITLES = frozenset("mr mrs ms miss madam hon gen dr rev col capt maj gov judge esq esquire ed editor eds papers the by sir lady".split())

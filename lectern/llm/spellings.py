@@ -6,13 +6,16 @@ spelling goes to the form with the largest posterior: the prior is how often the
 form is written out in the corpus, the likelihood is a product of typing errors
 (letters in, out, changed or swapped), initials, short forms, left-out parts,
 reordered parts and added titles. A frequent form outside the register that
-explains a spelling better takes it away from the register, and so does a surname
-that is two edits off but made of the parts of the register's surnames.
+explains a spelling better takes it away from the register. A word two edits off a
+surname is somebody else's name where the corpus says so: a typing error seldom comes
+about twice, so a word that stands in several different spellings, or is written nearly
+as often as the surname, is no misspelling of it.
 
 Everything runs over distinct spellings with their counts (kept by checkpoints in the
 shared folder, so that no plan contains the plans before it); candidates meet over
-deletion keys, so no spelling is compared with all forms, and spellings return to
-their records by an equi-join.
+deletion keys of the form's surname (of a body's place), so no spelling is compared with
+all forms and no given name is a key, and spellings return to their records by an
+equi-join. All bounds on frequency are relative to the corpus.
 
 Defined results: null and blank authors mean nobody; a spelling equal to a name of
 the register is that name and no variant; among equal posteriors the smallest entry
@@ -32,8 +35,12 @@ from pyspark.sql import functions as F
 from lectern.llm.names import body_likelihood, body_words, far_surname, keys_of, person_likelihood, read_person
 from lectern.runtime import cut, keep, small_side
 
-#: A spelling written at least so often may be the form of somebody outside the register.
-FREQUENT = 2
+#: A spelling may be the form of somebody outside the register if it is written so many times as often as spellings are on average.
+FREQUENT = 0.25
+#: A word two edits off a surname is a name if it stands in so many spellings, and in so great a part of the number of the surname's ...
+OWN_SPELLINGS, OWN_PART = 2, 0.05
+#: ... or is written so great a part as often as the surname, and more often than spellings are on average.
+OWN_OFTEN = 0.2
 #: Least log-likelihood at which a form explains a spelling.
 LEAST = -8.5
 #: Forms outside the register have to explain a spelling better than the register by this much.
@@ -41,14 +48,24 @@ OUTSIDE_PRIOR = 0.0
 BROADCAST_ROWS = 100_000
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _typed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spelling under the keys of all its words, any of which may be the surname."""
     for batch in batches:
-        names, keys = [], []
-        for name in batch.column(0).to_pylist():
-            for k in keys_of({*read_person(name).words, *body_words(name)}):
-                names.append(name)
-                keys.append(k)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys, pa.string())], ["name", "key"])
+        rows = [(name, k) for name in batch.column(0).to_pylist() for k in keys_of({*read_person(name).words, *body_words(name)})]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["name", "key"])
+
+
+def _form_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A form under the keys of the one word that has to be met: a person's surname, a body's place."""
+    for batch in batches:
+        rows = [(name, k) for name in batch.column(0).to_pylist() for k in keys_of({*read_person(name).words[-1:], *body_words(name)[-1:]})]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["name", "key"])
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(w, n) for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in set(read_person(name).words)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["word", "n"])
 
 
 def likelihood(spelling: str, canonical: str, kind: str | None) -> float:
@@ -65,44 +82,31 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, c, k = (batch.column(i).to_pylist() for i in range(3))
         s = [likelihood(x, y, z) for x, y, z in zip(v, c, k)]
         far = [far_surname(x, y) if n > -math.inf and z != "body" else None for x, y, z, n in zip(v, c, k, s)]
-        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(s, pa.float64()), pa.array(far, pa.string())], ["spelling", "form", "kind", "loglik", "far"])
-        yield out.filter(pa.array([x > -math.inf for x in s]))
+        surname = [read_person(y).words[-1] if f else None for y, f in zip(c, far)]
+        columns = [*(batch.column(i) for i in range(3)), pa.array(s, pa.float64()), pa.array(far, pa.string()), pa.array(surname, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["spelling", "form", "kind", "loglik", "far", "surname"]).filter(pa.array([x > -math.inf for x in s]))
 
 
-def _name_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The two parts of each surname, cut at every place that leaves three letters and two."""
-    for batch in batches:
-        rows = [(w, w[:i], w[i:]) for w in batch.column(0).to_pylist() for i in range(3, len(w) - 1)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["word", "front", "back"])
+def names_of_their_own(pairs: DataFrame, spellings: DataFrame, average: float) -> DataFrame:
+    """far, surname: those pairs of a word and the surname it may be a misspelling of, whose word is a name.
 
-
-def _surnames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words = [p.words[-1] for p in map(read_person, batch.column(0).to_pylist()) if len(p.words) > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
-
-
-def names_of_their_own(words: DataFrame, forms: DataFrame) -> DataFrame:
-    """word: those made of a front and a back of the register's surnames.
-
-    A front counts where several letters follow it in the register, a back where several
-    letters stand before it: there a surname has a joint. Somebody's name looks like that
-    and a typing error seldom does, so a word two edits from a surname that is such a name
-    is not taken for a misspelling of it.
+    ``spellings``: spelling, n. Both words are counted over all spellings, in how many of
+    them they stand and how often these are written.
     """
-    cut = "word string, front string, back string"
-    known = keep(forms.where("kind is null or kind = 'person'").select("form").mapInArrow(_surnames, "word string").distinct().mapInArrow(_name_parts, cut))
-    joints = lambda part, letter: known.groupBy(part).agg(F.countDistinct(letter).alias("n")).where("n >= 2").select(part)
-    fronts, backs = joints("front", F.substring("back", 1, 1)), joints("back", F.substring("front", -1, 1))
-    return words.distinct().mapInArrow(_name_parts, cut).join(fronts, "front").join(backs, "back").select("word").distinct()
+    words = cut(spellings.select("spelling", "n").mapInArrow(_words, "word string, n bigint").groupBy("word").agg(F.count("*").alias("spellings"), F.sum("n").alias("records")))
+    of = lambda c, p: words.select(F.col("word").alias(c), F.col("spellings").alias(f"{p}_spellings"), F.col("records").alias(f"{p}_records"))
+    met = pairs.distinct().join(of("far", "far"), "far").join(of("surname", "own"), "surname", "left").fillna(0, ["own_spellings", "own_records"])
+    several = (F.col("far_spellings") >= OWN_SPELLINGS) & (F.col("far_spellings") > OWN_PART * F.col("own_spellings"))
+    often = (F.col("far_records") >= OWN_OFTEN * F.col("own_records")) & (F.col("far_records") > F.lit(average))
+    return met.where(several | often).select("far", "surname")
 
 
 def _candidates(spellings: DataFrame, forms: DataFrame) -> DataFrame:
     """spelling, form, kind, loglik for the forms that could explain each spelling."""
-    typed = spellings.select("spelling").mapInArrow(_keys, "spelling string, key string")
-    meant = forms.select("form").mapInArrow(_keys, "form string, key string").join(forms.select("form", "kind"), "form")
+    typed = spellings.select("spelling").mapInArrow(_typed_keys, "spelling string, key string")
+    meant = forms.select("form").mapInArrow(_form_keys, "form string, key string").join(forms.select("form", "kind"), "form")
     met = typed.join(meant, "key").where("spelling <> form").select("spelling", "form", "kind").distinct()
-    return met.mapInArrow(_scores, "spelling string, form string, kind string, loglik double, far string")
+    return met.mapInArrow(_scores, "spelling string, form string, kind string, loglik double, far string, surname string")
 
 
 def attribute_spellings(spellings: DataFrame, register: DataFrame) -> DataFrame:
@@ -116,12 +120,14 @@ def attribute_spellings(spellings: DataFrame, register: DataFrame) -> DataFrame:
     forms = cut(entries.join(spellings.withColumnRenamed("spelling", "form"), "form", "left").select("form", "entry_id", "kind", F.coalesce("n", F.lit(0)).alias("n")))
     unnamed = cut(spellings.join(forms.select(F.col("form").alias("spelling")), "spelling", "left_anti"))
 
+    average = spellings.agg(F.avg("n")).first()[0] or 0.0
+
     inside = cut(_candidates(unnamed, forms))
-    own = names_of_their_own(inside.where("far is not null").select(F.col("far").alias("word")), forms)
-    inside = cut(inside.join(own.withColumnRenamed("word", "far"), "far", "left_anti"))
+    own = names_of_their_own(inside.where("far is not null").select("far", "surname"), spellings, average)
+    inside = cut(inside.join(own, ["far", "surname"], "left_anti"))
     explained = inside.where(F.col("loglik") >= LEAST).select("spelling").distinct()
     outside_forms = (
-        unnamed.where(F.col("n") >= FREQUENT).join(explained, "spelling", "left_anti").select(F.col("spelling").alias("form"), F.lit(None).cast("string").alias("kind"), "n")
+        unnamed.where((F.col("n") > 1) & (F.col("n") >= FREQUENT * average)).join(explained, "spelling", "left_anti").select(F.col("spelling").alias("form"), F.lit(None).cast("string").alias("kind"), "n")
     )
     # only spellings that a register entry would get can be taken away from it
     outside = _candidates(unnamed.join(explained, "spelling", "left_semi"), outside_forms)

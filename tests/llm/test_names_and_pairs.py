@@ -7,6 +7,7 @@ from itertools import combinations
 import pytest
 
 from lectern.llm import names as N
+from lectern.llm import spellings as SP
 from lectern.llm.spellings import attribute_records
 from lectern.llm.together import co_occurrence, significant_pairs
 
@@ -99,3 +100,23 @@ def test_bounds_are_exact(spark):
     assert significant_pairs(df, "chunk_id", cols, least=3).count() == 1
     assert significant_pairs(df, "chunk_id", cols, least=3, least_share=0.00101).count() == 0
     assert significant_pairs(df, "chunk_id", cols, least=3, least_lift=2.001).count() == 0
+
+
+REGISTER = [("e1", "Benjamin Harwick", "person"), ("e2", "Assembly of Doravale", "body")]
+
+
+@pytest.mark.parametrize("times", [1, 100])
+def test_names_two_edits_off(spark, times):
+    """Whether a word is a name or an error is told by the corpus, and the same at any size."""
+    typed = [("Benjamin Harwick", 30), ("Benjamin Hrawik", 1), ("B. Hartwyck", 3), ("Hartwyck, Benjamin", 4), ("Hartwyck", 2), ("Benj. Harwick", 6), ("Assembly of Dorvale", 1), ("Peter Smith", 20), ("Peter Smyth", 1)]
+    spellings = spark.createDataFrame([(s, n * times) for s, n in typed], "spelling string, n long")
+    got = {r.spelling: r.entry_id for r in SP.attribute_spellings(spellings, spark.createDataFrame(REGISTER, "entry_id string, name string, kind string")).collect()}
+    assert got == {"Benjamin Hrawik": "e1", "Benj. Harwick": "e1", "Assembly of Dorvale": "e2"}
+
+
+def test_no_given_name_is_a_key():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["Benjamin Harwick", "Assembly of Doravale"])], ["form"])
+    keys = {k for b in SP._form_keys(iter([batch])) for k in b.column(1).to_pylist()}
+    assert "harwick" in keys and "doravale" in keys and not keys & {"benjamin", "assembly", "benjami"}
