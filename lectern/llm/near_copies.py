@@ -50,6 +50,8 @@ SKETCH = 128
 SKETCH_SLACK = 0.2
 #: Classes of one band that one task pairs; more are spread in blocks of this size.
 RUN = 2_000
+#: Pairs of blocks in one batch.
+BLOCK_ROWS = 32
 #: Rows up to which a side of a join is broadcast.
 BROADCAST_ROWS = 300_000
 
@@ -179,8 +181,7 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     A run of more than ``RUN`` classes is not paired here: it leaves as pairs of blocks
     (arrays of classes), to be spread over tasks and paired there.
     """
-    empty = np.empty(0, np.int64)
-    carried_band, carried = empty, empty
+    carried_band, carried = None, []
 
     def emit(band: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
@@ -206,20 +207,28 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             differ = x != y
             none = pa.nulls(int(differ.sum()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(x[differ]), pa.array(y[differ]), none, none], _PAIR)
-        for x, y in blocks:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([x], pa.list_(pa.int64())), pa.array([y], pa.list_(pa.int64()))], _PAIR)
+        for k in range(0, len(blocks), BLOCK_ROWS):
+            some = blocks[k : k + BLOCK_ROWS]
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, *(pa.array([pair[side] for pair in some], pa.list_(pa.int64())) for side in (0, 1))], _PAIR)
 
     for batch in batches:
-        band = np.concatenate([carried_band, batch.column(0).to_numpy()])
-        cls = np.concatenate([carried, batch.column(1).to_numpy()])
+        band, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(band):
             continue
-        # the last run may go on in the next batch
-        last = np.searchsorted(band, band[-1]) if band[0] != band[-1] else 0
-        yield from emit(band[:last], cls[:last]) if last else ()
-        carried_band, carried = band[last:], cls[last:]
-    if len(carried_band):
-        yield from emit(carried_band, carried)
+        # the last run may go on in the next batch; a run is put together once, when it ends
+        last = int(np.searchsorted(band, band[-1]))
+        if carried and (last or carried_band != band[0]):
+            bands, classes = [np.full(sum(map(len, carried)), carried_band)], carried
+            carried = []
+            yield from emit(np.concatenate([*bands, band[:last]]), np.concatenate([*classes, cls[:last]]))
+        elif last:
+            yield from emit(band[:last], cls[:last])
+        carried_band = band[-1]
+        carried.append(cls[last:].copy())
+    if carried:
+        classes = np.concatenate(carried)
+        yield from emit(np.full(len(classes), carried_band), classes)
 
 
 _PAIR = ["a1", "b1", "left", "right"]
