@@ -38,7 +38,7 @@ RARER = 8
 FORMULA_SHARE, FORMULA_TEXTS = 0.02, 3
 BROADCAST_ROWS = 200_000
 
-_TAIL = 400
+_TAIL, _MARK_ROOM = 400, 40
 #: White space at the end of a text. Fixed values.
 _WHITE = " \t\r\n\u000b\u000c\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _QUOTES = r"[\"'”’»)\]]*"
@@ -130,7 +130,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def prefixes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id of the texts that are strict prefixes of longer texts of the table."""
-    body = F.rtrim(F.col(text_col), F.lit(_WHITE))
+    # without white space and the mark of a cut behind it
+    trimmed = F.rtrim(F.col(text_col), F.lit(_WHITE))
+    mark = F.regexp_extract(F.substring(trimmed, -_MARK_ROOM, _MARK_ROOM), rf"(?:{_CUT_MARK}|\s*{_ELLIPSIS}{_QUOTES}$)", 0)
+    body = F.rtrim(F.substring(trimmed, F.lit(1), F.length(trimmed) - F.length(mark)), F.lit(_WHITE))
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw")).where(F.col("id").isNotNull() & F.col("raw").isNotNull() & (F.length("raw") >= PREFIX))
     keyed = src.select("id", F.xxhash64(F.substring("raw", 1, PREFIX)).alias("key"), F.length("raw").alias("len"))
     shared = keyed.groupBy("key").agg(F.min("len").alias("shortest"), F.max("len").alias("longest")).where("shortest < longest").select("key")
@@ -146,8 +149,10 @@ def prefixes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     seen = keep(ordered.mapInArrow(_neighbours, "kind string, part int, digest bigint, text string"))
     # texts on the two sides of a border between partitions: as many rows as there are partitions
     tops = seen.where("kind = 'first'").select("part", F.col("text").alias("top"))
-    ends = seen.where("kind = 'last'").select("part", F.lag(F.struct("digest", "text")).over(Window.orderBy("part")).alias("e"))
-    across = tops.join(ends, "part").where("e is not null and startswith(top, e.text) and top <> e.text").select(F.col("e.digest").alias("digest"))
+    ends = seen.where("kind = 'last'").select(F.col("part").alias("before"), "digest", F.col("text").alias("end"))
+    # numbers of partitions alone are put in order, texts meet by them
+    order = seen.where("kind = 'last'").select("part", F.lag("part").over(Window.orderBy("part")).alias("before"))
+    across = tops.join(order, "part").join(ends, "before").where("startswith(top, end) and top <> end").select("digest")
     found = seen.where("kind = 'prefix'").select("digest").union(across).distinct()
     return rows.join(small_side(found, BROADCAST_ROWS), "digest", "left_semi").select("id").distinct()
 
