@@ -69,7 +69,8 @@ def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split_long(read_table(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), F.col("parent").alias("document_id"), "piece_no", "pieces", "first_word", "n_words", "text")
+    chunks = once(read_table(spark, d, "chunks"), "chunk_id", "document_id", "text", delivered="ingested_at")
+    return split_long(chunks, unique=True).select(F.col("id").alias("chunk_id"), F.col("parent").alias("document_id"), "piece_no", "pieces", "first_word", "n_words", "text")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

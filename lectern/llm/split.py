@@ -115,13 +115,14 @@ def _pieces(batches: Iterator[pa.RecordBatch], limit: int, overlap: int, only_lo
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
 
-def split_long(df: DataFrame, id_col: str = "chunk_id", parent_col: str = "document_id", text_col: str = "text", *, limit: int = 650, overlap: int = 45, only_long: bool = True) -> DataFrame:
-    """id, parent, piece_no (from 0), pieces, first_word, n_words, text of each piece."""
+def split_long(df: DataFrame, id_col: str = "chunk_id", parent_col: str = "document_id", text_col: str = "text", *, limit: int = 650, overlap: int = 45, only_long: bool = True, unique: bool = False) -> DataFrame:
+    """id, parent, piece_no (from 0), pieces, first_word, n_words, text of each piece. ``unique``: ids are known to occur once, so texts need not be shuffled to see to it."""
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be shorter than a piece")
     src = df.select(F.col(id_col).cast("string").alias("id"), F.col(parent_col).cast("string").alias("parent"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     if only_long:
         # more than limit words need as many characters, and white space between them
         src = src.where(F.length("text") > 2 * limit)
-    src = src.dropDuplicates(["id"])
+    if not unique:
+        src = src.dropDuplicates(["id"])
     return src.mapInArrow(lambda b: _pieces(b, limit, overlap, only_long), "id string, parent string, piece_no int, pieces int, first_word int, n_words int, text string")
