@@ -44,18 +44,18 @@ class Archive:
         """An archive of chunks; a chunk delivered twice counts once. The index and the citations are derived."""
         columns = [c for c in chunks.columns if c in schemas.CHUNK_FIELDS]
         once = keep(A.once(chunks, "chunk_id", *columns, delivered="ingested_at" if "ingested_at" in chunks.columns else None))
-        index = S.PostingIndex.build(once, "chunk_id", X.tokens_archive(F.col("text")))
-        return Archive(once, S.PostingIndex(keep(index.postings), keep(index.stats)), keep(CI.extract(once, "chunk_id", "text")), events, edges, vectors)
+        index = S.PostingIndex.build(once, "chunk_id", X.tokens_archive(F.col("text")), cached=True)
+        return Archive(once, index, keep(CI.extract(once, "chunk_id", "text")), events, edges, vectors)
 
     def save(self, path: str) -> None:
         """chunks, postings, lengths and, where there are any, events and links; citations are derived again."""
-        tables = {"chunks": self.chunks, "postings": self.index.postings, "lengths": self.index.stats, "events": self.events, "edges": self.edges}
+        tables = {"chunks": self.chunks, "postings": self.index.postings, "lengths": self.index.stats, "terms": self.index.terms, "events": self.events, "edges": self.edges}
         sinks.write_archive(self.chunks.sparkSession, path, {n: df for n, df in tables.items() if df is not None})
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Archive:
         t = readers.load_archive(spark, path)
-        return Archive(t["chunks"], S.PostingIndex(t["postings"], t["lengths"]), CI.extract(t["chunks"], "chunk_id", "text"), t.get("events"), t.get("edges"))
+        return Archive(t["chunks"], S.PostingIndex(t["postings"], t["lengths"], t["terms"]), CI.extract(t["chunks"], "chunk_id", "text"), t.get("events"), t.get("edges"))
 
     # search
     def search(self, request: Request) -> DataFrame:
@@ -89,12 +89,12 @@ class Archive:
         return V.nearest(vectors, "chunk_id", "embedding", q, k)
 
     def suggest(self, prefix: str, limit: int = 10) -> DataFrame:
-        return S.suggest(self.index.postings, prefix, limit)
+        return S.suggest(self.index.terms, prefix, limit)
 
     def fuzzy(self, term: str, distance: int = 2, limit: int = 10) -> DataFrame:
         if not term:
             raise ValueError("empty term")
-        return S.fuzzy_terms(self.index.postings, term.lower(), min(distance, 3), min(limit, 50))
+        return S.fuzzy_terms(self.index.terms, term.lower(), min(distance, 3), min(limit, 50))
 
     def chunk(self, chunk_id: str) -> DataFrame:
         found = self.chunks.where(F.col("chunk_id") == chunk_id)
@@ -152,7 +152,7 @@ class Archive:
 
     # analyses
     def stats(self) -> DataFrame:
-        terms = self.index.postings.select("term").distinct().count()
+        terms = self.index.terms.count()
         n_events = 0 if self.events is None else self.events.count()
         counted = self.chunks.agg(F.count("*").alias("chunks"), F.countDistinct("document_id").alias("documents"), F.countDistinct("source_collection").alias("collections"), F.countDistinct("author").alias("authors"))
         return counted.select("*", F.lit(terms).alias("terms"), F.lit(n_events).alias("events"), F.lit(self.citations.count()).alias("citations"))

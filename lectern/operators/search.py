@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -35,32 +35,61 @@ def term_score(tf: Column, dl: Column, avgdl: Column) -> Column:
 
 @dataclass
 class PostingIndex:
-    """term, id, tf; id, dl of every text (empty ones too)."""
+    """term, id, tf, dl (the length of the text, so that no search joins lengths); id, dl of every text (empty ones too); term, df, cf."""
 
     postings: DataFrame
     stats: DataFrame
+    terms: DataFrame
+    _cached: DataFrame | None = None
+    _size: tuple[int, float] | None = None
 
     @staticmethod
-    def build(df: DataFrame, id_col: str, tokens: Column) -> PostingIndex:
-        """From a table with one row an id."""
+    def build(df: DataFrame, id_col: str, tokens: Column, *, cached: bool = False) -> PostingIndex:
+        """From a table with one row an id. Texts are tokenised once for all tables if they are cached; counts are added before the shuffle."""
         tokenised = df.select(F.col(id_col).alias("id"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
-        postings = tokenised.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"))
-        return PostingIndex(postings, tokenised.select("id", F.size("tokens").alias("dl")))
+        # a row without a term for each text; the outer generator keeps the tokenizer out of filters that would be inferred
+        each = tokenised.select("id", F.size("tokens").alias("dl"), F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
+        rows = each.groupBy("term", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
+        if cached:
+            rows = keep(rows)
+        postings = rows.where("term is not null").select("term", "id", "tf", "dl")
+        return PostingIndex(postings, rows.where("term is null").select("id", "dl"), postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), rows if cached else None)
+
+    def release(self) -> None:
+        """Give up what ``build`` cached."""
+        if self._cached is not None:
+            self._cached.unpersist()
+
+    def save(self, path: str) -> None:
+        """Tables of a folder: postings in order of term and id (a frequent term is spread over files), lengths, terms in order."""
+        for name, df, order in (("postings", self.postings, ["term", "id"]), ("lengths", self.stats, None), ("terms", self.terms, ["term"])):
+            (df if order is None else df.repartitionByRange(*order).sortWithinPartitions(*order)).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @staticmethod
+    def kept(df: DataFrame, id_col: str, tokens: Column, path: str) -> PostingIndex:
+        """Built into a folder and opened: one pass over the texts, then one range shuffle of their postings."""
+        index = PostingIndex.build(df, id_col, tokens, cached=True)
+        index.save(path)
+        index.release()
+        return PostingIndex.open(df.sparkSession, path)
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> PostingIndex:
+        return PostingIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms")))
 
     def corpus(self) -> tuple[int, float]:
-        row = self.stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-        return row.n, row.avgdl or 0.0
+        if self._size is None:
+            row = self.stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+            self._size = (row.n, row.avgdl or 0.0)
+        return self._size
 
     def frequencies(self) -> DataFrame:
         """term, df, cf."""
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+        return self.terms
 
-    def weighted(self, terms: Sequence[tuple[str, float]]) -> DataFrame:
-        """The query's terms with their summed weights; a repeated term counts as often as it is asked."""
-        total: dict[str, float] = {}
-        for t, w in terms:
-            total[t] = total.get(t, 0.0) + w
-        return self.postings.sparkSession.createDataFrame([*total.items()], "term string, weight double")
+    def _known(self, terms: Sequence[str]) -> dict[str, tuple[int, int]]:
+        """df, cf of those of a query's terms that the corpus has."""
+        return {r.term: (r.df, r.cf) for r in self.terms.where(F.col("term").isin(*terms)).collect()} if terms else {}  # a row a term of the query
 
     def expand(self, terms: Sequence[str], distance: int) -> list[tuple[str, float]]:
         """Terms with weights: one that the corpus lacks gives way to at most three near terms, at half weight.
@@ -82,7 +111,7 @@ class PostingIndex:
         if not terms:
             return {}
         q = F.array(*(F.struct(F.lit(t).alias("asked"), F.lit(len(t)).alias("n")) for t in terms))
-        met = self.postings.select("term").distinct().select("term", F.explode(F.filter(q, lambda x: F.abs(F.length("term") - x["n"]) <= distance)).alias("x"))
+        met = self.terms.select("term", F.explode(F.filter(q, lambda x: F.abs(F.length("term") - x["n"]) <= distance)).alias("x"))
         far = met.select("term", "x.asked", F.expr(f"levenshtein(term, x.asked, {int(distance)})").alias("distance")).where("distance >= 0")
         best = far.withColumn("r", F.row_number().over(Window.partitionBy("asked").orderBy("distance", "term"))).where(F.col("r") <= MOST_EXPANSIONS)
         out: dict[str, list[str]] = {}
@@ -91,16 +120,19 @@ class PostingIndex:
         return out
 
     def bm25_or(self, terms: Sequence[tuple[str, float]], allowed: DataFrame | None = None, min_score: float | None = None) -> DataFrame:
-        """id, score, matched_terms of the texts with any of the terms."""
+        """id, score, matched_terms of the texts with any of the terms; a repeated term counts as often as it is asked.
+
+        The query's terms are a filter on the postings that reaches the scan.
+        """
+        total: dict[str, float] = {}
+        for t, w in terms:
+            total[t] = total.get(t, 0.0) + w
         n, avgdl = self.corpus()
-        asked = F.broadcast(self.weighted(terms))  # the words of one query
-        hit = keep(self.postings.join(asked, "term"))
-        df = hit.groupBy("term").agg(F.count("*").alias("df"))
-        rows = hit.join(F.broadcast(df), "term")  # as many rows as the query has terms
+        known = self._known([*total])
+        rows = self.postings.where(F.col("term").isin(*known))
         if allowed is not None:
             rows = rows.join(allowed.select("id"), "id", "left_semi")
-        rows = rows.join(self.stats, "id")
-        part = F.col("weight") * idf(float(n), F.col("df")) * term_score(F.col("tf"), F.col("dl"), F.lit(float(avgdl)))
+        part = _by_term({t: F.lit(total[t]) * idf(float(n), F.lit(float(df))) for t, (df, _) in known.items()}) * term_score(F.col("tf"), F.col("dl"), F.lit(float(avgdl)))
         out = rows.groupBy("id").agg(F.sum(part).alias("score"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
         return out if min_score is None else out.where(F.col("score") >= min_score)
 
@@ -110,24 +142,29 @@ class PostingIndex:
         ``parity`` counts a term's occurrences instead of its texts in the idf (which can
         then be negative) and repeats a row as often as the last term stands in the text.
         """
-        wanted = list(dict.fromkeys(terms))
-        if not wanted:
+        weight = Counter(terms)
+        known = self._known([*weight])
+        if not weight or len(known) < len(weight):
             return self.stats.select("id", F.lit(0.0).alias("score")).limit(0)
         n, avgdl = self.corpus()
-        hit = keep(self.postings.where(F.col("term").isin(*wanted)))
-        df = hit.groupBy("term").agg((F.sum("tf") if parity else F.count("*")).alias("df"))
-        weight = Counter(terms)
-        times = F.create_map(*(x for t, c in weight.items() for x in (F.lit(t), F.lit(float(c)))))
-        rows = hit.join(F.broadcast(df), "term").join(self.stats, "id")
-        i = F.log((F.lit(float(n)) + 1) / (F.col("df") + 0.5)) if parity else idf(float(n), F.col("df"))
-        part = times[F.col("term")] * i * term_score(F.col("tf"), F.col("dl"), F.lit(float(avgdl)))
+        own = lambda df, cf: F.log((F.lit(float(n)) + 1) / (F.lit(float(cf)) + 0.5)) if parity else idf(float(n), F.lit(float(df)))
+        part = _by_term({t: F.lit(float(weight[t])) * own(*f) for t, f in known.items()}) * term_score(F.col("tf"), F.col("dl"), F.lit(float(avgdl)))
         last = F.max(F.when(F.col("term") == terms[-1], F.col("tf")))
-        out = rows.groupBy("id").agg(F.sum(part).alias("score"), F.count("*").alias("found"), last.alias("last_tf")).where(F.col("found") == len(wanted))
+        hit = self.postings.where(F.col("term").isin(*weight))
+        out = hit.groupBy("id").agg(F.sum(part).alias("score"), F.count("*").alias("found"), last.alias("last_tf")).where(F.col("found") == len(weight))
         if parity:
             out = out.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("last_tf"))))
         return out.select("id", "score")
 
 
+def _by_term(values: dict[str, Column]) -> Column:
+    """The value of each row's term; the terms of one query."""
+    out = F.lit(None).cast("double")
+    for t, v in values.items():
+        out = F.when(F.col("term") == t, v).otherwise(out)
+    return out
+
+
 def bm25_scan(df: DataFrame, id_col: str, tokens: Column, terms: Sequence[str], where: Column | None = None) -> DataFrame:
     """id, score without an index: the query's words are counted in each text as it is read."""
     asked = Counter(terms)
@@ -154,21 +191,22 @@ def top(df: DataFrame, k: int, digits: int = 6) -> DataFrame:
 # terms -------------------------------------------------------------------------
 
 
-def fuzzy_terms(postings: DataFrame, query: str, distance: int, limit: int) -> DataFrame:
-    """term, distance of the terms within an edit distance: nearest first, then by term.
+def fuzzy_terms(terms: DataFrame, query: str, distance: int, limit: int) -> DataFrame:
+    """term, distance of the terms (one row each) within an edit distance: nearest first, then by term.
 
     Lengths are compared before letters; the vocabulary is scanned, texts are not.
     """
     q = F.lit(query)
-    near = postings.select("term").distinct().where(F.abs(F.length("term") - F.lit(len(query))) <= distance)
+    near = terms.select("term").where(F.abs(F.length("term") - F.lit(len(query))) <= distance)
     d = F.levenshtein(F.col("term"), q, distance)
     return near.select("term", d.alias("distance")).where(F.col("distance") >= 0).orderBy("distance", "term").limit(limit)
 
 
-def suggest(postings: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
+def suggest(terms: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
+    """The first terms (of one row each) with a beginning; the filter reaches the scan."""
     if not prefix:
         raise ValueError("empty prefix")
-    return postings.where(F.startswith("term", F.lit(prefix.lower()))).select("term").distinct().orderBy("term").limit(min(limit, 50))
+    return terms.where(F.startswith("term", F.lit(prefix.lower()))).select("term").orderBy("term").limit(min(limit, 50))
 
 
 def fuzzy_chunks(df: DataFrame, id_col: str, pos_col: str, tokens: Column, query: str, distance: int, first_only: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ from lectern.operators import analytics as A
 from lectern.operators import filters as FL
 from lectern.operators import search as S
 from lectern.plans.common import CLAUSES, ISSUES, C, Registry, chunks, joined, sql_list, sql_tags, sql_tokens_all, sql_tokens_archive
+from lectern.runtime import shared_folder
 
 R = Registry()
 TERMS = ["charter", "liberty", "treaty", "charter"]
@@ -17,10 +18,23 @@ NEAR = ["charter", "libberty", "tretaies", "veto"]
 FACETS = FL.Facets(collections=("Convention_Records", "foundation_acts"), authors=("oskmont", "kittden", "ULLERBY"), issues=("General_Welfare", "jury_trial", "harbour_duties"), date_prefix="17")
 
 
-def index(spark: SparkSession, d: str) -> S.PostingIndex:
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def built(spark: SparkSession, d: str) -> S.PostingIndex:
     return S.PostingIndex.build(chunks(spark, d, "text"), "chunk_id", X.tokens_archive(F.col("text")))
 
 
+def index(spark: SparkSession, d: str) -> S.PostingIndex:
+    """The index of a directory's chunks, written to the shared folder by the first query of an application that needs it and read by all."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _KEPT:
+        path = shared_folder(spark, "index")
+        S.PostingIndex.kept(chunks(spark, d, "text"), "chunk_id", X.tokens_archive(F.col("text")), path)
+        _KEPT[key] = path
+    return S.PostingIndex.open(spark, _KEPT[key])
+
+
 def _ranked(df: DataFrame, k: int = 10) -> DataFrame:
     return S.top(df.select("id", "score"), k)
 
@@ -79,7 +93,6 @@ SELECT id, round(score, 6) AS score FROM (SELECT *, unnest(range(again)) AS _ FR
 
 def fuzzy_expanded(s: SparkSession, d: str) -> DataFrame:
     i = index(s, d)
-    i.postings.persist()
     return _ranked(i.bm25_or(i.expand(NEAR, 2)), 10)
 
 
@@ -96,19 +109,19 @@ SELECT id, round(score, 6) AS score FROM r ORDER BY score DESC, id LIMIT 10"""
 R.add("fuzzy_expanded_search", fuzzy_expanded, _expanded_sql())
 R.add(
     "fuzzy_terms",
-    lambda s, d: S.fuzzy_terms(index(s, d).postings, "libberty", 3, 40),
+    lambda s, d: S.fuzzy_terms(index(s, d).terms, "libberty", 3, 40),
     f"{_BASE} SELECT term, levenshtein(term, 'libberty')::INTEGER AS distance FROM f WHERE levenshtein(term, 'libberty') <= 3 AND regexp_full_match(term, '[ -~]+') ORDER BY distance, term LIMIT 40",
 )
-R.add("suggest_prefix", lambda s, d: S.suggest(index(s, d).postings, "con", 50), f"{_BASE} SELECT term FROM f WHERE starts_with(term, 'con') ORDER BY term LIMIT 50")
+R.add("suggest_prefix", lambda s, d: S.suggest(index(s, d).terms, "con", 50), f"{_BASE} SELECT term FROM f WHERE starts_with(term, 'con') ORDER BY term LIMIT 50")
 R.add(
     "fuzzy_chunks",
     lambda s, d: S.fuzzy_chunks(chunks(s, d, "text", "pos"), "chunk_id", "pos", X.tokens_archive(F.col("text")), "tresury", 2, first_only=True),
     f"""WITH {C}, t AS (SELECT DISTINCT chunk_id, pos, unnest({sql_tokens_archive('text')}) AS term FROM c), n AS (SELECT *, levenshtein(term, 'tresury')::INTEGER AS distance FROM t WHERE regexp_full_match(term, '[ -~]+'))
 SELECT arg_min(chunk_id, (pos, chunk_id)) AS id, term, distance, 1.0 - distance / 2.0 AS score FROM n WHERE distance <= 2 GROUP BY term, distance""",
 )
-R.add("inverted_index", lambda s, d: index(s, d).postings, f"{_BASE} SELECT term, chunk_id AS id, tf::INTEGER AS tf FROM p")
-R.add("term_frequencies", lambda s, d: index(s, d).frequencies(), f"{_BASE} SELECT term, df, cf FROM f")
-R.add("document_lengths", lambda s, d: index(s, d).stats, f"{_BASE} SELECT chunk_id AS id, dl::INTEGER AS dl FROM dl")
+R.add("inverted_index", lambda s, d: built(s, d).postings.select("term", "id", "tf"), f"{_BASE} SELECT term, chunk_id AS id, tf::INTEGER AS tf FROM p")
+R.add("term_frequencies", lambda s, d: built(s, d).frequencies(), f"{_BASE} SELECT term, df, cf FROM f")
+R.add("document_lengths", lambda s, d: built(s, d).stats, f"{_BASE} SELECT chunk_id AS id, dl::INTEGER AS dl FROM dl")
 
 
 def presence_postings(s: SparkSession, d: str) -> DataFrame:

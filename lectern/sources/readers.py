@@ -18,7 +18,7 @@ from lectern import schemas as S
 from lectern.functions import text as X
 from lectern.operators.tables import latest
 
-VERSION = 1
+VERSION = 2
 
 
 # corpora ------------------------------------------------------------------------
