@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.runtime import keep
+from lectern.operators.blocks import against, best_of, dense, sparse
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,42 +47,101 @@ def nearest(df: DataFrame, id_col: str, vector: str, query: Sequence[float], k:
     return df.select(F.col(id_col).alias("id"), F.round(score, 5).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def _best_of_batches(batches: Iterator[pa.RecordBatch], queries: np.ndarray, ids: list[int], k: int) -> Iterator[pa.RecordBatch]:
-    """The k best of a task for each query: one matrix product a batch."""
-    best_score, best_id = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
-    for batch in batches:
-        vectors = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64) if batch.num_rows else np.empty((0, queries.shape[1]))
-        own = np.broadcast_to(batch.column(0).to_numpy(), (len(ids), batch.num_rows))
-        score = np.concatenate([best_score, np.round(queries @ vectors.T, 5)], axis=1)
-        own = np.concatenate([best_id, own], axis=1)
-        order = np.lexsort((own, -score), axis=1)[:, :k]
-        best_score, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(own, order, 1)
-    rows = best_score.shape[1]
-    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, rows).astype(np.int64)), pa.array(best_id.reshape(-1)), pa.array(best_score.reshape(-1))], ["query_id", "id", "score"])
-
-
-def nearest_to_each(df: DataFrame, id_col: str, vector: str, queries: Sequence[tuple[int, Sequence[float]]], k: int) -> DataFrame:
-    """query_id, id, score, rank of the k largest inner products for each query of a stated set; a task sends k rows a query."""
-    ids, q = [i for i, _ in queries], np.array([v for _, v in queries], np.float64)
-    part = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), vector).mapInArrow(lambda b: _best_of_batches(b, q, ids, k), "query_id bigint, id bigint, score double")
+def nearest_to_each(df: DataFrame, id_col: str, vector: str, queries: DataFrame, k: int, digits: int = 5) -> DataFrame:
+    """query_id, id, score, rank of the k largest inner products for each of a stated set of queries (rows like those of ``df``); ties by id."""
+
+    def best(q, r, _, scores):
+        scores = np.round(scores, digits)
+        i, j = best_of(scores, r, k)
+        return q[i], r[j], scores[i, j]
+
+    met = against(dense(queries, id_col, vector), dense(df, id_col, vector), best, "query_id bigint, id bigint, score double", True)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def byte_embedding(s: pd.Series) -> pd.Series:
-    """A stand-in for a model: bytes / 255 summed at their place modulo 384, of length 1; nothing gives the first axis."""
+class CellIndex:
+    """Dense vectors by cell, for approximate search: centres are fitted on a bounded sample, every vector is in the cell of its nearest centre.
 
-    def one(text: str | None) -> np.ndarray:
-        data = np.frombuffer((text or "").encode(), np.uint8).astype(np.float64) / 255
-        out = np.zeros(384)
-        np.add.at(out, np.arange(len(data)) % 384, data)
-        n = np.linalg.norm(out)
-        if n == 0:
-            out[0] = n = 1.0
-        return (out / n).astype(np.float32)
+    A query looks into its ``probes`` nearest cells; queries and vectors meet by an
+    equi-join on the cell, and a cell's pairs are scored in blocks. Tests measure the
+    recall against all vectors.
+    """
 
-    return s.map(one)
+    #: Vectors that the centres are fitted on, at most.
+    SAMPLE = 20_000
+
+    def __init__(self, df: DataFrame, id_col: str, vector: str, *, cells: int = 64, rounds: int = 8, seed: int = 7):
+        rows = df.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v"))
+        # in order of a hash, so that the sample is the same at every run
+        sample = [r.v for r in rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(self.SAMPLE).select("v").collect()]
+        self.centres = _centres(np.array(sample, np.float64), cells, rounds) if sample else np.empty((0, 0))
+        self.rows, self.cells = rows, self._placed(rows, 1)
+
+    def _placed(self, rows: DataFrame, probes: int) -> DataFrame:
+        """id, v, cell for the nearest cells of each row."""
+        centres = self.centres
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                v = _units(np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64))
+                near = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :probes]
+                at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.reshape(-1).astype(np.int32))], ["id", "v", "cell"])
+
+        return rows.mapInArrow(place, "id bigint, v array<float>, cell int")
+
+    def nearest(self, queries: DataFrame, k: int, *, probes: int = 16, digits: int = 5) -> DataFrame:
+        """query_id, id, score, rank of the k largest cosines among the probed cells of each query (id, v)."""
+        asked = self._placed(queries.select(F.col("id").cast("bigint").alias("id"), "v"), probes)
+        pack = lambda df, p: df.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).agg(F.collect_list("id").alias(f"{p}ids"), F.collect_list("v").alias(f"{p}vs")).drop("part")
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    q, qv, r, rv = (batch.column(c)[row].as_py() for c in ("q_ids", "q_vs", "ids", "vs"))
+                    scores = np.round(_units(np.array(qv, np.float64)) @ _units(np.array(rv, np.float64)).T, digits)
+                    q, r = np.array(q), np.array(r)
+                    i, j = best_of(scores, r, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(r[j]), pa.array(scores[i, j])], ["query_id", "id", "score"])
+
+        met = pack(asked, "q_").join(pack(self.cells, ""), "cell").select("q_ids", "q_vs", "ids", "vs").mapInArrow(score, "query_id bigint, id bigint, score double")
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _units(v: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+
+
+def _centres(v: np.ndarray, cells: int, rounds: int) -> np.ndarray:
+    """Unit centres by k-means on angles; an empty cell keeps its centre."""
+    v = _units(v)
+    centres = v[np.linspace(0, len(v) - 1, min(cells, len(v))).astype(int)].copy()
+    for _ in range(rounds):
+        own = np.argmax(v @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, v)
+        filled = np.bincount(own, minlength=len(centres)) > 0
+        centres[filled] = _units(sums[filled])
+    return centres
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def byte_embedding(s: pd.Series) -> pd.Series:
+    """A stand-in for a model: bytes / 255 summed at their place modulo 384, of length 1; nothing gives the first axis. One pass over the bytes of a batch."""
+    data = [(t or "").encode() for t in s]
+    sizes = np.array([len(d) for d in data], np.int64)
+    flat = np.frombuffer(b"".join(data), np.uint8)
+    starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.repeat(np.arange(len(data)), sizes) * 384 + (np.arange(len(flat)) - starts) % 384
+    out = np.bincount(at, flat / 255, len(data) * 384).reshape(len(data), 384)
+    n = np.sqrt((out * out).sum(axis=1))
+    out[n == 0, 0] = n[n == 0] = 1.0
+    return pd.Series(list((out / n[:, None]).astype(np.float32)), index=s.index, dtype=object)
 
 
 def rerank(df: DataFrame, order: str, k: int) -> DataFrame:
@@ -99,88 +158,63 @@ def prompt(rows: DataFrame, id_col: str, text_col: str, order: str, question: st
 # sparse -------------------------------------------------------------------------
 
 
-def vocabulary(tokens: DataFrame, n_docs: int, most: int | None = 50_000) -> DataFrame:
-    """term, df, idf of a (id, term) table: the most frequent terms, idf = ln((1 + N) / (1 + df)) + 1."""
-    counted = tokens.groupBy("term").agg(F.countDistinct("id").alias("df"))
+def term_counts(df: DataFrame, id_col: str, tokens: Column, *keep: str) -> DataFrame:
+    """id, term, n (how often it stands in the text), all (tokens of the text): one row an id, counts are added before the shuffle."""
+    src = df.select(F.col(id_col).alias("id"), *keep, F.coalesce(tokens, F.array().cast("array<string>")).alias("t"))
+    return src.select("id", *keep, F.size("t").alias("all"), F.explode_outer("t").alias("term")).where("term is not null").groupBy("id", *keep, "term", "all").agg(F.count("*").alias("n"))
+
+
+def vocabulary(counts: DataFrame, n_docs: int, most: int | None = 50_000) -> DataFrame:
+    """term, df, idf of the counts of texts: the most frequent terms, idf = ln((1 + N) / (1 + df)) + 1."""
+    counted = counts.groupBy("term").agg(F.count("*").alias("df"))
     if most is not None:
         counted = counted.orderBy(F.desc("df"), "term").limit(most)
     return counted.select("term", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
-def tfidf(tokens: DataFrame, vocab: DataFrame, top_terms: int | None = 192) -> DataFrame:
-    """id, term, weight: counts over all of a text's tokens times idf, the heaviest terms, then of length 1, to 8 digits."""
-    tf = tokens.groupBy("id", "term").agg(F.count("*").alias("n"))
-    total = Window.partitionBy("id")
-    weighted = tf.withColumn("all", F.sum("n").over(total)).join(vocab.select("term", "idf"), "term").withColumn("w", F.col("n") / F.col("all") * F.col("idf"))
+def tfidf(counts: DataFrame, vocab: DataFrame, top_terms: int | None = 192, *keep: str) -> DataFrame:
+    """id, term, weight: counts over all of a text's tokens times idf, the heaviest terms, then of length 1, to 8 digits.
+
+    After the join with the vocabulary one shuffle by id: a text's terms are ranked and
+    measured in its row.
+    """
+    weighted = counts.join(vocab.select("term", "idf"), "term").withColumn("w", F.col("n") / F.col("all") * F.col("idf"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.round("w", 12)).alias("r"), F.col("term").alias("term"), F.col("w").alias("w"))))
+    per = weighted.groupBy("id", *keep).agg(ranked.alias("t"))
     if top_terms is not None:
-        weighted = weighted.withColumn("r", F.row_number().over(total.orderBy(F.desc(F.round("w", 12)), "term"))).where(F.col("r") <= top_terms)
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(total))
-    return weighted.select("id", "term", F.round(F.when(length > 0, F.col("w") / length).otherwise(0.0), 8).alias("weight"))
-
-
-def sparse_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
-    """id_a, id_b, score > 0 of two (id, term, weight) tables: they meet over terms."""
-    left = a.select(F.col("id").alias("id_a"), "term", F.col("weight").alias("wa"))
-    right = b.select(F.col("id").alias("id_b"), "term", F.col("weight").alias("wb"))
-    return left.join(right, "term").groupBy("id_a", "id_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")).where("score > 0")
-
-
-def _best_of_block(batches: Iterator[pa.RecordBatch], ids: list[str], postings: dict[str, tuple[np.ndarray, np.ndarray]], k: int, digits: int) -> Iterator[pa.RecordBatch]:
-    """The k best texts of a task, which come in order of id, for each query of a block; a text touches the postings of its own terms."""
-    best_score, best_id = np.empty((len(ids), 0)), np.empty((len(ids), 0), object)
-    for batch in batches:
-        scores = np.zeros((batch.num_rows, len(ids)))
-        for i, terms in enumerate(batch.column(1).to_pylist()):
-            for t in terms:
-                if (p := postings.get(t["term"])) is not None:
-                    scores[i, p[0]] += p[1] * t["weight"]
-        score = np.concatenate([best_score, np.round(scores, digits).T], axis=1)
-        own = np.concatenate([best_id, np.broadcast_to(np.array(batch.column(0).to_pylist(), object), (len(ids), batch.num_rows))], axis=1)
-        order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # rows come in order of id, so ties stay in it
-        best_score, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(own, order, 1)
-    n = best_score.shape[1]
-    out = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, object), n), pa.string()), pa.array(best_id.reshape(-1), pa.string()), pa.array(best_score.reshape(-1))], ["id_a", "id_b", "score"])
-    yield out.filter(pa.array(best_score.reshape(-1) > 0))
-
-
-def best_matches(queries: DataFrame, rows: DataFrame, k: int, *, block: int = 500, digits: int = 5) -> DataFrame:
-    """id_a, id_b, score, rank of the k most similar rows of each text of a stated query set; both are (id, term, weight).
-
-    Queries go to the tasks in blocks as small posting lists; every row meets them in one
-    pass, and a task sends k rows a query, where a join over terms would send a row for
-    every term that two texts share.
+        per = per.withColumn("t", F.slice("t", 1, top_terms))
+    length = F.sqrt(F.aggregate("t", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
+    rows = per.withColumn("length", length).select("id", *keep, "length", F.explode("t").alias("x"))
+    return rows.select("id", *keep, "x.term", F.round(F.when(F.col("length") > 0, F.col("x.w") / F.col("length")).otherwise(0.0), 8).alias("weight"))
+
+
+def best_matches(queries: DataFrame, rows: DataFrame, k: int, *, digits: int = 5, group: str | None = None, per_group: int | None = None) -> DataFrame:
+    """id_a, id_b, score > 0, rank of the k most similar rows of each text of a stated query set; both are (id, term, weight).
+
+    With ``per_group`` at most so many of one group (a column of ``rows``); the group is a column of the result.
     """
-    queries = keep(queries)
-    texts = rows.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("terms")).sortWithinPartitions("id")
-    ids = queries.select("id").distinct()
-    n, out = ids.count(), None
-    if n > block:
-        texts = keep(texts)  # read once for each block
-    ordered = ids.orderBy("id")
-    for at in range(0, n, block):
-        own = [r.id for r in ordered.offset(at).limit(block).collect()]
-        place = {i: p for p, i in enumerate(own)}
-        lists: dict[str, list[tuple[int, float]]] = {}
-        for r in queries.where(F.col("id").isin(own)).collect():  # a block's terms
-            lists.setdefault(r.term, []).append((place[r.id], r.weight))
-        postings = {t: (np.array([p for p, _ in v]), np.array([w for _, w in v])) for t, v in lists.items()}
-        part = texts.mapInArrow(lambda b, own=own, postings=postings: _best_of_block(b, own, postings, k, digits), "id_a string, id_b string, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return ids.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    w = Window.partitionBy("id_a").orderBy(F.desc("score"), "id_b")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def best_per_left(pairs: DataFrame, n: int, score: str = "score", digits: int = 6) -> DataFrame:
-    """The n best of each left id, numbered from 1."""
-    w = Window.partitionBy("id_a").orderBy(F.desc("score"), "id_b")
-    return pairs.select("id_a", "id_b", F.round(score, digits).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-
-
-def best_with_diversity(pairs: DataFrame, group: str, per_group: int = 3, n: int = 25) -> DataFrame:
-    """The best of each left id with at most ``per_group`` of one group, numbered again."""
-    inner = Window.partitionBy("id_a", group).orderBy(F.desc("score"), "id_b")
-    outer = Window.partitionBy("id_a").orderBy(F.desc("score"), "id_b")
-    few = pairs.withColumn("in_group", F.row_number().over(inner)).where(F.col("in_group") <= per_group)
-    return few.withColumn("rank", F.row_number().over(outer)).where(F.col("rank") <= n).drop("in_group")
+
+    def best(q, r, g, scores):
+        scores = np.round(scores, digits)
+        i, j = best_of(scores, r, k, g, per_group, 0.0)
+        return q[i], r[j], g[j], scores[i, j]
+
+    met = against(sparse(queries), sparse(rows, group), best, "id_a string, id_b string, grp string, score double", False)
+    order = [F.desc("score"), F.col("id_b")]
+    if per_group is not None:
+        met = met.withColumn("r", F.row_number().over(Window.partitionBy("id_a", "grp").orderBy(*order))).where(F.col("r") <= per_group).drop("r")
+    out = met.withColumn("rank", F.row_number().over(Window.partitionBy("id_a").orderBy(*order))).where(F.col("rank") <= k)
+    return out.drop("grp") if group is None else out.withColumnRenamed("grp", group)
+
+
+def similarity_summary(queries: DataFrame, rows: DataFrame, digits: int = 5) -> DataFrame:
+    """id_a, n, best, mean over the scores > 0 of each query; a pair of blocks gives sums, no pairs."""
+
+    def sums(q, r, _, scores):
+        scores = np.round(scores, digits)
+        n = (scores > 0).sum(axis=1)
+        some = n > 0
+        return q[some], n[some], scores.max(axis=1, initial=0.0)[some], np.where(scores > 0, scores, 0.0).sum(axis=1)[some]
+
+    met = against(sparse(queries), sparse(rows), sums, "id_a string, n bigint, best double, total double", False)
+    return met.groupBy("id_a").agg(F.sum("n").alias("n"), F.max("best").alias("best"), (F.sum("total") / F.sum("n")).alias("mean"))

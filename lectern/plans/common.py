@@ -19,8 +19,17 @@ CLAUSES, ISSUES = "constitutional_clause_tags", "issue_tags"
 
 
 def chunks(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    """Chunks with the columns needed; those with texts are not shuffled to count each once."""
-    return once(read_table(spark, d, "chunks"), "chunk_id", *cols, delivered="ingested_at" if "text" in cols else None)
+    """Chunks with the columns needed; those with texts are not shuffled to count each once.
+
+    Texts in fewer files than half the tasks that may run at a time are spread over them,
+    for each is tokenised or searched; an archive of any size is in more.
+    """
+    table = read_table(spark, d, "chunks")
+    if "text" not in cols:
+        return once(table, "chunk_id", *cols)
+    rows = once(table, "chunk_id", *cols, delivered="ingested_at")
+    at_a_time = spark.sparkContext.defaultParallelism
+    return rows.repartition(at_a_time) if 2 * table.rdd.getNumPartitions() <= at_a_time else rows
 
 
 def joined(c: Column | str, by: str = "|") -> Column:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import vectors as V
-from lectern.plans.common import C, Registry, chunks, joined, sql_list, sql_tokens_all
-from lectern.runtime import read_table, shared_folder
+from lectern.operators.analytics import tags_of
+from lectern.plans.common import CLAUSES, ISSUES, C, Registry, chunks, joined, sql_list, sql_tags, sql_tokens_all
+from lectern.runtime import cut, read_table, shared_folder
 from lectern.streaming import ingest as ST
 
 R = Registry()
@@ -26,17 +27,18 @@ R.add("inner_product_knn", lambda s, d: V.nearest(read_table(s, d, "embeddings")
 
 
 def nearest_to_hundredth(s: SparkSession, d: str) -> DataFrame:
-    """For every vector whose id is divisible by 100, its ten nearest of all vectors. The queries go to the tasks in blocks."""
+    """For every vector whose id is divisible by 100, its ten nearest of all vectors."""
     df = V.checked(read_table(s, d, "embeddings"), "embedding", len(query_vector(s, d)))
-    rows = df.where("vec_id % 100 = 0").select("vec_id", "embedding").orderBy("vec_id")
-    n, block, out = rows.count(), 2000, None
-    for at in range(0, n, block):
-        queries = [(r.vec_id, r.embedding) for r in rows.offset(at).limit(block).collect()]
-        part = V.nearest_to_each(df, "vec_id", "embedding", queries, 10)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return V.nearest_to_each(df, "vec_id", "embedding", df.where("vec_id % 100 = 0"), 10)
 
 
+def nearest_by_cells(s: SparkSession, d: str) -> DataFrame:
+    """The same queries over an index of cells: approximate, so there is no SQL; recall is measured in the tests."""
+    df = read_table(s, d, "embeddings")
+    return V.CellIndex(df, "vec_id", "embedding").nearest(df.where("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 10)
+
+
+R.add("nearest_by_cells", nearest_by_cells)
 R.add("nearest_to_hundredth", nearest_to_hundredth, f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_DOT('a.embedding', 'b.embedding')}, 5) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) SELECT query_id, id, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank FROM s) WHERE rank <= 10")
 R.add("unit_vectors", lambda s, d: read_table(s, d, "embeddings").select("vec_id", F.round(V.norm(V.normalised(F.col("embedding"))), 6).alias("norm"), F.size("embedding").alias("dim")), "SELECT vec_id, CASE WHEN sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS norm, len(embedding)::INTEGER AS dim FROM embeddings")
 R.add("text_embeddings", lambda s, d: read_table(s, d, "documents").select("doc_id", V.byte_embedding(F.col("text")).alias("v")).select("doc_id", F.size("v").alias("dim"), F.round(V.norm(F.col("v")), 4).alias("norm")), "SELECT doc_id, 384::INTEGER AS dim, 1.0::DOUBLE AS norm FROM documents")
@@ -44,48 +46,63 @@ R.add("reranked", lambda s, d: V.rerank(read_table(s, d, "embeddings").select("v
 R.add("prompt", lambda s, d: V.prompt(chunks(s, d, "pos", "text").orderBy("pos", "chunk_id").limit(3), "chunk_id", "text", "pos", "What was decided?"), f"WITH {C}, t AS (SELECT * FROM c ORDER BY pos, chunk_id LIMIT 3) SELECT string_agg('[' || chunk_id || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY pos) || chr(10) || chr(10) || 'Question: What was decided?' AS prompt FROM t")
 
 # term weights
-_TERMS = f"list_filter({sql_tokens_all('text')}, lambda t: len(t) > 2 AND t NOT IN ({sql_list(X.STOP_SCRIPT)}))"
+_TERMS = "list_filter({t}, lambda t: len(t) > 2 AND t NOT IN ({w}))"
+#: What the vectors of an archive read, and what texts compared with those of another archive read: tags too.
+TITLED = lambda: F.concat_ws(" ", "title", "text")
+TAGGED = lambda: F.concat_ws(" ", "title", "text", F.array_join(tags_of(CLAUSES), " "), F.array_join(tags_of(ISSUES), " "))
+_TITLED = "concat_ws(' ', title, text)"
+_TAGGED = f"concat_ws(' ', title, text, array_to_string({sql_tags(CLAUSES)}, ' '), array_to_string({sql_tags(ISSUES)}, ' '))"
 
 
-def terms(s: SparkSession, d: str, where: str = "true") -> DataFrame:
-    df = chunks(s, d, "text", "source_collection", "document_id").where(where)
-    return df.select(F.col("chunk_id").alias("id"), F.explode(X.tokens_script(F.coalesce("text", F.lit("")))).alias("term"))
+def counts(s: SparkSession, d: str, text) -> DataFrame:
+    """Term counts of all chunks, kept in the shared folder for the plans that read them several times."""
+    return cut(V.term_counts(chunks(s, d, "title", "text", "source_collection", "document_id", CLAUSES, ISSUES), "chunk_id", X.tokens_script(text()), "source_collection", "document_id"))
 
 
 def _n(s: SparkSession, d: str) -> int:
     return chunks(s, d).count()
 
 
-_VOC = f"""WITH {C}, n AS (SELECT count(*) AS n FROM c), t AS (SELECT chunk_id AS id, source_collection, document_id, unnest({_TERMS}) AS term FROM c), v AS (SELECT term, count(DISTINCT id) AS df FROM t GROUP BY term), i AS (SELECT term, df, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM v, n),
-f AS (SELECT id, source_collection, document_id, term, count(*) AS k FROM t GROUP BY ALL), w AS (SELECT *, k / sum(k) OVER (PARTITION BY id) * idf AS w FROM f JOIN i USING (term))"""
-R.add("tfidf_vocabulary", lambda s, d: V.vocabulary(terms(s, d), _n(s, d)).select("term", "df", F.round("idf", 6).alias("idf")), _VOC + " SELECT term, df, round(idf, 6) AS idf FROM i ORDER BY df DESC, term LIMIT 50000")
+def _voc(text: str) -> str:
+    terms = _TERMS.format(t=sql_tokens_all(text), w=sql_list(X.STOP_SCRIPT))
+    return f"""WITH {C}, n AS (SELECT count(*) AS n FROM c), t AS (SELECT chunk_id AS id, source_collection, document_id, unnest({terms}) AS term FROM c), v AS (SELECT term, count(DISTINCT id) AS df FROM t GROUP BY term),
+i AS (SELECT term, df, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM (SELECT * FROM v ORDER BY df DESC, term LIMIT 50000), n),
+f AS (SELECT id, source_collection, document_id, term, count(*) AS k FROM t GROUP BY ALL), w AS (SELECT *, k / total * idf AS w FROM (SELECT *, sum(k) OVER (PARTITION BY id) AS total FROM f) JOIN i USING (term))"""
 
 
-def vectors(s: SparkSession, d: str, where: str = "true", top: int | None = None) -> DataFrame:
-    return V.tfidf(terms(s, d, where), V.vocabulary(terms(s, d), _n(s, d)), top)
+_VOC, _VOC_TAGGED = _voc(_TITLED), _voc(_TAGGED)
+R.add("tfidf_vocabulary", lambda s, d: V.vocabulary(counts(s, d, TITLED), _n(s, d)).select("term", "df", F.round("idf", 6).alias("idf")), _VOC + " SELECT term, df, round(idf, 6) AS idf FROM i")
 
 
-R.add("tfidf_vectors", lambda s, d: vectors(s, d, top=20).select("id", "term", F.round("weight", 5).alias("weight")), _VOC + ", r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(w, 12) DESC, term) AS r FROM w), k AS (SELECT * FROM r WHERE r <= 20) SELECT id, term, round(round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 8), 5) AS weight FROM k")
-R.add("tfidf_vectors_192", lambda s, d: vectors(s, d, top=192).select("id", "term", F.round("weight", 5).alias("weight")), _VOC + ", r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(w, 12) DESC, term) AS r FROM w), k AS (SELECT * FROM r WHERE r <= 192) SELECT id, term, round(round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 8), 5) AS weight FROM k")
-_LEFT, _RIGHT = "source_collection = 'court_records'", "source_collection = 'correspondence'"
-_CROSS = _VOC + f", x AS (SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 8) AS w FROM w WHERE {_LEFT}), y AS (SELECT id, document_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 8) AS w FROM w WHERE {_RIGHT}), s AS (SELECT x.id AS id_a, y.id AS id_b, y.document_id, round(sum(x.w * y.w), 5) AS score FROM x JOIN y USING (term) GROUP BY ALL)"
+def vectors(s: SparkSession, d: str, top: int) -> DataFrame:
+    c = counts(s, d, TITLED)
+    return V.tfidf(c, V.vocabulary(c, _n(s, d)), top).select("id", "term", F.round("weight", 5).alias("weight"))
 
 
-def cross(s: SparkSession, d: str) -> DataFrame:
-    return V.sparse_similarity(vectors(s, d, _LEFT), vectors(s, d, _RIGHT)).withColumn("score", F.round("score", 5))
+def _heaviest(top: int) -> str:
+    return f"{_VOC}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(w, 12) DESC, term) AS r FROM w), k AS (SELECT * FROM r WHERE r <= {top}) SELECT id, term, round(round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 8), 5) AS weight FROM k"
 
 
-R.add("tfidf_cross_top", lambda s, d: V.best_matches(vectors(s, d, _LEFT), vectors(s, d, _RIGHT), 25), _CROSS + " SELECT id_a, id_b, score, rank FROM (SELECT id_a, id_b, score, (row_number() OVER (PARTITION BY id_a ORDER BY score DESC, id_b))::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 25")
+# the operator keeps 192 terms; of 20 the effect on the lengths shows
+R.add("tfidf_vectors", lambda s, d: vectors(s, d, 192), _heaviest(192))
+R.add("tfidf_vectors_20", lambda s, d: vectors(s, d, 20), _heaviest(20))
+_LEFT, _RIGHT = "source_collection = 'court_records'", "source_collection = 'correspondence'"
+_CROSS = _VOC_TAGGED + f""", x AS (SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 8) AS w FROM w WHERE {_LEFT}), y AS (SELECT id, document_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 8) AS w FROM w WHERE {_RIGHT}),
+s AS (SELECT x.id AS id_a, y.id AS id_b, y.document_id, round(sum(x.w * y.w), 5) AS score FROM x JOIN y USING (term) GROUP BY ALL)"""
 
 
-def cross_diverse(s: SparkSession, d: str) -> DataFrame:
-    docs = chunks(s, d, "document_id").select(F.col("chunk_id").alias("id_b"), "document_id")
-    return V.best_with_diversity(cross(s, d).join(docs, "id_b"), "document_id", 1, 5).select("id_a", "id_b", "document_id", "score", "rank")
+def sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The vectors of two collections over the vocabulary of all."""
+    c = counts(s, d, TAGGED)
+    voc = cut(V.vocabulary(c, _n(s, d)))
+    of = lambda where: V.tfidf(c.where(where), voc, None, "document_id")
+    return of(_LEFT), of(_RIGHT)
 
 
-R.add("tfidf_cross_diverse", cross_diverse, _CROSS + ", g AS (SELECT *, row_number() OVER (PARTITION BY id_a, document_id ORDER BY score DESC, id_b) AS k FROM s WHERE score > 0) SELECT id_a, id_b, document_id, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY id_a ORDER BY score DESC, id_b))::INTEGER AS rank FROM g WHERE k = 1) WHERE rank <= 5")
-R.add("tfidf_cross_summary", lambda s, d: cross(s, d).groupBy("id_a").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.round(F.avg("score"), 4).alias("mean")), _CROSS + " SELECT id_a, count(*) AS n, max(score) AS best, round(avg(score), 4) AS mean FROM s WHERE score > 0 GROUP BY id_a")
-R.add("top_terms", lambda s, d: terms(s, d).groupBy("id", "term").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "term"))).where("rank <= 5").groupBy("id").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"])).alias("terms")), _VOC + ", r AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY k DESC, term) AS r FROM f) SELECT id, string_agg(term, '|' ORDER BY r) AS terms FROM r WHERE r <= 5 GROUP BY id")
+R.add("tfidf_cross_top", lambda s, d: V.best_matches(*sides(s, d), 25), _CROSS + " SELECT id_a, id_b, score, rank FROM (SELECT id_a, id_b, score, (row_number() OVER (PARTITION BY id_a ORDER BY score DESC, id_b))::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 25")
+R.add("tfidf_cross_diverse", lambda s, d: V.best_matches(*sides(s, d), 5, group="document_id", per_group=1).select("id_a", "id_b", "document_id", "score", "rank"), _CROSS + ", g AS (SELECT *, row_number() OVER (PARTITION BY id_a, document_id ORDER BY score DESC, id_b) AS k FROM s WHERE score > 0) SELECT id_a, id_b, document_id, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY id_a ORDER BY score DESC, id_b))::INTEGER AS rank FROM g WHERE k = 1) WHERE rank <= 5")
+R.add("tfidf_cross_summary", lambda s, d: V.similarity_summary(*sides(s, d)).select("id_a", "n", "best", F.round("mean", 4).alias("mean")), _CROSS + " SELECT id_a, count(*) AS n, max(score) AS best, round(avg(score), 4) AS mean FROM s WHERE score > 0 GROUP BY id_a")
+R.add("top_terms", lambda s, d: counts(s, d, TITLED).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "term"))).where("rank <= 5").groupBy("id").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"])).alias("terms")), _VOC + ", r AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY k DESC, term) AS r FROM f) SELECT id, string_agg(term, '|' ORDER BY r) AS terms FROM r WHERE r <= 5 GROUP BY id")
 
 # streams: the events as they lie in their folder, taken in until nothing is left
 

@@ -245,8 +245,9 @@ def test_vectors(spark):
 
 
 def test_tfidf_lengths(spark):
-    tokens = spark.createDataFrame([("1", t) for t in "a a b c".split()] + [("2", t) for t in "a d".split()], "id string, term string")
-    w = V.tfidf(tokens, V.vocabulary(tokens, 2), 2).collect()
+    texts = spark.createDataFrame([("1", "a a b c".split()), ("2", "a d".split()), ("3", []), ("4", None)], "id string, t array<string>")
+    counts = V.term_counts(texts, "id", F.col("t"))
+    w = V.tfidf(counts, V.vocabulary(counts, 2), 2).collect()
     assert {(r.id, r.term) for r in w} == {("1", "a"), ("1", "b"), ("2", "a"), ("2", "d")}
     assert all(math.isclose(sum(r.weight**2 for r in w if r.id == i), 1, abs_tol=1e-6) for i in "12")
 
@@ -306,16 +307,53 @@ def test_country_filter(spark):
     assert df.where(FL.country_meta("Europe", "FRAN")).count() == 1 and df.where(FL.country_meta(None, "j")).count() == 1
 
 
-def test_best_matches_equal_the_join(spark):
+def test_best_matches_equal_the_join(spark, monkeypatch):
     import random
 
     rng = random.Random(2)
-    rows = lambda p, n: [(f"{p}{i}", f"t{t}", round(rng.random(), 3)) for i in range(n) for t in rng.sample(range(30), 6)]
+    rows = lambda p, n: [(f"{p}{i}", f"t{t}", round(rng.random(), 2)) for i in range(n) for t in rng.sample(range(30), 6)]
     a, b = (spark.createDataFrame(rows(p, n), "id string, term string, weight double") for p, n in (("a", 13), ("b", 40)))
-    got = {(r.id_a, r.id_b, r.rank) for r in V.best_matches(a, b, 4, block=5).collect()}
-    want = {(r.id_a, r.id_b, r.rank) for r in V.best_per_left(V.sparse_similarity(a, b), 4, digits=5).collect()}
+    left, right = ({}, {})
+    for side, table in ((left, a), (right, b)):
+        for r in table.collect():
+            side.setdefault(r.id, {})[r.term] = r.weight
+    scores = {i: sorted((-round(sum(w * v[t] for t, w in u.items() if t in v), 5), j) for j, v in right.items()) for i, u in left.items()}
+    want = {(i, j, n + 1) for i, s in scores.items() for n, (x, j) in enumerate(s[:4]) if x < 0}
+    assert {(r.id_a, r.id_b, r.rank) for r in V.best_matches(a, b, 4).collect()} == want
+    monkeypatch.setattr("lectern.operators.blocks.SPARSE", 5)
+    assert {(r.id_a, r.id_b, r.rank) for r in V.best_matches(a, b, 4).collect()} == want
+    grouped = b.withColumn("g", F.substring("id", 2, 1))
+    few = {}
+    for i, s in scores.items():
+        seen = {}
+        for x, j in s:
+            seen.setdefault(j[1], (x, j))
+        few[i] = [j for x, j in sorted(seen.values()) if x < 0][:3]
+    assert {(r.id_a, r.id_b) for r in V.best_matches(a, grouped, 3, group="g", per_group=1).collect()} == {(i, j) for i, js in few.items() for j in js}
+    sums = {r.id_a: (r.n, r.best, r.mean) for r in V.similarity_summary(a, b).collect()}
+    some = {i: x for i, s in scores.items() if (x := [-x for x, _ in s if x < 0])}
+    assert sums.keys() == some.keys() and all(sums[i][:2] == (len(x), max(x)) and math.isclose(sums[i][2], sum(x) / len(x)) for i, x in some.items())
+    assert V.best_matches(a.limit(0), b, 4).count() == 0 and V.similarity_summary(a, b.limit(0)).count() == 0
+
+
+def test_nearest_to_each_and_cells(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(900, 12)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, v[5].tolist()), (None, v[1].tolist()), (901, None)], "k long, e array<float>")
+    queries = df.where("k % 50 = 0")
+    whole = np.vstack([v, v[5:6]]).astype(np.float64)
+    want = {i: sorted(range(901), key=lambda j: (-round(float(whole[i] @ whole[j]), 5), j))[:5] for i in range(0, 901, 50)}
+    exact = V.nearest_to_each(df, "k", "e", queries, 5).collect()
+    got = {i: [r.id for r in sorted((r for r in exact if r.query_id == i), key=lambda r: r.rank)] for i in want}
     assert got == want
-    assert V.best_matches(a.limit(0), b, 4).count() == 0
+    near = V.CellIndex(df, "k", "e", cells=16).nearest(queries.select(F.col("k").alias("id"), F.col("e").alias("v")), 5, probes=10).collect()
+    hit = sum((r.query_id, r.id) in {(i, j) for i, js in want.items() for j in js} for r in near)
+    assert len(near) == 5 * len(want) and hit / len(near) >= 0.9
+    assert V.CellIndex(df.limit(0), "k", "e").nearest(queries.limit(0).select(F.col("k").alias("id"), F.col("e").alias("v")), 5).count() == 0
+    assert V.nearest_to_each(df, "k", "e", queries.limit(0), 5).count() == 0
 
 
 def test_names_in_one_pass_equal_patterns(spark):
