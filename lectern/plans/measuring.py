@@ -76,11 +76,11 @@ R.add("tfidf_vocabulary", lambda s, d: V.vocabulary(counts(s, d, TITLED), _n(s,
 
 def vectors(s: SparkSession, d: str, top: int) -> DataFrame:
     c = counts(s, d, TITLED)
-    return V.tfidf(c, V.vocabulary(c, _n(s, d)), top).select("id", "term", F.round("weight", 5).alias("weight"))
+    return V.tfidf(c, V.vocabulary(c, _n(s, d)), top)
 
 
 def _heaviest(top: int) -> str:
-    return f"{_VOC}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(w, 12) DESC, term) AS r FROM w), k AS (SELECT * FROM r WHERE r <= {top}) SELECT id, term, round(round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 8), 5) AS weight FROM k"
+    return f"{_VOC}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(w, 12) DESC, term) AS r FROM w), k AS (SELECT * FROM r WHERE r <= {top}) SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 8) AS weight FROM k"
 
 
 # the operator keeps 192 terms; of 20 the effect on the lengths shows
