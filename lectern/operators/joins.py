@@ -24,12 +24,14 @@ def alias_pattern(names: Sequence[str]) -> str:
     return r"(?i)\b(?:" + "|".join(re.escape(n) for n in names if n) + r")\b"
 
 
+#: Entries of a register in one automaton; a longer register is taken in blocks, each of which reads the texts once.
+NAMES = 50_000
+
+
 def _automaton(register: Sequence[tuple[str, Sequence[str]]]):
-    """All names of a register in one automaton, or None where the library is missing."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return None
+    """All names of a block of a register in one automaton, or None if there is no name."""
+    import ahocorasick
+
     found: dict[str, list[tuple[str, int]]] = {}
     for entry, names in register:
         for order, name in enumerate(n for n in names if n):
@@ -64,17 +66,25 @@ def count_names(text: str, automaton) -> dict[str, int]:
     return out
 
 
-def names_in_texts(df: DataFrame, id_col: str, text: Column, register: Sequence[tuple[str, Sequence[str]]], *keep: str) -> DataFrame:
-    """The same as ``mentions`` in one pass over each text, whatever the length of the register."""
+def names_in_texts(df: DataFrame, id_col: str, text: Column, register: DataFrame, *keep: str, block: int = NAMES) -> DataFrame:
+    """The same as ``mentions`` in one pass over each text for ``block`` entries of the register (entry, names array)."""
     src = df.select(F.col(id_col).alias("id"), *keep, text.alias("__text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in src.dtypes[:-1]) + ", entry string, n int"
-    register = [(e, [*names]) for e, names in register]
+    entries = register.where("entry is not null").select("entry", "names")
+    blocks, out = -(-entries.count() // block), None
+    for k in range(blocks):
+        own = entries if blocks == 1 else entries.where(F.pmod(F.xxhash64("entry"), F.lit(blocks)) == k)
+        part = src.mapInArrow(_finder([(r.entry, [n for n in r.names or () if n]) for r in own.collect()]), schema)  # about a block's entries
+        out = part if out is None else out.unionByName(part)
+    return src.mapInArrow(_finder([]), schema).limit(0) if out is None else out
+
 
+def _finder(register: Sequence[tuple[str, Sequence[str]]]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(register)
         for batch in batches:
             at, entries, counts = [], [], []
-            for i, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            for i, t in enumerate(batch.column(batch.num_columns - 1).to_pylist() if automaton else ()):
                 for entry, n in count_names(t or "", automaton).items():
                     at.append(i)
                     entries.append(entry)
@@ -82,7 +92,7 @@ def names_in_texts(df: DataFrame, id_col: str, text: Column, register: Sequence[
             rows = [batch.column(c).take(pa.array(at, pa.int64())) for c in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*rows, pa.array(entries, pa.string()), pa.array(counts, pa.int32())], [*batch.schema.names[:-1], "entry", "n"])
 
-    return src.mapInArrow(find, schema)
+    return find
 
 
 def mentions(df: DataFrame, id_col: str, text: Column, register: Sequence[tuple[str, Sequence[str]]], *keep: str) -> DataFrame:

@@ -119,14 +119,14 @@ def event_stream(s: SparkSession, d: str) -> DataFrame:
     return _files(s, d, "events", read_table(s, d, "events").schema)
 
 
-def _ran(s: SparkSession, stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+def _ran(s: SparkSession, stream: DataFrame, name: str, *keys: str) -> DataFrame:
     folder = shared_folder(s, name)
-    return ST.to_files(stream, f"{folder}/out", f"{folder}/state", mode)
+    return ST.to_files(stream, f"{folder}/out", f"{folder}/state", keys)
 
 
-R.add("stream_counts", lambda s, d: _ran(s, event_stream(s, d).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")), "counts"), "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
-R.add("stream_windows", lambda s, d: _ran(s, ST.windowed_counts(event_stream(s, d), "ts", "event_type").withColumn("total", F.round("total", 2)).withColumn("start", F.col("start").cast("timestamp_ntz")), "windows"), "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
-R.add("stream_mean", lambda s, d: _ran(s, ST.running_mean(event_stream(s, d), "user_id", "value").withColumn("mean", F.round("mean", 4)), "mean"), "SELECT user_id, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY user_id")
+R.add("stream_counts", lambda s, d: _ran(s, event_stream(s, d).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")), "counts", "event_type"), "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
+R.add("stream_windows", lambda s, d: _ran(s, ST.windowed_counts(event_stream(s, d), "ts", "event_type").withColumn("total", F.round("total", 2)).withColumn("start", F.col("start").cast("timestamp_ntz")), "windows", "start", "event_type"), "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+R.add("stream_mean", lambda s, d: _ran(s, ST.running_mean(event_stream(s, d), "user_id", "value").withColumn("mean", F.round("mean", 4)), "mean", "user_id"), "SELECT user_id, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY user_id")
 
 
 def stream_ingest(s: SparkSession, d: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from lectern.operators import analytics as A
 from lectern.operators import joins as J
 from lectern.operators import tables as T
 from lectern.plans.common import CLAUSES, ISSUES, C, Registry, chunks, sql_list, sql_tags, sql_tokens_archive
-from lectern.runtime import read_table
+from lectern.runtime import cut, read_table
 
 R = Registry()
 ONE, OTHER = "Benjamin E. Oskmont", "Ezekiel A. Kittden"
@@ -121,21 +119,16 @@ SELECT a.document_id AS document_a, b.document_id AS document_b, sum(a.kind)::BI
 
 
 # delegates, coverage, validation
-def _register(s: SparkSession, d: str) -> list[tuple[str, list[str]]]:
-    rows = read_table(s, d, "delegates").where("kind = 'person' and name is not null").orderBy("id").collect()  # the register of names, taken in blocks
-    return [(r.id, [r.name, r.name.replace(" Jr.", "").split()[-1]]) for r in rows if not r.name.endswith("Jr.")]
-
+def register_of_persons(s: SparkSession, d: str) -> DataFrame:
+    """entry, names: all persons, each under the full name and the surname; a name's last full stop is left to the text, since no word ends behind it."""
+    people = read_table(s, d, "delegates").where("kind = 'person' and name is not null")
+    bare = F.regexp_replace("name", r" Jr\.$", "")
+    return people.select(F.col("id").alias("entry"), F.array(F.regexp_replace("name", r" Jr\.$", " Jr"), F.substring_index(bare, " ", -1)).alias("names"))
 
-def _whole_register(s: SparkSession, d: str) -> list[tuple[str, list[str]]]:
-    """All persons; a name's last full stop is left to the text, since no word ends behind it."""
-    rows = read_table(s, d, "delegates").where("kind = 'person' and name is not null").orderBy("id").collect()
-    return [(r.id, [r.name.removesuffix(".") if r.name.endswith(" Jr.") else r.name, r.name.removesuffix(" Jr.").split()[-1]]) for r in rows]
 
-
-def delegate_mentions(s: SparkSession, d: str, register: Callable[[SparkSession, str], list[tuple[str, list[str]]]] = _register) -> DataFrame:
+def delegate_mentions(s: SparkSession, d: str) -> DataFrame:
     text = F.concat_ws(" ", "title", "author", "text")
-    find = J.names_in_texts if J._automaton([("x", ["x"])]) is not None else J.mentions
-    m = find(chunks(s, d, "title", "author", "text", "source_collection"), "chunk_id", text, register(s, d), "source_collection")
+    m = cut(J.names_in_texts(chunks(s, d, "title", "author", "text", "source_collection"), "chunk_id", text, register_of_persons(s, d), "source_collection"))
     total = m.groupBy("entry").agg(F.count("*").alias("chunks"), F.sum("n").alias("mentions"))
     per = m.where("source_collection is not null").groupBy("entry", "source_collection").agg(F.sum("n").alias("n"))
     best = A.top_n(per, ["entry"], 5, F.desc("n"), F.col("source_collection"))
@@ -143,12 +136,7 @@ def delegate_mentions(s: SparkSession, d: str, register: Callable[[SparkSession,
     return total.join(listed, "entry", "left").select("entry", "chunks", "mentions", F.coalesce("sources", F.lit("")).alias("sources"))
 
 
-R.add("delegate_mentions", delegate_mentions, f"""WITH {C}, g AS (SELECT id AS entry, name, string_split(name, ' ')[-1] AS sur FROM delegates WHERE kind = 'person' AND NOT ends_with(name, 'Jr.')),
-m AS (SELECT entry, source_collection, len(regexp_extract_all(concat_ws(' ', title, author, text), '(?i)\\b(?:' || replace(name, '.', '\\.') || '|' || sur || ')\\b')) AS n FROM c, g WHERE contains(lower(concat_ws(' ', title, author, text)), lower(sur))),
-h AS (SELECT * FROM m WHERE n > 0), t AS (SELECT entry, count(*) AS chunks, sum(n)::BIGINT AS mentions FROM h GROUP BY entry), p AS (SELECT entry, source_collection, sum(n)::BIGINT AS n FROM h WHERE source_collection IS NOT NULL GROUP BY ALL),
-l AS (SELECT entry, string_agg(source_collection || ':' || n, '|' ORDER BY r) AS sources FROM (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY n DESC, source_collection) AS r FROM p) WHERE r <= 5 GROUP BY entry)
-SELECT t.entry, chunks, mentions, coalesce(sources, '') AS sources FROM t LEFT JOIN l USING (entry)""")
-R.add("delegate_mentions_all", lambda s, d: delegate_mentions(s, d, _whole_register), f"""WITH {C}, g AS (SELECT id AS entry, regexp_replace(name, ' Jr\\.$', ' Jr') AS name, string_split(regexp_replace(name, ' Jr\\.$', ''), ' ')[-1] AS sur FROM delegates WHERE kind = 'person' AND name IS NOT NULL),
+R.add("delegate_mentions", delegate_mentions, f"""WITH {C}, g AS (SELECT id AS entry, regexp_replace(name, ' Jr\\.$', ' Jr') AS name, string_split(regexp_replace(name, ' Jr\\.$', ''), ' ')[-1] AS sur FROM delegates WHERE kind = 'person' AND name IS NOT NULL),
 m AS (SELECT entry, source_collection, len(regexp_extract_all(concat_ws(' ', title, author, text), '(?i)\\b(?:' || replace(name, '.', '\\.') || '|' || sur || ')\\b')) AS n FROM c, g WHERE contains(lower(concat_ws(' ', title, author, text)), lower(sur))),
 h AS (SELECT * FROM m WHERE n > 0), t AS (SELECT entry, count(*) AS chunks, sum(n)::BIGINT AS mentions FROM h GROUP BY entry), p AS (SELECT entry, source_collection, sum(n)::BIGINT AS n FROM h WHERE source_collection IS NOT NULL GROUP BY ALL),
 l AS (SELECT entry, string_agg(source_collection || ':' || n, '|' ORDER BY r) AS sources FROM (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY n DESC, source_collection) AS r FROM p) WHERE r <= 5 GROUP BY entry)

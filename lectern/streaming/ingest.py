@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lectern.functions import text as X
@@ -25,7 +26,9 @@ class Ingest:
 
     A batch writes its rows into folders named after the batch, so a batch that is
     repeated after a failure overwrites what it wrote; readers take the latest delivery
-    of each document, and recovery is reading the tables again.
+    of each document (by its time, of equal times that of the later batch, a null time
+    first), and recovery is reading the tables again. A document that arrives late does
+    not replace a newer one.
     """
 
     def __init__(self, spark: SparkSession, path: str, id_col: str = "id", text_col: str = "text"):
@@ -33,7 +36,7 @@ class Ingest:
         self.events: list[tuple[int, int, int]] = []
 
     def write_batch(self, batch: DataFrame, number: int) -> None:
-        batch = latest(batch, [self.id_col], F.desc("ingested_at")).persist()
+        batch = latest(batch, [self.id_col], F.desc_nulls_last("ingested_at")).persist()
         chunks, postings = chunk_batch(batch, self.id_col, self.text_col)
         for name, df in (("documents", batch), ("chunks", chunks), ("postings", postings)):
             df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={number}")
@@ -45,13 +48,18 @@ class Ingest:
         """Take in what is there and stop."""
         return stream.writeStream.foreachBatch(self.write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+    def current(self) -> DataFrame:
+        """The batch of the latest delivery of each document: ids and times alone are shuffled."""
+        rows = self.spark.read.parquet(f"{self.path}/documents").select(self.id_col, F.struct("ingested_at", "batch").alias("at"))
+        return rows.groupBy(self.id_col).agg(F.max("at")["batch"].alias("batch"))
+
     def documents(self) -> DataFrame:
         """The latest delivery of each document."""
-        return latest(self.spark.read.parquet(f"{self.path}/documents"), [self.id_col], F.desc("batch"))
+        return self.spark.read.parquet(f"{self.path}/documents").join(self.current(), [self.id_col, "batch"])
 
     def chunks(self) -> DataFrame:
         """Chunks of the latest deliveries."""
-        now = self.documents().select(F.col(self.id_col).alias("document_id"), "batch")
+        now = self.current().withColumnRenamed(self.id_col, "document_id")
         return self.spark.read.parquet(f"{self.path}/chunks").join(now, ["document_id", "batch"])
 
     def postings(self) -> DataFrame:
@@ -73,14 +81,19 @@ def running_mean(stream: DataFrame, key: str, value: Callable[[], object] | str)
     return stream.groupBy(key).agg(F.count("*").alias("n"), F.avg(value if isinstance(value, str) else value()).alias("mean"))
 
 
-def to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there, its result written to a folder after each batch, and read it."""
+def to_files(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str]) -> DataFrame:
+    """Run an aggregation over what is there and read its result: the last row of each key.
+
+    In update mode a batch writes only the rows it has changed, so state that the
+    watermark has passed is given up and nothing is written twice.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.parquet(path)
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(path)
+    return latest(rows, keys, F.desc("batch")).drop("batch")
 
 
 def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -362,16 +362,19 @@ def test_names_in_one_pass_equal_patterns(spark):
     register = [("o", ["Ann B. Oak", "Oak"]), ("p", ["Pine"]), ("none", [])]
     texts = ["Ann B. Oak and OAK, oaks; Oakley", "pine-oak pine_ Pine", None, "", "Ann B.Oak"]
     df = spark.createDataFrame([(str(k), t, "z") for k, t in enumerate(texts)], "id string, t string, c string")
-    a = sorted(map(tuple, J.names_in_texts(df, "id", F.col("t"), register, "c").collect()))
+    table = spark.createDataFrame([*register, (None, ["x"]), ("null", None)], "entry string, names array<string>")
+    a = sorted(map(tuple, J.names_in_texts(df, "id", F.col("t"), table, "c").collect()))
+    assert a == sorted(map(tuple, J.names_in_texts(df, "id", F.col("t"), table, "c", block=1).collect()))
+    assert J.names_in_texts(df, "id", F.col("t"), table.limit(0)).count() == 0
     b = sorted(map(tuple, J.mentions(df, "id", F.coalesce("t", F.lit("")), register, "c").collect()))
     assert a == b == [("0", "z", "o", 2), ("1", "z", "o", 1), ("1", "z", "p", 2), ("4", "z", "o", 1)]
 
 
 def test_register_of_mentions_is_whole(spark, data):
-    from lectern.plans.reporting import _whole_register
+    from lectern.plans.reporting import register_of_persons
     from lectern.runtime import read_table
 
-    register = dict(_whole_register(spark, data))
+    register = {r.entry: r.names for r in register_of_persons(spark, data).collect()}
     assert len(register) == read_table(spark, data, "delegates").where("kind = 'person' and name is not null").count()
     juniors = [names for names in register.values() if names[0].endswith(" Jr")]
     assert juniors and all(sur in full and sur != "Jr" for full, sur in juniors)

@@ -184,3 +184,27 @@ def test_stream_replaces_documents(spark, tmp_path):
     assert {(r.document_id, r.n_words) for r in store.chunks().collect()} == {("a", 90), ("b", 100)}
     assert store.documents().count() == 2 and store.postings().select("id").distinct().count() == 2
     assert [(r.documents, r.chunks_added) for r in store.updates().orderBy("batch").collect()] == [(2, 3), (1, 1)]
+
+
+def test_late_documents_replace_nothing_newer(spark, tmp_path):
+    src = tmp_path / "in"
+    row = lambda i, n, at: (i, " ".join(f"w{k}" for k in range(n)), at)
+    schema = "id string, text string, ingested_at long"
+    store = ST.Ingest(spark, str(tmp_path / "store"))
+    for batch in ([row("a", 400, 5), row("b", 100, 1), row("c", 90, None)], [row("a", 90, 2), row("b", 110, 1), row("c", 95, 0)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(src))
+        store.run(spark.readStream.schema(schema).parquet(str(src)), str(tmp_path / "state")).awaitTermination()
+    assert {(r.document_id, r.n_words) for r in store.chunks().collect()} == {("a", 320), ("a", 125), ("b", 110), ("c", 95)}
+    assert {(r.id, r.ingested_at) for r in store.documents().collect()} == {("a", 5), ("b", 1), ("c", 0)}
+
+
+def test_windows_of_several_batches(spark, tmp_path):
+    """Rows are written as they change; one that comes after the watermark counts no more."""
+    src, schema = tmp_path / "in", "ts timestamp, kind string, value double"
+    at = lambda h, m: f"2024-01-01 {h:02}:{m:02}:00"
+    for batch in ([(at(1, 0), "x", 1.0), (at(1, 30), "x", 2.0)], [(at(1, 45), "x", 4.0), (at(9, 0), "x", 8.0)], [(at(1, 50), "x", 16.0), (at(9, 1), "y", 32.0)]):
+        df = spark.createDataFrame(batch, "ts string, kind string, value double").selectExpr("cast(ts as timestamp) as ts", "kind", "value")
+        df.coalesce(1).write.mode("append").parquet(str(src))
+        stream = ST.windowed_counts(spark.readStream.schema(schema).parquet(str(src)), "ts", "kind")
+        got = ST.to_files(stream, str(tmp_path / "out"), str(tmp_path / "state"), ["start", "kind"])
+    assert {(r.start.hour, r.kind, r.n, r.total) for r in got.collect()} == {(1, "x", 3, 7.0), (9, "x", 1, 8.0), (9, "y", 1, 32.0)}
