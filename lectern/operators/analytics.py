@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.records import COVERAGE_LABELS
+from lectern.operators.blocks import against, sparse
 from lectern.runtime import cut
 
 CLAUSES, ISSUES = "constitutional_clause_tags", "issue_tags"
@@ -300,16 +302,24 @@ def status_counts(df: DataFrame, status: str, labels: Sequence[str] = COVERAGE_L
     return F.broadcast(grid).join(df.groupBy(F.col(status).alias("status")).agg(F.count("*").alias("n")), "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def chunk_similarity(df: DataFrame, n: int | None = None) -> DataFrame:
-    """document_a, document_b, shared clauses and issues of documents that share any.
+def chunk_similarity(df: DataFrame, n: int = 200) -> DataFrame:
+    """document_a, document_b, shared clauses and issues: the n pairs of documents that share most tags.
 
-    Documents meet over their distinct tags. A tag held by a great part of all documents
-    makes many pairs by definition of the result; pairs of one tag are spread over tasks
-    by adaptive execution, and counts are added before the shuffle.
+    Documents are compared over their distinct tags in blocks, and two blocks give their
+    n best pairs, so a tag that many documents hold makes no rows. A shared clause counts
+    a million, so that both counts come out of one sum.
     """
-    kinds = F.concat(F.transform(tags_of(CLAUSES), lambda t: F.struct(F.lit(1).alias("c"), t.alias("t"))), F.transform(tags_of(ISSUES), lambda t: F.struct(F.lit(0).alias("c"), t.alias("t"))))
-    tags = df.select("document_id", F.explode(kinds).alias("x")).select("document_id", "x.c", "x.t").distinct()
-    other = tags.select(F.col("document_id").alias("other"), "c", "t")
-    pairs = tags.join(other, ["c", "t"]).where("document_id < other").groupBy(F.col("document_id").alias("document_a"), F.col("other").alias("document_b"))
-    out = pairs.agg(F.sum("c").cast("bigint").alias("clauses"), F.sum(1 - F.col("c")).cast("bigint").alias("issues"))
-    return out if n is None else out.orderBy(F.desc(F.col("clauses") + F.col("issues")), "document_a", "document_b").limit(n)
+    million = 1_000_000
+    kinds = F.concat(F.transform(tags_of(CLAUSES), lambda t: F.struct(F.lit(float(million**0.5)).alias("w"), F.concat(F.lit("c:"), t).alias("t"))), F.transform(tags_of(ISSUES), lambda t: F.struct(F.lit(1.0).alias("w"), F.concat(F.lit("i:"), t).alias("t"))))
+    tags = df.where("document_id is not null").select(F.col("document_id").alias("id"), F.explode(kinds).alias("x")).select("id", F.col("x.t").alias("term"), F.col("x.w").alias("weight")).distinct()
+    packed = cut(sparse(tags))
+
+    def best(q, r, _, scores):
+        i, j = np.nonzero((scores > 0) & (q[:, None].astype(str) < r[None, :].astype(str)))
+        both = np.rint(scores[i, j]).astype(np.int64)
+        clauses, issues = both // million, both % million
+        first = np.lexsort((r[j].astype(str), q[i].astype(str), -(clauses + issues)))[:n]
+        return q[i][first], r[j][first], clauses[first], issues[first]
+
+    pairs = against(packed, packed, best, "document_a string, document_b string, clauses bigint, issues bigint", False)
+    return pairs.orderBy(F.desc(F.col("clauses") + F.col("issues")), "document_a", "document_b").limit(n)

@@ -6,12 +6,13 @@ the lower-cased text, as its readers expect.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.records import numeral
+from lectern.runtime import cut
 
 _B, _E, _S = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])", r"[ \t\n\f\r]*"
 # Fixed values.
@@ -25,47 +26,43 @@ AMENDMENT = rf"(?i){_B}amendment{_E}{_S}([0-9A-Za-z]+)"
 ROMAN = ["", "I", "II", "III", "IV", "V", "VI", "VII"]
 
 
-def _matches(text: Column, pattern: str, groups: int) -> Column:
-    """Structs of the whole match and its groups, in order of the text."""
-    p = F.lit(pattern)
-    cols = [F.regexp_extract_all(text, p, F.lit(i)).alias(f"g{i}") for i in range(groups + 1)]
-    return F.arrays_zip(*cols)
-
-
-def _rows(df: DataFrame, kind: str, text: str, pattern: str, groups: int) -> DataFrame:
-    """A row a match: m holds its groups, byte_offset where it stands in the lower-cased text.
+def extract(df: DataFrame, id_col: str, text_col: str, *, persons: Sequence[str] = PERSONS, series: Sequence[str] = SERIES) -> DataFrame:
+    """id, kind, target, key, byte_offset, matched_text of every citation: one pass over each text, a row a match at its end.
 
-    The offset is the length of the pieces between the matches before it and of those matches.
+    The offset counts in the lower-cased text: the pieces between the matches before it, and those matches.
     """
-    both = df.select("id", F.lit(kind).alias("kind"), F.split(F.col(text), pattern, -1).alias("pieces"), _matches(F.col(text), pattern, groups).alias("found"))
-    rows = both.select("id", "kind", "pieces", "found", F.posexplode("found").alias("nth", "m"))
-    lengths = lambda parts: F.aggregate(parts, F.lit(0), lambda acc, p: acc + F.octet_length(F.lower(p)))
-    earlier = F.transform(F.slice("found", F.lit(1), F.col("nth")), lambda m: m["g0"])
-    return rows.withColumn("byte_offset", lengths(F.slice("pieces", F.lit(1), F.col("nth") + 1)) + lengths(earlier)).drop("pieces", "found")
-
-
-def extract(df: DataFrame, id_col: str, text_col: str, *, persons: Sequence[str] = PERSONS, series: Sequence[str] = SERIES) -> DataFrame:
-    """id, kind, target, key, byte_offset, matched_text of every citation."""
-    src = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    clause = _rows(src, "clause", "text", CLAUSE, 2)
-    article = numeral(F.col("m.g1"))
-    section = numeral(F.nullif(F.col("m.g2"), F.lit("")))
-    name = F.get(F.array(*map(F.lit, ROMAN)), article)
-    clauses = clause.where(article.between(1, ARTICLES)).withColumn("target", F.concat(name, F.coalesce(F.concat(F.lit("."), section.cast("string")), F.lit(""))))
-    numbered = _rows(src, "clause", "text", AMENDMENT, 1)
-    n = numeral(F.col("m.g1"))
-    amendments = numbered.where(n.between(1, AMENDMENTS)).withColumn("target", F.concat(F.lit("Amend."), n.cast("string")))
-    # the last part of a hyphened ordinal is a word of its own, so it is cited too
-    place = lambda c: F.array_position(F.array(*map(F.lit, ORDINALS)), F.lower(c)).cast("string")
     by = lambda names: rf"(?i){_B}({'|'.join(names)})\s+amendment{_E}"
-    ordinal = lambda pattern: _rows(src, "clause", "text", pattern, 1).withColumn("target", F.concat(F.lit("Amend."), place(F.col("m.g1"))))
-    ordinals = ordinal(by(o for o in ORDINALS if "-" in o)).unionByName(ordinal(by(o for o in ORDINALS if "-" not in o)))
-    essay = _rows(src, "essay", "text", rf"(?i){_B}({'|'.join(series)}){_E}[ ,\t.]*(?:no\.|no|number|paper|letter)[\s.]*([0-9A-Za-z]+)", 2)
-    k = numeral(F.col("m.g2"))
-    essays = essay.where(k.between(1, ESSAYS)).withColumn("target", F.concat(F.lower("m.g1"), F.lit(":"), k.cast("string")))
-    person = _rows(src, "person", "text", rf"(?i){_B}({'|'.join(persons)}){_E}", 1).withColumn("target", F.lower("m.g1"))
-    pick = lambda d: d.select("id", "kind", "target", "byte_offset", F.col("m.g0").alias("matched_text"))
-    every = pick(clauses).unionByName(pick(amendments)).unionByName(pick(ordinals)).unionByName(pick(essays)).unionByName(pick(person))
+    name = F.array(*map(F.lit, ROMAN))
+    number = lambda n, most: F.when(n.between(1, most), n)
+
+    def clause(m: Column) -> Column:
+        section = numeral(F.nullif(m["g2"], F.lit("")))
+        return F.concat(F.get(name, number(numeral(m["g1"]), ARTICLES)), F.coalesce(F.concat(F.lit("."), section.cast("string")), F.lit("")))
+
+    amended = lambda n: F.concat(F.lit("Amend."), n.cast("string"))
+    ordinal = lambda m: amended(F.array_position(F.array(*map(F.lit, ORDINALS)), F.lower(m["g1"])))
+    # kind, pattern, groups, target of a match (null if it is no citation); the last part of a hyphened ordinal is a word of its own, so it is cited too
+    kinds = [
+        ("clause", CLAUSE, 2, clause),
+        ("clause", AMENDMENT, 1, lambda m: amended(number(numeral(m["g1"]), AMENDMENTS))),
+        ("clause", by(o for o in ORDINALS if "-" in o), 1, ordinal),
+        ("clause", by(o for o in ORDINALS if "-" not in o), 1, ordinal),
+        ("essay", rf"(?i){_B}({'|'.join(series)}){_E}[ ,\t.]*(?:no\.|no|number|paper|letter)[\s.]*([0-9A-Za-z]+)", 2, lambda m: F.concat(F.lower(m["g1"]), F.lit(":"), number(numeral(m["g2"]), ESSAYS).cast("string"))),
+        ("person", rf"(?i){_B}({'|'.join(persons)}){_E}", 1, lambda m: F.lower(m["g1"])),
+    ]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    groups = lambda p, n: F.arrays_zip(*(F.regexp_extract_all(text, F.lit(p), F.lit(i)).alias(f"g{i}") for i in range(n + 1)))
+    found = df.select(F.col(id_col).alias("id"), *(F.split(text, p, -1).alias(f"p{k}") for k, (_, p, _, _) in enumerate(kinds)), *(groups(p, n).alias(f"m{k}") for k, (_, p, n, _) in enumerate(kinds)))
+    lengths = lambda parts: F.aggregate(parts, F.lit(0), lambda acc, x: acc + F.octet_length(F.lower(x)))
+
+    def cited(k: int, kind: str, target: Callable[[Column], Column]) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            before = lengths(F.slice(f"p{k}", F.lit(1), i + 1)) + lengths(F.transform(F.slice(f"m{k}", F.lit(1), i), lambda x: x["g0"]))
+            return F.struct(F.lit(kind).alias("kind"), target(m).alias("target"), before.alias("byte_offset"), m["g0"].alias("matched_text"))
+
+        return F.filter(F.transform(f"m{k}", one), lambda c: c["target"].isNotNull())
+
+    every = found.select("id", F.explode(F.concat(*(cited(k, kind, target) for k, (kind, _, _, target) in enumerate(kinds)))).alias("c")).select("id", "c.*")
     return every.select("id", "kind", "target", F.concat_ws(":", "kind", "target").alias("key"), "byte_offset", "matched_text")
 
 
@@ -87,6 +84,7 @@ def co_citation(citations: DataFrame, n: int, cap: int | None = MOST_TARGETS) ->
     With ``cap`` a text brings its first targets only, as the reader's graph does;
     without, all of the n targets, of which a text can hold no more.
     """
+    citations = cut(citations.select("id", "key"))  # read twice
     nodes = top_targets(citations, n)
     wanted = F.broadcast(nodes.select("key"))  # n rows
     pairs = citations.join(wanted, "key").select("id", "key").distinct()

@@ -288,10 +288,21 @@ def year_histogram(hits: DataFrame, date: Column) -> DataFrame:
     return grid.join(counted, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def neighbours(df: DataFrame, id_col: str, pos_col: str) -> DataFrame:
-    """id, previous, next in archive order, within documents so that no task orders the whole archive."""
-    w = Window.partitionBy("document_id").orderBy(pos_col, id_col)
-    return df.select(F.col(id_col).alias("id"), F.lag(id_col).over(w).alias("previous"), F.lead(id_col).over(w).alias("next"))
+def neighbours(df: DataFrame, id_col: str, pos_col: str, *, block: int = 65_536) -> DataFrame:
+    """id, previous, next in archive order within documents.
+
+    Rows are ordered in blocks of places of a document, and only the ends of blocks over
+    a whole document, so no task orders a document that holds a great part of the rows.
+    """
+    rows = df.select(F.col(id_col).alias("id"), "document_id", F.col(pos_col).alias("pos"), F.coalesce(F.floor(F.col(pos_col) / block), F.lit(-1)).alias("block"))
+    w = Window.partitionBy("document_id", "block").orderBy("pos", "id")
+    inside = rows.withColumn("previous", F.lag("id").over(w)).withColumn("next", F.lead("id").over(w))
+    place = F.struct("pos", "id")
+    ends = rows.groupBy("document_id", "block").agg(F.min(place)["id"].alias("first"), F.max(place)["id"].alias("last"))
+    over = Window.partitionBy("document_id").orderBy("block")
+    ends = ends.select(F.col("document_id").alias("d"), F.col("block").alias("b"), F.lag("last").over(over).alias("before"), F.lead("first").over(over).alias("after"))
+    met = inside.join(ends, F.col("document_id").eqNullSafe(F.col("d")) & (F.col("block") == F.col("b")))
+    return met.select("id", F.coalesce("previous", "before").alias("previous"), F.coalesce("next", "after").alias("next"))
 
 
 def dispatch(kind: str, engines: dict[str, Callable[[], DataFrame]]) -> DataFrame:

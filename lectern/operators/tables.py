@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.runtime import cut
+
 
 def latest(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """One row a key, the first in the order given."""
@@ -31,8 +33,19 @@ def recency(df: DataFrame, owner: str, item: str, at: str, n: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, group: Sequence[str], *order: Column) -> DataFrame:
-    """The occurrence number of each row in its group, from 1."""
-    return df.withColumn("occurrence", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    """The occurrence number of each row in its group, from 1.
+
+    Rows are put in order by a range shuffle, numbered in each part of a group, and a
+    part begins after the rows of the parts before it, so a group of any size is spread
+    over tasks.
+    """
+    ranged = cut(df.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()))
+    own = [*group, "__part"]
+    earlier = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(*own).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).select(*(F.col(c).alias(f"__{c}") for c in own), "__before")
+    inside = ranged.withColumn("__r", F.row_number().over(Window.partitionBy(*own).orderBy(*order)))
+    met = inside.join(before, F.expr(" and ".join(f"`{c}` <=> `__{c}`" for c in own)))
+    return met.withColumn("occurrence", (F.col("__r") + F.col("__before")).cast("int")).select(*df.columns, "occurrence")
 
 
 def page(df: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFrame:

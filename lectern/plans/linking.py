@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from lectern.operators import analytics as A
 from lectern.operators import citations as CI
 from lectern.operators import filters as FL
 from lectern.operators import graphs as G
 from lectern.operators import joins as J
-
 from lectern.operators import tables as T
 from lectern.plans.common import CLAUSES, ISSUES, C, Registry, chunks, sql_tags
 from lectern.runtime import read_table
@@ -100,8 +98,27 @@ R.add("graph_connections", lambda s, d: G.strongest(tag_edges(s, d), "I.8", 15),
 _EGO = f"WITH RECURSIVE {C}, {_PAIRS}, r(node, distance) AS (SELECT 'I.8', 0 UNION SELECT target, distance + 1 FROM r JOIN u ON u.source = r.node WHERE distance < 2), z AS (SELECT node, min(distance)::INTEGER AS distance FROM r GROUP BY node)"
 R.add("graph_ego", lambda s, d: G.ego(tag_edges(s, d), "I.8", 2, 500)[0], _EGO + " SELECT node, distance FROM z")
 R.add("graph_ego_edges", lambda s, d: G.ego(tag_edges(s, d), "I.8", 2, 500)[1], _EGO + " SELECT u.source, u.target FROM u JOIN z ON z.node = u.source WHERE z.distance < 2 AND u.source < u.target")
-R.add("graph_path", lambda s, d: G.shortest_path(G.property_graph(chunks(s, d, *_CH))[1], "collection:court_records", "collection:correspondence"))
-R.add("entity_graph", lambda s, d: G.entity_co_occurrence(chunks(s, d, "text"), "chunk_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\b([A-Z][a-z]+(?:bury|stow|haven|mouth|vale|ford))\b"), F.lit(1)))[1], rf"""WITH {C}, t AS (SELECT DISTINCT chunk_id, unnest(regexp_extract_all(coalesce(text, ''), '\b([A-Z][a-z]+(?:bury|stow|haven|mouth|vale|ford))\b', 1)) AS e FROM c)
+_FROM, _TO = "collection:court_records", "collection:correspondence"
+_PATH = _EDGES.replace("WITH c AS", "WITH RECURSIVE c AS", 1) + f""", u AS (SELECT source, target FROM e UNION SELECT target, source FROM e),
+r(node, step) AS (SELECT '{_FROM}', 0 UNION SELECT target, step + 1 FROM r JOIN u ON u.source = r.node WHERE step < 8), z AS (SELECT node, min(step) AS step FROM r GROUP BY node),
+p AS (SELECT b.node, b.step, min(a.node) AS parent FROM z b JOIN u ON u.target = b.node JOIN z a ON a.node = u.source AND a.step = b.step - 1 GROUP BY ALL),
+w(node, step) AS (SELECT node, step FROM z WHERE node = '{_TO}' UNION ALL SELECT p.parent, w.step - 1 FROM w JOIN p ON p.node = w.node WHERE w.step > 0)
+SELECT step::INTEGER AS step, node FROM w"""
+R.add("graph_path", lambda s, d: G.shortest_path(G.property_graph(chunks(s, d, *_CH))[1], _FROM, _TO), _PATH)
+
+
+def named_entities(s: SparkSession, d: str) -> DataFrame:
+    """chunk_id, entities: the register's persons by surname, its bodies and the catalogue's titles by name, that stand in each chunk."""
+    surname = F.substring_index(F.regexp_replace("name", r" Jr\.$", ""), " ", -1)
+    people = read_table(s, d, "delegates").where("name is not null").select(F.when(F.col("kind") == "person", surname).otherwise(F.col("name")).alias("entry"))
+    works = read_table(s, d, "manifest").where("title is not null").select(F.col("title").alias("entry"))
+    register = people.union(works).distinct().select("entry", F.array("entry").alias("names"))
+    found = J.names_in_texts(chunks(s, d, "text"), "chunk_id", F.col("text"), register)
+    return found.groupBy(F.col("id").alias("chunk_id")).agg(F.collect_set("entry").alias("entities"))
+
+
+R.add("entity_graph", lambda s, d: G.entity_co_occurrence(named_entities(s, d), "chunk_id", F.col("entities"))[1], rf"""WITH {C}, g AS (SELECT DISTINCT CASE WHEN kind = 'person' THEN string_split(regexp_replace(name, ' Jr\.$', ''), ' ')[-1] ELSE name END AS e FROM delegates WHERE name IS NOT NULL UNION SELECT title FROM manifest WHERE title IS NOT NULL),
+t AS (SELECT DISTINCT chunk_id, e FROM c JOIN g ON contains(lower(text), lower(e)) AND regexp_matches(text, '(?i)\b' || replace(replace(replace(e, '.', '\.'), '(', '\('), ')', '\)') || '\b'))
 SELECT a.e AS source, b.e AS target, count(*) AS weight FROM t a JOIN t b ON a.chunk_id = b.chunk_id AND a.e < b.e GROUP BY ALL HAVING count(*) >= 3""")
 
 # timeline: five events

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,15 +48,30 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has no more than ``rows`` rows; looks at no more than that."""
-    return df.limit(rows + 1).count() <= rows
+#: Bytes of a side of a join that is broadcast, at most.
+BROADCAST_BYTES = 64 << 20
+
+
+def _width(df: DataFrame) -> Column:
+    """About the bytes of a row: texts and arrays by their length, anything else 8."""
+    of = {"string": lambda c: F.octet_length(c), "binary": lambda c: F.octet_length(c)}
+    parts = []
+    for c, t in df.dtypes:
+        long = of[t](F.col(c)) if t in of else F.octet_length(F.to_json(F.struct(c))) if t.startswith(("array", "map", "struct")) else F.lit(0)
+        parts.append(F.coalesce(long, F.lit(0)) + 16)
+    return sum(parts, F.lit(24)).cast("bigint")
+
+
+def at_most(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has no more than ``rows`` rows and about ``size`` bytes; looks at no more rows than that."""
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(_width(df)), F.lit(0)).alias("bytes")).first()
+    return seen.n <= rows and seen.bytes <= size
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it was counted to be small, else as it is.
+    """``df`` with a broadcast hint if its rows and bytes were counted to be few, else as it is.
 
-    Beyond ``rows`` the join stays a shuffle join that adaptive execution may
-    split at skewed keys, so the size of ``df`` never decides whether it runs.
+    Beyond that the join stays a shuffle join that adaptive execution may split at skewed
+    keys, so the size of ``df`` never decides whether it runs.
     """
     return F.broadcast(df) if at_most(df, rows) else df

@@ -378,3 +378,48 @@ def test_register_of_mentions_is_whole(spark, data):
     assert len(register) == read_table(spark, data, "delegates").where("kind = 'person' and name is not null").count()
     juniors = [names for names in register.values() if names[0].endswith(" Jr")]
     assert juniors and all(sur in full and sur != "Jr" for full, sur in juniors)
+
+
+def test_neighbours_over_blocks(spark):
+    rows = [(f"c{k:03}", f"d{k % 2}" if k % 7 else None, k // 3 if k % 5 else None) for k in range(90)]
+    df = spark.createDataFrame(rows, "chunk_id string, document_id string, pos long")
+    per = {}
+    for i, d, p in rows:
+        per.setdefault(d, []).append((p is not None, p or 0, i))
+    want = set()
+    for ids in ([i for *_, i in sorted(v)] for v in per.values()):
+        want |= set(zip(ids, [None, *ids[:-1]], [*ids[1:], None]))
+    for block in (4, 65_536):
+        assert set(map(tuple, S.neighbours(df, "chunk_id", "pos", block=block).collect())) == want
+
+
+def test_numbers_of_a_great_group(spark):
+    rows = [("hot", k) for k in range(500)] + [(None, k) for k in range(5)] + [("b", 1)]
+    got = T.numbered(spark.createDataFrame(rows, "g string, k int"), ["g"], F.col("k")).collect()
+    assert {(r.g, r.k, r.occurrence) for r in got} == {(g, k, (k + 1) if g != "b" else 1) for g, k in rows}
+
+
+def test_pairs_of_documents(spark):
+    from itertools import combinations
+
+    tags = {f"d{k}": ({f"c{j}" for j in range(k % 4)}, {f"i{j}" for j in range(k % 3)}) for k in range(9)} | {"none": (set(), set())}
+    df = spark.createDataFrame([(d, sorted(i), sorted(c)) for d, (c, i) in tags.items()] * 2 + [(None, ["i0"], None), ("d1", None, [None])], "document_id string, issue_tags array<string>, constitutional_clause_tags array<string>")
+    both = [(a, b, len(tags[a][0] & tags[b][0]), len(tags[a][1] & tags[b][1])) for a, b in combinations(sorted(tags), 2)]
+    want = sorted((x for x in both if x[2] + x[3]), key=lambda x: (-x[2] - x[3], x))
+    assert [tuple(r) for r in A.chunk_similarity(df, 1000).collect()] == want
+    assert [tuple(r) for r in A.chunk_similarity(df, 7).collect()] == want[:7]
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    from lectern.runtime import at_most
+
+    df = spark.createDataFrame([("x" * 1000, ["y" * 500], 1), (None, None, None)], "a string, b array<string>, c int")
+    assert at_most(df, 2) and not at_most(df, 1) and not at_most(df, 2, size=1200) and at_most(df.limit(0), 0)
+
+
+def test_offsets_of_citations(spark):
+    text = "Ärticle I; see ARTICLE II, Section 3, and Madison, in the İ Twenty-First Amendment."
+    rows = CI.extract(spark.createDataFrame([("a", text), ("n", None), ("e", "")], "id string, t string"), "id", "t").collect()
+    low = text.lower().encode()
+    assert {r.key for r in rows} == {"clause:II.3", "person:madison", "clause:Amend.21", "clause:Amend.1"}
+    assert all(low[r.byte_offset :].startswith(r.matched_text.lower().encode()) for r in rows)
