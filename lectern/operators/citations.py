@@ -33,7 +33,7 @@ def extract(df: DataFrame, id_col: str, text_col: str, *, persons: Sequence[str]
     """
     by = lambda names: rf"(?i){_B}({'|'.join(names)})\s+amendment{_E}"
     name = F.array(*map(F.lit, ROMAN))
-    number = lambda n, most: F.when(n.between(1, most), n)
+    number = lambda n, most: F.get(F.filter(F.array(n), lambda x: x.between(1, most)), 0)
 
     def clause(m: Column) -> Column:
         section = numeral(F.nullif(m["g2"], F.lit("")))
