@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("searching", "reporting", "texts", "linking", "measuring")
+MODULES = ("searching", "reporting", "texts", "linking", "measuring", "files")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

@@ -38,7 +38,7 @@ def csv_rows(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", False).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", False).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> int:
