@@ -139,9 +139,10 @@ def prefixes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.min("len").alias("shortest"), F.max("len").alias("longest")).where("shortest < longest").select("key")
     shared = small_side(keep(shared), BROADCAST_ROWS)
     rows = keep(
-        df.select(F.col(id_col).alias("id"), body.alias("text"), F.xxhash64(F.substring(F.col(text_col), 1, PREFIX)).alias("key"))
-        .where("id is not null and text is not null")
+        df.select(F.col(id_col).alias("id"), F.col(text_col), F.xxhash64(F.substring(F.col(text_col), 1, PREFIX)).alias("key"))
+        .where(F.col("id").isNotNull() & F.col(text_col).isNotNull())
         .join(shared, "key", "left_semi")
+        .select("id", body.alias("text"))
         .select("id", "text", F.xxhash64("text").alias("digest"))
     )
     distinct = rows.select("digest", "text").distinct()
