@@ -1,4 +1,4 @@
-"""Command line: python -m lectern build CORPUS ARCHIVE | search ARCHIVE QUERY | suggest | fuzzy | stats | analyse | citations | validate | snapshot."""
+"""Command line: python -m lectern build CORPUS ARCHIVE | search ARCHIVE QUERY | suggest | fuzzy | stats | analyse | process | citations | validate | snapshot | verify-snapshot."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ def snapshot(spark: SparkSession, directory: str) -> DataFrame:
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="lectern")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in {"build": ("corpus", "archive"), "search": ("archive", "query"), "suggest": ("archive", "prefix"), "fuzzy": ("archive", "term"), "stats": ("archive",), "citations": ("archive",), "validate": ("archive",), "snapshot": ("directory",)}.items():
+    for name, args in {"build": ("corpus", "archive"), "search": ("archive", "query"), "suggest": ("archive", "prefix"), "fuzzy": ("archive", "term"), "stats": ("archive",), "validate": ("archive",), "snapshot": ("directory",), "verify-snapshot": ("directory", "against")}.items():
         s = sub.add_parser(name)
         for a in args:
             s.add_argument(a)
@@ -34,7 +34,18 @@ def main(argv: list[str] | None = None) -> None:
     analyse = sub.add_parser("analyse")
     analyse.add_argument("archive")
     analyse.add_argument("name", choices=sorted(ANALYSES))
+    process = sub.add_parser("process", help="the events: list, get ID, find TEXT, phase NAME")
+    process.add_argument("archive")
+    process.add_argument("what", choices=("list", "get", "find", "phase"))
+    process.add_argument("value", nargs="?")
+    cited = sub.add_parser("citations", help="top, to KEY, from CHUNK, graph")
+    cited.add_argument("archive")
+    cited.add_argument("what", nargs="?", default="top", choices=("top", "to", "from", "graph"))
+    cited.add_argument("value", nargs="?")
+    cited.add_argument("--limit", type=int, default=25)
     a = p.parse_args(argv)
+    if a.command in ("process", "citations") and a.what in ("get", "find", "phase", "to", "from") and not a.value:
+        p.error(f"{a.command} {a.what} needs a value")
     spark = SparkSession.builder.appName("lectern").getOrCreate()
     if a.command == "build":
         Archive.of(readers.corpus_json(spark, a.corpus)).save(a.archive)
@@ -43,13 +54,22 @@ def main(argv: list[str] | None = None) -> None:
         now = snapshot(spark, a.directory)
         (difference(now, spark.read.parquet(a.against)) if a.against else now).show(1000, truncate=False)
         return
+    if a.command == "verify-snapshot":
+        changed = difference(snapshot(spark, a.directory), spark.read.parquet(a.against))
+        changed.show(1000, truncate=False)
+        if changed.limit(1).count():
+            raise SystemExit(1)
+        return
     archive = Archive.open(spark, a.archive)
+    events = {"list": archive.timeline, "get": lambda: archive.timeline().where(F.col("id") == a.value), "find": lambda: archive.timeline(text=a.value), "phase": lambda: archive.timeline(phase=a.value)}
+    citations = {"top": lambda: archive.citations_top(a.limit), "to": lambda: archive.citations_to(a.value, a.limit), "from": lambda: archive.citations_from(a.value), "graph": lambda: archive.citation_graph(a.limit)[1]}
     answer = {
         "search": lambda: archive.search(Request(a.query, a.limit, a.fuzzy, facets=Facets(collections=a.collection))).orderBy("rank"),
         "suggest": lambda: archive.suggest(a.prefix),
         "fuzzy": lambda: archive.fuzzy(a.term),
         "stats": archive.stats,
-        "citations": archive.citations_top,
+        "process": lambda: events[a.what](),
+        "citations": lambda: citations[a.what](),
         "validate": archive.validate,
         "analyse": lambda: archive.analysis(a.name),
     }

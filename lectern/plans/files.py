@@ -108,6 +108,19 @@ def file_bundle(s: SparkSession, d: str) -> DataFrame:
 R.add("file_bundle", file_bundle, reporting.R.oracle["clause_issue_matrix"])
 
 
+def file_bundles(s: SparkSession, d: str) -> DataFrame:
+    """The combined texts of each source as folders of text: what is left of a source's sections, one after the other."""
+    path = shared_folder(s, "bundles")
+    documents = read_table(s, d, "documents").where("text is not null and source is not null")
+    SK.write_combined(SK.combined_text(documents, "source", "doc_id", "date", "title", "text"), path)
+    got = s.read.option("wholetext", True).text(path)
+    heads = F.size(F.regexp_extract_all(F.col("value"), F.lit(r"(?m)^(=== .* ===)$"), F.lit(1)))
+    return got.groupBy(F.col("group").cast("string").alias("source")).agg(F.sum(heads).cast("bigint").alias("sections"))
+
+
+R.add("file_bundles", file_bundles, "SELECT source, count(*) AS sections FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source")
+
+
 def hit_rows(s: SparkSession, d: str) -> DataFrame:
     """The best hits with what their exports show; the beginning of the text stands for the snippet."""
     hits = S.top(searching.index(s, d).bm25_or([(t, 1.0) for t in searching.TERMS]), 10)

@@ -94,5 +94,5 @@ _JOIN = lambda c, by: f"array_to_string({sql_tags(c)}, '{by}')"
 R.add("csv_rows", lambda s, d: SK.csv_rows(chunks(s, d, "document_id", "title", "author", "date", "source_collection", "source_url", "document_type", ISSUES, CLAUSES, "word_count", "text")).withColumn("word_count", F.col("word_count").cast("string")), f"WITH {C} SELECT chunk_id, document_id, title, author, date, source_collection, source_url, document_type, {_JOIN(ISSUES, '|')} AS issue_tags, {_JOIN(CLAUSES, '|')} AS constitutional_clause_tags, word_count::VARCHAR AS word_count, text FROM c")
 R.add("client_rows", lambda s, d: SK.client_rows(chunks(s, d, "document_id", "title", "author", "date", "source_collection", ISSUES, CLAUSES, "text")), rf"WITH {C} SELECT chunk_id, document_id, title, author, date, source_collection, {_JOIN(ISSUES, '; ')} AS issues, {_JOIN(CLAUSES, '; ')} AS clauses, trim(regexp_replace(text, '{_WS}+', ' ', 'g')) AS text FROM c")
 R.add("unique_tags", lambda s, d: chunks(s, d, ISSUES).select("chunk_id", joined(T.unique_in_order(F.coalesce(ISSUES, F.array().cast("array<string>")))).alias("tags")), f"WITH {C}, t AS (SELECT chunk_id, list_filter({sql_tags(ISSUES)}, lambda x: x <> '') AS t FROM c) SELECT chunk_id, array_to_string(list_filter(t, lambda v, n: list_position(t, v) = n), '|') AS tags FROM t")
-R.add("combined_texts", lambda s, d: SK.combined_text(read_table(s, d, "documents").where("text is not null"), "source", "doc_id", "date", "title", "text").select("group", "records", "words", F.md5("text").alias("digest")), rf"""SELECT source AS "group", count(*) AS records, sum(len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda w: w <> '')))::BIGINT AS words,
-md5(string_agg('=== ' || coalesce(title, '') || ' (' || coalesce(date, '') || ') ===' || chr(10) || text, chr(10) || chr(10) ORDER BY coalesce(date, ''), doc_id)) AS digest FROM documents WHERE text IS NOT NULL GROUP BY source""")
+R.add("combined_texts", lambda s, d: SK.combined_text(read_table(s, d, "documents").where("text is not null"), "source", "doc_id", "date", "title", "text").select("group", "occurrence", "id", "words", F.md5("section").alias("digest")), rf"""SELECT source AS "group", (row_number() OVER (PARTITION BY source ORDER BY coalesce(date, ''), doc_id))::INTEGER AS occurrence, doc_id AS id,
+len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda w: w <> ''))::INTEGER AS words, md5('=== ' || coalesce(title, '') || ' (' || coalesce(date, '') || ') ===' || chr(10) || text) AS digest FROM documents WHERE text IS NOT NULL""")

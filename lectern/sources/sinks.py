@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import records as R
 from lectern.functions import text as X
+from lectern.operators import tables as T
+from lectern.operators import tables as T
 from lectern.sources.readers import VERSION
 
 
@@ -92,10 +94,22 @@ def client_rows(df: DataFrame) -> DataFrame:
 
 
 def combined_text(df: DataFrame, group: str, id_col: str, date: str, title: str, text: str) -> DataFrame:
-    """group, records, words, text: a group's records in order of date and id under headings. One row a group: for exports of bundles."""
-    block = F.concat(F.lit("=== "), F.coalesce(F.col(title), F.lit("")), F.lit(" ("), F.coalesce(F.col(date), F.lit("")), F.lit(") ===\n"), F.coalesce(F.col(text), F.lit("")))
-    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(date), F.lit("")).alias("d"), F.col(id_col).alias("i"), block.alias("b"))))
-    return df.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("records"), F.sum(X.word_count(F.col(text))).alias("words"), F.array_join(F.transform(ordered, lambda x: x["b"]), "\n\n").alias("text"))
+    """group, occurrence, id, words, section: a group's records in order of date and id under headings.
+
+    A row a record with its number in the group, so that a group of any size is no single
+    row; ``write_combined`` puts them into files.
+    """
+    section = F.concat(F.lit("=== "), F.coalesce(F.col(title), F.lit("")), F.lit(" ("), F.coalesce(F.col(date), F.lit("")), F.lit(") ===\n"), F.coalesce(F.col(text), F.lit("")))
+    rows = df.select(F.col(group).alias("group"), F.col(id_col).alias("id"), F.coalesce(F.col(date), F.lit("")).alias("date"))
+    places = T.numbered(rows, ["group"], F.col("date"), F.col("id")).select("id", "occurrence")  # no texts are put in order
+    texts = df.select(F.col(group).alias("group"), F.col(id_col).alias("id"), X.word_count(F.col(text)).alias("words"), section.alias("section"))
+    return texts.join(places, "id").select("group", "occurrence", "id", "words", "section")
+
+
+def write_combined(sections: DataFrame, path: str) -> None:
+    """A folder of text a group, its files and their lines in order; a great group is in several files."""
+    ordered = sections.repartitionByRange("group", "occurrence").sortWithinPartitions("group", "occurrence")
+    ordered.select("group", F.concat("section", F.lit("\n")).alias("value")).write.mode("overwrite").partitionBy("group").text(path)
 
 
 def ingest_summary(df: DataFrame) -> DataFrame:

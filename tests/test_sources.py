@@ -208,3 +208,42 @@ def test_windows_of_several_batches(spark, tmp_path):
         stream = ST.windowed_counts(spark.readStream.schema(schema).parquet(str(src)), "ts", "kind")
         got = ST.to_files(stream, str(tmp_path / "out"), str(tmp_path / "state"), ["start", "kind"])
     assert {(r.start.hour, r.kind, r.n, r.total) for r in got.collect()} == {(1, "x", 3, 7.0), (9, "x", 1, 8.0), (9, "y", 1, 32.0)}
+
+
+def test_process_citations_and_snapshots(spark, tmp_path, capsys):
+    texts = ["Article II was read, and Article III.", "Article II again.", None]
+    df = spark.createDataFrame([(f"d_{k}", "d", t, k) for k, t in enumerate(texts)], "chunk_id string, document_id string, text string, pos long")
+    from lectern import schemas
+    from lectern.api import Archive
+
+    missing = {c: t for c, t in schemas.CHUNK_FIELDS.items() if c not in df.columns}
+    df = df.select("*", *(F.lit(None).cast(t).alias(c) for c, t in missing.items()))
+    events = spark.createDataFrame([("e1", "1787-05-25", "convention", "Opening", "Delegates meet.", [], [], ["d_0"], [])], schemas.EVENT)
+    Archive.of(df, events).save(str(tmp_path / "a"))
+
+    def said(*argv):
+        cli.main([*argv])
+        return capsys.readouterr().out
+
+    a = str(tmp_path / "a")
+    assert "Opening" in said("process", a, "list") and "Opening" in said("process", a, "find", "delegates") and "Opening" not in said("process", a, "get", "none")
+    assert "Opening" in said("process", a, "phase", "convention")
+    assert "clause:II" in said("citations", a) and "d_1" in said("citations", a, "to", "clause:II") and "clause:III" in said("citations", a, "from", "d_0") and "clause:II" in said("citations", a, "graph")
+    with pytest.raises(SystemExit):
+        cli.main(["process", a, "get"])
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "x.txt").write_text("one")
+    cli.snapshot(spark, str(tmp_path / "files")).write.parquet(str(tmp_path / "snap"))
+    cli.main(["verify-snapshot", str(tmp_path / "files"), str(tmp_path / "snap")])
+    (tmp_path / "files" / "x.txt").write_text("two")
+    with pytest.raises(SystemExit):
+        cli.main(["verify-snapshot", str(tmp_path / "files"), str(tmp_path / "snap")])
+
+
+def test_combined_texts_in_files(spark, tmp_path):
+    rows = [("g", k, f"{1800 - k}", f"t{k}", f"text {k}") for k in range(6)] + [("h", 9, None, None, "only")]
+    sections = SK.combined_text(spark.createDataFrame(rows, "g string, id long, date string, title string, text string"), "g", "id", "date", "title", "text")
+    assert {(r.group, r.id, r.occurrence) for r in sections.collect()} == {("g", k, 6 - k) for k in range(6)} | {("h", 9, 1)}
+    SK.write_combined(sections, str(tmp_path / "out"))
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "out" / "group=g").glob("part-*")))
+    assert [line for line in whole.splitlines() if line.startswith("text")] == [f"text {k}" for k in (5, 4, 3, 2, 1, 0)]
