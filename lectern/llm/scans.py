@@ -401,8 +401,8 @@ class Scans:
         self.src = df.select(
             F.col(id_col).cast("string").alias("id"), F.col(doc_col).cast("string").alias("doc"), F.col(title_col).cast("string").alias("title"), F.col(text_col).alias("text")
         ).where("id is not null and text is not null")
-        self.vocab = keep(vocabulary(self._firsts()))
-        self.misreads = keep(misread_words(self.vocab, self.vocab))
+        self.vocab = cut(vocabulary(self._firsts()))
+        self.misreads = cut(misread_words(self.vocab, self.vocab))
         # frequent words that were read right: what is not among them is looked up by a join
         ranked = self.vocab.join(self.misreads.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS)
         self.frequent = frozenset(r.word for r in ranked.select("word").collect())
@@ -451,8 +451,7 @@ class Scans:
 
     def damage(self) -> DataFrame:
         """id, line_no, defect of each damaged line."""
-        marks = keep(self.marks())
-        marks.count()  # once, before several stages ask for it at a time
+        marks = cut(self.marks())  # once, and out of the plans of the several stages that ask for it
         furniture = cut(self.furniture(marks))
         hyphens = self.hyphens(marks, furniture)
         plain = self._settled(marks.where("kind = 'misread'"), furniture).select("id", "line_no", F.lit("misread").alias("defect"))
