@@ -66,13 +66,43 @@ UNION ALL SELECT id, 'clause', 'Amend.' || ord.n FROM m3 JOIN ord USING (w) UNIO
 k AS (SELECT id, kind, target, kind || ':' || target AS key FROM cit)"""
 _CITE = _CITE.replace("WITH RECURSIVE", "WITH")
 R.add("citations", lambda s, d: citations(s, d).groupBy("id", "kind", "target", "key").agg(F.count("*").alias("n")), _CITE + " SELECT id, kind, target, key, count(*) AS n FROM k GROUP BY ALL")
-R.add("citation_places", lambda s, d: citations(s, d))
+_PLACED = {
+    "m1": (r"(?i)\barticle\b[ \t\n\f\r]*([0-9A-Za-z]+)(?:[ ,\t]*section[ \t\n\f\r]*([0-9A-Za-z]+))?", 2),
+    "m2": (r"(?i)\bamendment\b[ \t\n\f\r]*([0-9A-Za-z]+)", 1),
+    "m3": (rf"(?i)\b({'|'.join(o for o in CI.ORDINALS if '-' in o)})\s+amendment\b", 1),
+    "m4": (rf"(?i)\b({'|'.join(o for o in CI.ORDINALS if '-' not in o)})\s+amendment\b", 1),
+    "m5": (rf"(?i)\b({'|'.join(CI.SERIES)})\b[ ,\t.]*(?:no\.|no|number|paper|letter)[\s.]*([0-9A-Za-z]+)", 2),
+    "m6": (rf"(?i)\b({'|'.join(CI.PERSONS)})\b", 1),
+}
+
+
+def _placed_sql() -> str:
+    """Every match with its groups and place: the bytes of the lower-cased pieces and matches before it."""
+    parts = []
+    for name, (pattern, groups) in _PLACED.items():
+        quoted = pattern.replace("'", "''")
+        second = f"regexp_extract_all(text, '{quoted}', 2)" if groups > 1 else "NULL::VARCHAR[]"
+        size = "strlen(lower(x))"
+        parts.append(f"""{name}a AS (SELECT id, regexp_extract_all(text, '{quoted}', 0) AS m, regexp_extract_all(text, '{quoted}', 1) AS g, {second} AS h, regexp_split_to_array(text, '{quoted}') AS p FROM src),
+{name} AS (SELECT id, m[i] AS whole, g[i] AS a, h[i] AS s, (coalesce(list_sum(list_transform(p[:i], lambda x: {size})), 0) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: {size})), 0))::INTEGER AS place FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {name}a))""")
+    return f"""WITH {_SRC}, {_ROMAN}, {_ORD}, {', '.join(parts)},
+x1 AS (SELECT *, {_numeral('a')} AS n, CASE WHEN s <> '' THEN {_numeral('s')} END AS k FROM m1), x2 AS (SELECT *, {_numeral('a')} AS n FROM m2), x5 AS (SELECT *, {_numeral('s')} AS n FROM m5),
+k AS (SELECT id, 'clause' AS kind, ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII'][n] || coalesce('.' || k, '') AS target, place, whole FROM x1 WHERE n BETWEEN 1 AND 7 UNION ALL SELECT id, 'clause', 'Amend.' || n, place, whole FROM x2 WHERE n BETWEEN 1 AND 27
+UNION ALL SELECT id, 'clause', 'Amend.' || ord.n, place, whole FROM (SELECT * FROM m3 UNION ALL SELECT * FROM m4) z JOIN ord ON ord.w = lower(a) UNION ALL SELECT id, 'essay', lower(a) || ':' || n, place, whole FROM x5 WHERE n BETWEEN 1 AND 85 UNION ALL SELECT id, 'person', lower(a), place, whole FROM m6)
+SELECT id, kind, target, kind || ':' || target AS key, place AS byte_offset, whole AS matched_text FROM k"""
+
+
+R.add("citation_places", lambda s, d: citations(s, d), _placed_sql())
 R.add("citations_top", lambda s, d: CI.top_targets(citations(s, d), 12), _CITE + " SELECT key, count(*) AS n FROM k GROUP BY key ORDER BY n DESC, key LIMIT 12")
 R.add("citations_to", lambda s, d: CI.cited_by(citations(s, d), "clause:II").join(chunks(s, d, "date"), F.col("id") == F.col("chunk_id")).select("id", "date").distinct().orderBy("date", "id").limit(80), _CITE + " SELECT id, date FROM (SELECT DISTINCT id, date FROM k JOIN c ON c.chunk_id = id WHERE key = 'clause:II') ORDER BY date NULLS FIRST, id LIMIT 80")
 R.add("citation_graph", lambda s, d: CI.co_citation(citations(s, d), 30)[1], _CITE + ", top AS (SELECT key FROM k GROUP BY key ORDER BY count(*) DESC, key LIMIT 30), p AS (SELECT DISTINCT id, key FROM k JOIN top USING (key)) SELECT a.key AS source, b.key AS target, count(*) AS weight FROM p a JOIN p b ON a.id = b.id AND a.key < b.key GROUP BY ALL")
 R.add("citation_kinds", lambda s, d: citations(s, d).groupBy(CI.key_kind(F.col("key")).alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("texts")), _CITE + " SELECT kind, count(*) AS n, count(DISTINCT id) AS texts FROM k GROUP BY kind")
 R.add("citations_from", lambda s, d: CI.outgoing(citations(s, d)).select("id", "key", "n"), _CITE + " SELECT id, key, count(*) AS n FROM k GROUP BY ALL")
-R.add("annotated_spans", lambda s, d: CI.annotated_spans(citations(s, d)))
+_SPANS = _placed_sql().replace("WITH ", "WITH RECURSIVE ", 1)
+_SPANS = _SPANS[: _SPANS.rindex("\nSELECT")] + """, sp AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY st, en, key) AS n FROM (SELECT id, place AS st, (place + strlen(whole))::INTEGER AS en, kind || ':' || target AS key FROM k)),
+w AS (SELECT id, n, st, en, key, TRUE AS kept, en AS upto FROM sp WHERE n = 1 UNION ALL SELECT sp.id, sp.n, sp.st, sp.en, sp.key, sp.st >= w.upto, CASE WHEN sp.st >= w.upto THEN sp.en ELSE w.upto END FROM w JOIN sp ON sp.id = w.id AND sp.n = w.n + 1)
+SELECT id, st AS start, en AS "end", key FROM w WHERE kept"""
+R.add("annotated_spans", lambda s, d: CI.annotated_spans(citations(s, d)), _SPANS)
 
 # graphs
 _CH = ("document_id", "source_collection", "author", "title", "pos", CLAUSES, ISSUES)
